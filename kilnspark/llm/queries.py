@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing
+from . import exact_dedup, license_scan, packing, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": license_scan.op1_license_scan,
+        "op3_url_filter": url_filter.op3_url_filter,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op9_packing": packing.op9_packing,
     }
@@ -18,5 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": license_scan.ORACLE_SQL,
+        "op3_url_filter": url_filter.ORACLE_SQL,
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     }
