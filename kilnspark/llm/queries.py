@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, packing, url_filter
+from . import exact_dedup, license_scan, near_dedup, packing, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
+        "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
         "op3_url_filter": url_filter.op3_url_filter,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op9_packing": packing.op9_packing,
