@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, fingerprints, license_scan, near_dedup, packing, quality, token_counts, url_filter
+from . import byte_bpe, exact_dedup, fingerprints, language_id, license_scan, near_dedup, packing, quality, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": url_filter.op3_url_filter,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op4_quality": quality.op4_quality,
+        "op5_language_id": language_id.op5_language_id,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op9_packing": packing.op9_packing,
