@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import history
+from . import files, history
 
-_PARTS = [history]
+_PARTS = [history, files]
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
