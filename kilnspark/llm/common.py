@@ -66,3 +66,23 @@ def lower_ascii(text: Column) -> Column:
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast a side whose counted rows are within the limit, else leave the join to shuffle."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: Rows of dropped identifiers that may be broadcast; above it the join shuffles.
+BROADCAST_ROWS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of docs whose doc_id is not in the one column of ids, with all their columns."""
+    gone = materialize(ids.distinct(), name)
+    column = fresh(docs, "gone_id")
+    gone = broadcast_if_small(gone.toDF(column), gone.count(), BROADCAST_ROWS)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(column)), "left_anti")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, broadcast_if_small, materialize, table
+from .common import BROADCAST_ROWS, SPACE_CLASS, broadcast_if_small, fresh, materialize, table
 
 MIN_CHUNK, MAX_CHUNK = 256, 4096
 
@@ -59,28 +59,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.join(groups, "recipe").select("uid", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
 
 
-#: Rows of dropped identifiers that may be broadcast; above it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
-
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
     Rows are known by doc_id and the digest of their text. Where rows that share both
     are repeated, the longest original of them stays.
     """
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE_CLASS + "+", ""), 256)
+    key, digest, stays = (fresh(docs, name) for name in ("row_id", "row_sha", "stays"))
+    sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), SPACE_CLASS + "+", ""), 256)
     states = (
         exact_dedup(docs)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-        .agg(F.max("kept").alias("_stays"), F.count("*").alias("_rows"))
-        .where("not _stays or _rows > 1")
+        .groupBy(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest))
+        .agg(F.max("kept").alias(stays), F.count("*").alias("rows"))
+        .where(~F.col(stays) | (F.col("rows") > 1))
+        .drop("rows")
     )
     states = materialize(states, "dropped")
     states = broadcast_if_small(states, states.count(), BROADCAST_ROWS)
-    seen = docs.join(states, docs["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left")
-    once = seen.where("_stays is null").select(*docs.columns)
-    repeated = seen.where("_stays").groupBy("_id", "_sha").agg(F.max_by(F.struct(*docs.columns), F.length("text")).alias("row")).select("row.*")
+    seen = docs.join(states, docs["doc_id"].eqNullSafe(F.col(key)) & (sha == F.col(digest)), "left")
+    once = seen.where(F.col(stays).isNull()).select(*docs.columns)
+    repeated = seen.where(F.col(stays)).groupBy(key, digest).agg(F.max_by(F.struct(*docs.columns), F.length("text")).alias("row")).select("row.*")
     return once.unionByName(repeated)
 
 

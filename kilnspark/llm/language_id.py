@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, without
 
 #: Training is on a bounded sample: documents for each language, code points read of each, and spliced sequences.
 SAMPLE_DOCS, SAMPLE_CHARS, SEQUENCES, LENGTH = 300, 1500, 1000, 80
@@ -313,18 +313,12 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", *(["spans"] if spans else []))
 
 
-#: Rows of rejected identifiers that may be broadcast; above it the join shuffles.
-BROADCAST_ROWS = 2_000_000
 LEAST_SCORE = 0.5
 
 
 def survivors(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs whose text has a language with a score of least or more, with all their columns; rows that share a doc_id go when any of them does."""
-    from .common import broadcast_if_small, materialize
-
-    rejected = materialize(language_id(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias("_id")).distinct(), "rejected")
-    rejected = broadcast_if_small(rejected, rejected.count(), BROADCAST_ROWS)
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    return without(docs, language_id(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id"), "rejected")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

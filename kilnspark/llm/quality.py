@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, without
 
 SHRINKAGE, RIDGE, TEMPERATURE = 0.2, 0.1, 4.0
 THRESHOLD = 0.7
@@ -163,17 +163,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-#: Rows of rejected identifiers that may be broadcast; above it the join shuffles.
-BROADCAST_ROWS = 2_000_000
-
-
 def survivors(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score threshold or more, with all their columns; rows that share a doc_id go when any of them does."""
-    from .common import broadcast_if_small
-
-    rejected = materialize(quality(docs, labels, threshold=threshold).where("predicted = 0").select(F.col("doc_id").alias("_id")).distinct(), "rejected")
-    rejected = broadcast_if_small(rejected, rejected.count(), BROADCAST_ROWS)
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    return without(docs, quality(docs, labels, threshold=threshold).where("predicted = 0").select("doc_id"), "rejected")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
