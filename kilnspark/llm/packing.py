@@ -31,6 +31,8 @@ _NUMBER = r"0-9²³¹¼-¾"
 _SPACE = r"\t-\r \u0085 "
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 _OTHER = re.compile(r"[^\x00-įı-ſ]")
+#: Bytes without a visible letter in Latin-1 are spelled by letters from U+0100 on, in order.
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, open boolean, ids binary"
 
@@ -53,6 +55,11 @@ class WordTokens:
     def bytes_of(self, ids: list[int]) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
+    def word(self, word: str) -> bytes:
+        """Ids of one word: its bytes as the byte-level step spells them, given straight to the merges."""
+        spelled = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return self.bytes_of([t.id for t in self.tokenizer.model.tokenize(spelled)])
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
@@ -65,8 +72,8 @@ class WordTokens:
             if len(memo) > MEMO:
                 memo.clear()
             new = [w for w in dict.fromkeys(words) if w not in memo]
-            for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                memo[word] = self.bytes_of(got.ids)
+            for word in new:
+                memo[word] = self.word(word)
             return b"".join(map(memo.__getitem__, words)) + self.end
 
 
