@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import files, history
+from . import chat, code, files, history, telemetry
 
-_PARTS = [history, files]
+_PARTS = [history, files, chat, telemetry, code]
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
