@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, forget, materialize, table
+from .common import BROADCAST_ROWS, broadcast_if_small, forget, materialize, table, without
 
 #: Values and bands of a signature: a pair at 0.8 is missed with probability (1 - 0.8^6)^38, under 1e-5.
 ROWS, BANDS = 6, 38
 BLOCK, VISITORS = 1024, 4096
-BROADCAST_ROWS = 2_000_000
+#: Words whose hashes a worker remembers.
+MEMO = 150_000
 SEED = 20
 _MASK = (1 << 64) - 1
 
@@ -50,7 +51,7 @@ class Shingles:
         try:
             hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         except KeyError:
-            if len(memo) > 400_000:
+            if len(memo) > MEMO:
                 memo.clear()
             for w in words:
                 if w not in memo:
@@ -106,8 +107,8 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
 
         shingles, minmax = Shingles(k), MinMax(rows, bands)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                few, n, skey, keys = batch.slice(at, 1024), [], [], []
+            for at in range(0, batch.num_rows, 256):
+                few, n, skey, keys = batch.slice(at, 256), [], [], []
                 for text in few.column(1).to_pylist():
                     s = shingles.of(text)
                     n.append(len(s))
@@ -126,8 +127,8 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
         shingles = Shingles(k)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                sets = [s for s in map(shingles.of, batch.slice(at, 512).column(0).to_pylist()) if len(s)]
+            for at in range(0, batch.num_rows, 256):
+                sets = [s for s in map(shingles.of, batch.slice(at, 256).column(0).to_pylist()) if len(s)]
                 if sets:
                     values = pa.array(np.concatenate(sets).view(np.int64))
                     ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
@@ -171,7 +172,7 @@ def _block_links(residents: list[tuple[int, int, np.ndarray]], visitors: list[tu
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     labels = np.array([x for _, x, _ in residents])
-    out = []
+    links = []
     for uid, label, s in visitors:
         left, right = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
         runs = right - left
@@ -180,13 +181,9 @@ def _block_links(residents: list[tuple[int, int, np.ndarray]], visitors: list[tu
             continue
         at = np.repeat(left - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(total)
         shared = np.bincount(owner[at], minlength=len(residents))
-        for i in np.flatnonzero((100 * shared >= percent * (sizes + len(s) - shared)) & (labels != label)):
-            out.append((uid, residents[i][0], int(labels[i])))
-    seen, links = set(), []
-    for uid, other, label in out:
-        if (uid, label) not in seen:
-            seen.add((uid, label))
-            links.append((uid, other))
+        hits = np.flatnonzero((100 * shared >= percent * (sizes + len(s) - shared)) & (labels != label))
+        for i in hits[np.unique(labels[hits], return_index=True)[1]]:
+            links.append((uid, residents[i][0]))
     return links
 
 
@@ -281,9 +278,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that are kept, one document of each class, with all their columns."""
-    dropped = materialize(near_dedup(docs, k=k, percent=percent).where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    dropped = broadcast_if_small(dropped, dropped.count(), BROADCAST_ROWS)
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    return without(docs, near_dedup(docs, k=k, percent=percent).where("not kept").select("doc_id"), "dropped")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
