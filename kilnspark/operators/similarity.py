@@ -39,6 +39,8 @@ def shingles(toks: Column, k: int = 3) -> Column:
 
 
 def shingled(files: DataFrame, k: int = 3) -> DataFrame:
+    """path, toks, shingles. Explode shingles with explode_outer: explode infers a filter
+    that is pushed below and cuts the tokens anew for each shingle."""
     return files.select("path", tokens(F.col("content")).alias("toks")).select("path", "toks", shingles(F.col("toks"), k).alias("shingles"))
 
 
@@ -58,8 +60,9 @@ def exact_duplicates(files: DataFrame) -> DataFrame:
 
 def shingle_classes(files: DataFrame, k: int = 3) -> DataFrame:
     """path, class_path: files with equal shingle sets are one class; files without shingles are left out."""
-    rows = shingled(files, k).where(F.size("shingles") > 0).select("path", F.array_sort("shingles").alias("shingles"))
-    rows = rows.withColumn("digest", F.sha2(F.array_join("shingles", "\n"), 256))
+    # a filter on shingles, or on a digest that may be null, would be pushed below and cut tokens anew for each shingle
+    rows = shingled(files, k).where(F.size("toks") > 0).select("path", F.array_sort("shingles").alias("shingles"))
+    rows = rows.withColumn("digest", F.coalesce(F.sha2(F.array_join("shingles", "\n"), 256), F.lit("")))
     classes = rows.groupBy("digest").agg(F.min("path").alias("class_path"), F.count("*").alias("members"))
     return rows.join(classes, "digest")
 
@@ -72,7 +75,7 @@ def jaccard_pairs(files: DataFrame, threshold: float = 0.7, k: int = 3) -> DataF
     are joined, and candidates are verified on whole sets, so none is lost.
     """
     sets = shingle_classes(files, k).where("path = class_path").select("path", "shingles")
-    rows = sets.select("path", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    rows = sets.select("path", F.size("shingles").alias("n"), F.explode_outer("shingles").alias("shingle"))
     common = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     rare = F.row_number().over(Window.partitionBy("path").orderBy(F.coalesce("df", F.lit(1)), "shingle"))
     prefix = rows.join(common, "shingle", "left").withColumn("r", rare).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("df").isNotNull()).select("path", "n", "shingle")
@@ -98,8 +101,8 @@ def benchmark_overlap(files: DataFrame, items: DataFrame, k: int = 3, least: flo
 
     Item shingles are rare and few; files meet them by an equi-join on the shingle.
     """
-    mine = shingled(files, k).select("path", F.explode("shingles").alias("shingle"))
-    theirs = shingled(items, k).select(F.col("path").alias("item"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    mine = shingled(files, k).select("path", F.explode_outer("shingles").alias("shingle"))
+    theirs = shingled(items, k).select(F.col("path").alias("item"), F.size("shingles").cast("long").alias("n"), F.explode_outer("shingles").alias("shingle"))
     hits = mine.join(theirs, "shingle").groupBy("path", "item", "n").agg(F.count("*").alias("shared"))
     return hits.where(F.col("shared") >= least * F.col("n")).select("path", "item", "shared", F.round(F.col("shared") / F.col("n"), 4).alias("containment"))
 
