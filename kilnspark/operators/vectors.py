@@ -9,57 +9,47 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Queries compared with a batch of vectors at once, and queries that one task may hold.
-BLOCK = 256
+#: Queries and vectors in a block; a task holds one block of each.
+QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
+
+
+def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """Rows gathered into about count / size blocks by a hash of their id, and how many blocks there are."""
+    n = max(1, -(-rows.count() // size))
+    block = F.pmod(F.xxhash64("chunk"), F.lit(n)).cast("int").alias(name)
+    return rows.groupBy(block).agg(F.collect_list("chunk").alias(f"{name}_ids"), F.collect_list("embedding").alias(f"{name}_rows")), n
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     """query, chunk, cosine, place: the k vectors nearest to each query, itself left out.
 
-    A stated set of queries meets all vectors in blocks: queries are dealt into blocks of
-    at most BLOCK, vectors are read as they lie, and each batch of vectors gives at most k
-    rows for each query, by one matrix product. The best of those are found by an
-    aggregation that keeps k.
+    A stated set of queries meets all vectors block by block: each pair of blocks is one
+    matrix product and gives at most k rows for each query, and an aggregation keeps the
+    best k of those. Nothing is sent to the driver.
     """
-    blocks = [[(r["chunk"], r["embedding"]) for r in part] for part in _parts(queries.select("chunk", "embedding").toLocalIterator(), BLOCK)]
-    found = None
-    for block in blocks:
-        ids = np.array([i for i, _ in block], np.int64)
-        unit = np.array([v for _, v in block], np.float64)
-        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
-
-        def nearest(batches: Iterator[pd.DataFrame], ids=ids, unit=unit) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                mine = np.array(batch.embedding.tolist(), np.float64)
-                mine /= np.maximum(np.linalg.norm(mine, axis=1, keepdims=True), 1e-12)
-                chunk = batch.chunk.to_numpy()
-                for i, scores in zip(ids, unit @ mine.T, strict=True):
+    mine = [c.where("embedding IS NOT NULL").select("chunk", "embedding") for c in (queries, vectors)]
+    (asked, n), (held, _) = _blocks(mine[0], QUERY_BLOCK, "q"), _blocks(mine[1], VECTOR_BLOCK, "v")
+    pairs = held.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(asked, "q").select("q_ids", "q_rows", "v_ids", "v_rows")
+
+    def unit(rows) -> np.ndarray:
+        m = np.array([np.asarray(r, np.float64) for r in rows])
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, rows, chunk, theirs in zip(batch.q_ids, batch.q_rows, batch.v_ids, batch.v_rows, strict=True):
+                chunk = np.asarray(chunk)
+                for i, scores in zip(ids, unit(rows) @ unit(theirs).T, strict=True):
                     rounded = np.where(chunk == i, -2.0, np.round(scores, 6))
                     best = np.lexsort((chunk, -rounded))[:k]
                     best = best[rounded[best] > -2]
                     yield pd.DataFrame({"query": i, "chunk": chunk[best], "cosine": rounded[best]})
 
-        rows = vectors.select("chunk", "embedding").mapInPandas(nearest, "query long, chunk long, cosine double")
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query long, chunk long, cosine double, place int")
+    found = pairs.mapInPandas(nearest, "query long, chunk long, cosine double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "chunk"))), 1, k)
     return found.groupBy("query").agg(best.alias("best")).select("query", F.posexplode("best").alias("at", "b")).select("query", F.col("b.chunk").alias("chunk"), (-F.col("b.far")).alias("cosine"), (F.col("at") + 1).alias("place"))
 
 
-def _parts(rows, size: int):
-    part: list = []
-    for r in rows:
-        part.append(r)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part
-
-
 def similarity_to(vectors: DataFrame, query: list[float], least: float = 0.15) -> DataFrame:
     """Vectors whose similarity max(0, 1 - d / 2), d being the cosine distance, is at least the threshold."""
     lit = F.array(*[F.lit(float(x)) for x in query])
