@@ -22,7 +22,7 @@ from .common import table
 from .pretokens import pieces, read_ranks
 
 #: Words remembered by a worker; documents looked at together; bytes above which a word is merged by a heap.
-MEMO, TOGETHER, LONG = 250_000, 1024, 256
+MEMO, TOGETHER, LONG = 120_000, 512, 256
 
 ENCODE = """
 WITH RECURSIVE steps AS (

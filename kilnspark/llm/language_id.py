@@ -25,7 +25,7 @@ from .common import table, without
 SAMPLE_DOCS, SAMPLE_CHARS, SEQUENCES, LENGTH = 300, 1500, 1000, 80
 SLOTS, STEPS, RATE, DECAY, SEED = 1 << 16, 40, 0.3, 1e-5, 5
 #: Words whose feature sums a worker remembers, and words worked on together.
-MEMO, TOGETHER = 300_000, 1_500_000
+MEMO, TOGETHER = 200_000, 600_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
