@@ -9,8 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FUNCTIONS = "path long, name string, class_name string, line_start long, line_end long, args long, complexity long, nesting long, documented boolean"
+FACTS = "path long, kind string, name string, owner string, line long, lines long, args array<string>, mutable_defaults int, annotated boolean, documented boolean, complexity int, plain_complexity int, nesting int, unreachable boolean, methods int, silent boolean"
 IMPORTS = "path long, module string, name string, level long, line long"
+#: Names that arguments should not hide, words of flag-like arguments, numbers that need no name: fixed values.
+BUILTINS = [
+    "list", "dict", "set", "tuple", "str", "int", "float", "bool",
+    "type", "object", "len", "range", "map", "filter", "zip", "sum",
+    "min", "max", "abs", "round", "open", "input", "print", "id",
+]
+FLAG_WORDS = ["flag", "is_", "use_", "enable", "disable", "mode"]
+PLAIN_NUMBERS = [0, 1, -1, 2, 100]
 _BRANCHES = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Assert, ast.Try)
 _NESTS = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.With, ast.AsyncWith, ast.Try)
 
@@ -35,13 +43,48 @@ def _tree(source: str | None) -> ast.Module | None:
         return None
 
 
-def _functions(path, source):
+_PLAIN = (ast.If, ast.While, ast.For, ast.ExceptHandler, ast.With, ast.Assert)
+
+
+def plain_complexity(node: ast.AST) -> int:
+    """The narrower count of the refactoring rules: no try, conditional expressions or comprehensions."""
+    return 1 + sum(isinstance(x, _PLAIN) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0) for x in ast.walk(node))
+
+
+def _function(x: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None) -> dict:
+    a = x.args
+    stops = [i for i, y in enumerate(x.body[:-1]) if isinstance(y, ast.Return)]
+    return {
+        "kind": "function", "name": x.name, "owner": owner, "args": [y.arg for y in (*a.posonlyargs, *a.args, *a.kwonlyargs)],
+        "mutable_defaults": sum(isinstance(d, ast.List | ast.Dict | ast.Set) for d in a.defaults), "annotated": x.returns is not None,
+        "documented": ast.get_docstring(x) is not None, "complexity": complexity(x), "plain_complexity": plain_complexity(x), "nesting": nesting(x),
+        "unreachable": bool(stops) and any(not isinstance(y, ast.Pass | ast.Expr) for y in x.body[stops[0] + 1 :]),
+    }
+
+
+def _facts(path, source):
+    """A row for each function, class, exception handler without a type and unusual number; one for a text that does not parse."""
+    names = [c.split()[0] for c in FACTS.split(", ")]
+
+    def row(x, **more):
+        line = getattr(x, "lineno", 0)
+        all_of = {"path": path, "line": line, "lines": (getattr(x, "end_lineno", None) or line) - line + 1} | more
+        return tuple(all_of.get(n) for n in names)
+
     tree = _tree(source)
-    for owner in ast.walk(tree) if tree else ():
-        for x in getattr(owner, "body", None) if isinstance(getattr(owner, "body", None), list) else ():
-            if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef):
-                a = x.args
-                yield path, x.name, owner.name if isinstance(owner, ast.ClassDef) else None, x.lineno, x.end_lineno, len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs), complexity(x), nesting(x), ast.get_docstring(x) is not None
+    if tree is None:
+        yield row(None, kind="error")
+        return
+    owners = {y: x.name for x in ast.walk(tree) if isinstance(x, ast.ClassDef) for y in x.body}
+    for x in ast.walk(tree):
+        if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef):
+            yield row(x, **_function(x, owners.get(x)))
+        elif isinstance(x, ast.ClassDef):
+            yield row(x, kind="class", name=x.name, methods=sum(isinstance(y, ast.FunctionDef | ast.AsyncFunctionDef) for y in x.body))
+        elif isinstance(x, ast.ExceptHandler) and x.type is None:
+            yield row(x, kind="handler", silent=len(x.body) == 1 and isinstance(x.body[0], ast.Pass))
+        elif isinstance(x, ast.Constant) and isinstance(x.value, int | float) and x.value not in PLAIN_NUMBERS:
+            yield row(x, kind="number", name=str(x.value))
 
 
 def _imports(path, source):
@@ -66,9 +109,47 @@ def _each(files: DataFrame, rows_of, schema: str) -> DataFrame:
     return files.select(F.col("path").cast("long").alias("path"), "content").mapInPandas(run, schema)
 
 
+def facts(files: DataFrame) -> DataFrame:
+    return _each(files, _facts, FACTS)
+
+
 def functions(files: DataFrame) -> DataFrame:
     """One row for each function or method; files that do not parse give none."""
-    return _each(files, _functions, FUNCTIONS)
+    return facts(files).where("kind = 'function'").select("path", "name", F.col("owner").alias("class_name"), F.col("line").alias("line_start"), (F.col("line") + F.col("lines") - 1).alias("line_end"), F.size("args").alias("args"), "complexity", "nesting", "documented")
+
+
+def tree_findings(files: DataFrame) -> DataFrame:
+    """path, line, rule, severity, name of each finding of the syntax-tree rules.
+
+    The parse gives facts; the rules are conditions on them.
+    """
+    f, is_a = F.col, lambda kind: F.col("kind") == kind
+    own = F.filter("args", lambda a: a != "self")
+    shadows = F.size(F.filter("args", lambda a: a.isin(BUILTINS)))
+    flags = F.size(F.filter("args", lambda a: a.rlike("|".join(FLAG_WORDS))))
+    rules = [
+        ("PY000", "CRITICAL", is_a("error"), None),
+        ("PY002", "HIGH", is_a("handler"), None),
+        ("SEC-PY-012", "MEDIUM", is_a("handler") & f("silent"), None),
+        ("PY003", "HIGH", is_a("function") & (f("mutable_defaults") > 0), f("mutable_defaults")),
+        ("PY004", "LOW", is_a("number"), None),
+        ("PY007", "MEDIUM", is_a("function") & f("lines").between(51, 100), None),
+        ("PY015", "HIGH", is_a("function") & (f("lines") > 100), None),
+        ("PY008", "MEDIUM", is_a("class") & (f("lines") > 200), None),
+        ("PY009", "MEDIUM", is_a("function") & (F.size("args") > 5), None),
+        ("PY010", "MEDIUM", is_a("function") & (shadows > 0), shadows),
+        ("PY011", "LOW", is_a("function") & ~f("annotated") & (f("name") != "__init__"), None),
+        ("REF-PY-001", "HIGH", is_a("function") & (f("lines") > 40) & ((f("plain_complexity") > 5) | (f("lines") > 60)), None),
+        ("REF-PY-002", "HIGH", is_a("class") & ((f("methods") > 10) | (f("lines") > 300)), None),
+        ("REF-PY-003", "MEDIUM", is_a("function") & (F.size(own) > 4), None),
+        ("REF-PY-005", "MEDIUM", is_a("function") & (f("nesting") > 3), None),
+        ("REF-PY-008", "LOW", is_a("function") & f("unreachable"), None),
+        ("REF-PY-009", "LOW", is_a("function") & (flags > 0), flags),
+    ]
+    hit = lambda rule, severity: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))
+    none = F.array().cast("array<struct<rule:string,severity:string>>")
+    found = F.concat(*[F.when(when, F.array_repeat(hit(rule, severity), F.lit(1) if times is None else times)).otherwise(none) for rule, severity, when, times in rules])
+    return facts(files).select("path", "line", "name", F.explode(found).alias("h")).select("path", "line", "h.rule", "h.severity", "name")
 
 
 def imports(files: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kilnspark.operators import pyast
 from kilnspark.operators import rules as r
 from kilnspark.operators import similarity as m
 from kilnspark.operators import web as w
@@ -32,6 +33,7 @@ QUERIES = {
     "review_findings": lambda s, d: r.findings(c.files(s, d), r.PYTHON_REVIEW),
     "review_quality": lambda s, d: r.review_quality(c.files(s, d), r.PYTHON_REVIEW),
     "review_quality_js": lambda s, d: r.review_quality(_pages(s, d), r.JS_REVIEW),
+    "python_tree_findings": lambda s, d: pyast.tree_findings(c.files(s, d)),
     "url_normalize": lambda s, d: w.normalized_urls(_pages(s, d)),
     "html_to_text": lambda s, d: w.plain_text(_pages(s, d)),
 }

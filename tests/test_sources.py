@@ -53,3 +53,16 @@ def test_syntax_trees(spark):
     assert (got["m"].complexity, got["plain"].complexity, got["m"].nesting) == (7, 1, 2)
     assert {(r.module, r.name, r.level) for r in pyast.imports(files).collect()} == {("os", None, 0), (None, "b", 1)}
     assert pyast.file_complexity(files).first().max_complexity == 7
+
+
+def test_tree_rules(spark):
+    long = "def big(a, b, c, d, e, mode=[], *, id=0):\n" + "    x = a\n" * 60 + "    return 7\n    x = 1\n"
+    files = spark.createDataFrame([(1, long), (2, "try:\n    f()\nexcept:\n    pass\n"), (3, "def ok(x) -> int:\n    return 1\n"), (4, "(")], "path long, content string")
+    got = {}
+    for r in pyast.tree_findings(files).collect():
+        got.setdefault(r.path, set()).add(r.rule)
+    assert got == {
+        1: {"PY003", "PY004", "PY007", "PY009", "PY010", "PY011", "REF-PY-001", "REF-PY-003", "REF-PY-008", "REF-PY-009"},
+        2: {"PY002", "SEC-PY-012"},
+        4: {"PY000"},
+    }
