@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 from .pretokens import pieces, read_ranks
 
 #: Words remembered by a worker; documents looked at together; bytes above which a word is merged by a heap.
@@ -154,7 +154,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text
                 decoded = pa.array([b"".join(map(back.__getitem__, words)) for words in cut], pa.binary())
                 yield pa.RecordBatch.from_arrays([few.column(0), pa.ListArray.from_arrays(ends, values), decoded], names=["doc_id", "ids", "decoded"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
+    return map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +90,33 @@ def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     column = fresh(docs, "gone_id")
     gone = broadcast_if_small(gone.toDF(column), gone.count(), BROADCAST_ROWS)
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(column)), "left_anti")
+
+
+#: Rows of whole texts that go to a Python worker at once, where the session has Spark's own default.
+BATCH_ROWS, SPARK_BATCH_ROWS = 1000, "10000"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def release_memory() -> None:
+    """Give back to the system what a task has freed, as a worker lives on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over small batches, memory released at the end of each task."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == SPARK_BATCH_ROWS:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(bounded, schema)

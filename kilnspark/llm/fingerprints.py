@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 
 K, SKETCHES, TUPLE = 8, 64, 2
 SEED = 7
@@ -141,7 +141,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["spot", "doc_id"])
 
     firsts: dict[int, int | None] = {}  # as many as there are ranges
-    for r in source.select("doc_id").mapInArrow(least, "spot long, doc_id long").groupBy("spot").agg(F.when(F.count("*") == F.count("doc_id"), F.min("doc_id")).alias("first")).collect():
+    for r in map_batches(source.select("doc_id"), least, "spot long, doc_id long").groupBy("spot").agg(F.when(F.count("*") == F.count("doc_id"), F.min("doc_id")).alias("first")).collect():
         firsts[r["spot"]] = r["first"]
     filled = sorted(firsts)
     previous = dict(zip(filled, filled[-1:] + filled[:-1], strict=True))
@@ -188,9 +188,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    dealt = source.mapInArrow(deal, "spot long, guest boolean, doc_id long, tie long, packed binary")
+    dealt = map_batches(source, deal, "spot long, guest boolean, doc_id long, tie long, packed binary")
     in_order = dealt.repartition("spot").sortWithinPartitions("spot", "guest", F.asc_nulls_first("doc_id"), "tie").select("spot", "guest", "doc_id", "packed")
-    return in_order.mapInArrow(walk, "doc_id long, n_chars long, fingerprint string, edited_sha256 string, edited_fingerprint string, near_edited double, near_next double")
+    return map_batches(in_order, walk, "doc_id long, n_chars long, fingerprint string, edited_sha256 string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

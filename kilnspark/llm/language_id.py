@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, without
+from .common import map_batches, table, without
 
 #: Training is on a bounded sample: documents for each language, code points read of each, and spliced sequences.
 SAMPLE_DOCS, SAMPLE_CHARS, SEQUENCES, LENGTH = 300, 1500, 1000, 80
@@ -309,7 +309,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield flush(ids, texts)
 
     more = ", spans array<struct<word:int,words:int,lang:string>>" if spans else ""
-    out = source.select("doc_id", "text").mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double{more}")
+    out = map_batches(source.select("doc_id", "text"), run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double{more}")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", *(["spans"] if spans else []))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, broadcast_if_small, forget, materialize, table, without
+from .common import BROADCAST_ROWS, broadcast_if_small, forget, map_batches, materialize, table, without
 
 #: Values and bands of a signature: a pair at 0.8 is missed with probability (1 - 0.8^6)^38, under 1e-5.
 ROWS, BANDS = 6, 38
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
                     keys.append(minmax.keys(s) if len(s) else [])
                 yield pa.RecordBatch.from_arrays([few.column(0), pa.array(n, pa.int64()), pa.array(skey, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "skey", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, n long, skey string, bands array<long>")
+    return map_batches(docs, run, f"doc_id {id_type}, n long, skey string, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -134,7 +134,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                     ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.ListArray.from_arrays(ends, values)], names=["skey", "shingles"])
 
-    return docs.mapInArrow(run, "skey string, shingles array<long>")
+    return map_batches(docs, run, "skey string, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:

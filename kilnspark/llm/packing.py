@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import map_batches, materialize, table
 
 WINDOW, OPEN, MIN_CUT, MERGE = 4096, 32, 32, 64
 END_ID = 2
 #: Words remembered by a worker; the memory is emptied when it is full.
-MEMO = 400_000
+MEMO = 250_000
 
 #: Characters below U+0180 by class, as the tokenizer's pattern sees them; other texts take its own code.
 _LETTER = r"A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -206,7 +206,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         return merge
 
-    done = materialize(source.mapInArrow(by_partition, spark_schema), "packed")
+    done = materialize(map_batches(source, by_partition, spark_schema), "packed")
     closed, left, round_no = [done.where("not open")], done.where("open"), 0
     groups = (left.agg(F.max("part")).first()[0] or 0) + 1
     while True:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, without
+from .common import map_batches, materialize, table, without
 
 SHRINKAGE, RIDGE, TEMPERATURE = 0.2, 0.1, 4.0
 THRESHOLD = 0.7
@@ -74,7 +74,7 @@ def features(docs: DataFrame) -> DataFrame:
                 x = pa.array([statistics(t) for t in few.column(1).to_pylist()], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([few.column(0), x], names=["doc_id", "x"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 @dataclass
@@ -141,7 +141,7 @@ def scored(found: DataFrame, model: tuple[Gaussian, Gaussian] | None, temperatur
                 gap = np.zeros(len(x)) if model is None else (model[1].log_density(x) - model[0].log_density(x)) / temperature
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(gap, -700, 700))))], names=["doc_id", "score"])
 
-    return found.mapInArrow(run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_batches(found, run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def held_out(doc_id: Column) -> Column:

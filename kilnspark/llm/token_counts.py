@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 from .pretokens import pieces, read_ranks
 
 MEMO = 400_000
@@ -102,7 +102,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                 columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([few.column(0), *columns], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long, n_unknown long")
+    return map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long, n_unknown long")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
