@@ -84,12 +84,24 @@ def fresh(df: DataFrame, name: str) -> str:
 BROADCAST_ROWS = 2_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """The rows of docs whose doc_id is not in the one column of ids, with all their columns."""
-    gone = materialize(ids.distinct(), name)
-    column = fresh(docs, "gone_id")
-    gone = broadcast_if_small(gone.toDF(column), gone.count(), BROADCAST_ROWS)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(column)), "left_anti")
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text, null counting as empty; with the doc_id it tells rows apart whose ids are null or repeated."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def digested(docs: DataFrame, id_col: str, text_col: str, digests: bool) -> DataFrame:
+    """doc_id and text, and the text's digest where it is asked for."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *([text_digest(text).alias("digest")] if digests else []))
+
+
+def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """The rows of docs whose doc_id and text are not those of a row of gone(doc_id, digest), with all their columns."""
+    gone = materialize(gone.select("doc_id", "digest").distinct(), name)
+    key, digest, own = (fresh(docs, c) for c in ("gone_id", "gone_digest", "own_digest"))
+    gone = broadcast_if_small(gone.toDF(key, digest), gone.count(), BROADCAST_ROWS)
+    marked = docs.withColumn(own, text_digest(docs["text"]))
+    return marked.join(gone, marked["doc_id"].eqNullSafe(F.col(key)) & (F.col(own) == F.col(digest)), "left_anti").select(*docs.columns)
 
 
 #: Rows of whole texts that go to a Python worker at once, where the session has Spark's own default.

@@ -78,7 +78,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     states = broadcast_if_small(states, states.count(), BROADCAST_ROWS)
     seen = docs.join(states, docs["doc_id"].eqNullSafe(F.col(key)) & (sha == F.col(digest)), "left")
     once = seen.where(F.col(stays).isNull()).select(*docs.columns)
-    repeated = seen.where(F.col(stays)).groupBy(key, digest).agg(F.max_by(F.struct(*docs.columns), F.length("text")).alias("row")).select("row.*")
+    repeated = seen.where(F.col(stays)).groupBy(key, digest).agg(F.max_by(F.struct(*docs.columns), F.length(F.coalesce("text", F.lit("")))).alias("row")).select("row.*")
     return once.unionByName(repeated)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, without
+from .common import map_batches, table, text_digest, without
 
 #: Training is on a bounded sample: documents for each language, code points read of each, and spliced sequences.
 SAMPLE_DOCS, SAMPLE_CHARS, SEQUENCES, LENGTH = 300, 1500, 1000, 80
@@ -261,8 +261,8 @@ class Labeller:
         return totals, runs
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", spans: bool = False) -> DataFrame:
-    """One row for each input row: doc_id, held_out, lang_pred, score (and spans: runs of words by language).
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", spans: bool = False, digests: bool = False) -> DataFrame:
+    """One row for each input row: doc_id, held_out, lang_pred, score (and spans: runs of words by language; and digest, of its text).
 
     Learns from text and non-null lang of rows that are not held out. A null text, or one
     without a letter, is `und` with score 0; so is every text when nothing can be
@@ -309,16 +309,20 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield flush(ids, texts)
 
     more = ", spans array<struct<word:int,words:int,lang:string>>" if spans else ""
+    if digests:  # they go along with the ids
+        source = source.withColumn("doc_id", F.struct("doc_id", text_digest(F.col("text")).alias("digest")))
     out = map_batches(source.select("doc_id", "text"), run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double{more}")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", *(["spans"] if spans else []))
+    if digests:
+        out = out.withColumn("digest", F.col("doc_id.digest")).withColumn("doc_id", F.col("doc_id.doc_id"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", *(["spans"] if spans else []), *(["digest"] if digests else []))
 
 
 LEAST_SCORE = 0.5
 
 
 def survivors(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs whose text has a language with a score of least or more, with all their columns; rows that share a doc_id go when any of them does."""
-    return without(docs, language_id(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id"), "rejected")
+    """The rows of docs whose text has a language with a score of least or more, with all their columns; each row by its own text, also where a doc_id is null or repeated."""
+    return without(docs, language_id(docs, digests=True).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)), "rejected")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, broadcast_if_small, forget, map_batches, materialize, table, without
+from .common import BROADCAST_ROWS, broadcast_if_small, digested, forget, fresh, map_batches, materialize, table, text_digest, without
 
 #: Values and bands of a signature: a pair at 0.8 is missed with probability (1 - 0.8^6)^38, under 1e-5.
 ROWS, BANDS = 6, 38
@@ -99,7 +99,8 @@ class MinMax:
 
 
 def signatures(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
-    """doc_id, n (size of the set), skey (128-bit digest of the set) and bands."""
+    """doc_id, n (size of the set), skey (128-bit digest of the set) and bands; a digest of the text goes along."""
+    more = docs.columns[2:]
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +115,9 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
                     n.append(len(s))
                     skey.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
                     keys.append(minmax.keys(s) if len(s) else [])
-                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(n, pa.int64()), pa.array(skey, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "skey", "bands"])
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(n, pa.int64()), pa.array(skey, pa.string()), pa.array(keys, pa.list_(pa.int64())), *few.columns[2:]], names=["doc_id", "n", "skey", "bands", *more])
 
-    return map_batches(docs, run, f"doc_id {id_type}, n long, skey string, bands array<long>")
+    return map_batches(docs, run, f"doc_id {id_type}, n long, skey string, bands array<long>" + "".join(f", {c} binary" for c in more))
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -249,36 +250,53 @@ def near_links(nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return components(more.union(classes.select(F.col("uid").alias("a"), F.col("label").alias("b"))))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """One row for each input row: doc_id, n_shingles, component_id, kept.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, digests: bool = False) -> DataFrame:
+    """One row for each input row: doc_id, n_shingles, component_id, kept (and digest, of its text).
 
     Documents are linked when 100 * shared >= percent * united shingles; component_id is
-    the smallest doc_id reachable by links, and a row is kept when its doc_id is that.
-    Null or empty texts have no shingles, are linked with nothing and kept; texts with
-    fewer than k words are one shingle. Rows that share a doc_id are kept or dropped
-    by their own texts. A null doc_id is no smallest id; rows without any other id in
-    their class are kept. Other columns are not looked at; no rows give no rows.
+    the smallest doc_id reachable by links, and of each class one row is kept, the first
+    read of those whose doc_id is that. Null or empty texts have no shingles, are linked
+    with nothing and kept; texts with fewer than k words are one shingle. Rows that share
+    a doc_id are kept or dropped by their own texts. A null doc_id is no smallest id; a
+    class without any other id keeps the first of its rows. Other columns are not looked
+    at; no rows give no rows.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(signatures(docs, k, rows, bands), "signed")
-    nodes = signed.where("n > 0").groupBy("skey").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.withColumn("uid", F.monotonically_increasing_id()), "nodes")
+    docs = digested(docs, id_col, text_col, digests)
+    signed = materialize(signatures(docs, k, rows, bands).withColumn("row", F.monotonically_increasing_id()), "signed")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("rep"), "row")
+    nodes = signed.where("n > 0").groupBy("skey").agg(F.min(first).alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.select("skey", "head", F.col("head.rep").alias("rep"), "n", "bands").withColumn("uid", F.monotonically_increasing_id()), "nodes")
     classes = near_links(nodes, docs, k, percent)
-    slim = nodes.select("uid", "skey", "rep")
+    slim = nodes.select("uid", "skey", "head")
     if classes is None:
-        named = slim.select("skey", F.col("rep").alias("component_id"))
+        named = slim.select("skey", "head")
     else:
         placed = slim.join(classes, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-        heads = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
-        named = placed.join(heads, "label").select("skey", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "skey").join(named, "skey", "left")
+        heads = placed.groupBy("label").agg(F.min("head").alias("first"))
+        named = placed.join(heads, "label").select("skey", F.col("first").alias("head"))
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "skey", "row", *(["digest"] if digests else [])).join(named.select("skey", F.col("head.rep").alias("component_id"), F.col("head.row").alias("kept_row")), "skey", "left")
     lead = F.when(F.col("skey").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", lead.alias("component_id"), F.col("doc_id").eqNullSafe(lead).alias("kept"))
+    kept = F.col("skey").isNull() | (F.col("row") == F.col("kept_row"))
+    return out.select("doc_id", "n_shingles", lead.alias("component_id"), kept.alias("kept"), *(["digest"] if digests else []))
 
 
 def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are kept, one document of each class, with all their columns."""
-    return without(docs, near_dedup(docs, k=k, percent=percent).where("not kept").select("doc_id"), "dropped")
+    """The rows of docs that are kept, one row of each class, with all their columns.
+
+    Rows are known by doc_id and the digest of their text; of rows that share both, any one stays.
+    """
+    judged = near_dedup(docs, k=k, percent=percent, digests=True).groupBy("doc_id", "digest").agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay"))
+    dropped = materialize(judged.where("stay < rows").select("doc_id", "digest", (F.col("stay") > 0).alias("stays")), "dropped")
+    out = without(docs, dropped, "gone")
+    again = dropped.where("stays")
+    repeats = again.count()
+    if not repeats:
+        return out
+    key, digest, own = (fresh(docs, c) for c in ("row_id", "row_digest", "own_digest"))
+    again = broadcast_if_small(again.select(F.col("doc_id").alias(key), F.col("digest").alias(digest)), repeats, BROADCAST_ROWS)
+    marked = docs.withColumn(own, text_digest(docs["text"]))
+    same = marked.join(again, marked["doc_id"].eqNullSafe(F.col(key)) & (F.col(own) == F.col(digest)))
+    return out.unionByName(same.groupBy(key, digest).agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, table, without
+from .common import digested, map_batches, materialize, table, without
 
 SHRINKAGE, RIDGE, TEMPERATURE = 0.2, 0.1, 4.0
 THRESHOLD = 0.7
@@ -65,16 +65,17 @@ def statistics(text: str | None) -> list[float]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id and x, the statistics of its text, from docs(doc_id, text)."""
+    """doc_id and x, the statistics of its text, from docs(doc_id, text); a digest goes along."""
+    more = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 few = batch.slice(at, 1024)
                 x = pa.array([statistics(t) for t in few.column(1).to_pylist()], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([few.column(0), x], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([few.column(0), x, *few.columns[2:]], names=["doc_id", "x", *more])
 
-    return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>" + "".join(f", {c} binary" for c in more))
 
 
 @dataclass
@@ -132,40 +133,41 @@ def fit(rows: DataFrame, shrinkage: float = SHRINKAGE, ridge: float = RIDGE) ->
 
 
 def scored(found: DataFrame, model: tuple[Gaussian, Gaussian] | None, temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id and score of features(doc_id, x); without a model every score is 0.5."""
+    """doc_id and score of features(doc_id, x); a digest goes along; without a model every score is 0.5."""
+    more = found.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = np.array(batch.column(1).to_pylist(), float)
                 gap = np.zeros(len(x)) if model is None else (model[1].log_density(x) - model[0].log_density(x)) / temperature
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(gap, -700, 700))))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(gap, -700, 700)))), *batch.columns[2:]], names=["doc_id", "score", *more])
 
-    return map_batches(found, run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_batches(found, run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, score double" + "".join(f", {c} binary" for c in more))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each input row: doc_id, held_out, score, predicted.
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, digests: bool = False) -> DataFrame:
+    """One row for each input row: doc_id, held_out, score, predicted (and digest, of its text).
 
     Learns from labels whose doc_id is not held out; null labels and ids teach nothing,
     repeated labels count each time. Null texts count as empty, and get a score. With
     fewer than two rows of a class every score is 0.5. Other columns are not looked at;
     no rows give no rows.
     """
-    found = materialize(features(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), "features")
+    found = materialize(features(digested(docs, id_col, text_col, digests)), "features")
     taught = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("label")).where(~held_out(F.col("_id")))
     model = fit(found.join(taught, F.col("doc_id") == F.col("_id")))
     out = scored(found, model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["digest"] if digests else []))
 
 
 def survivors(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score threshold or more, with all their columns; rows that share a doc_id go when any of them does."""
-    return without(docs, quality(docs, labels, threshold=threshold).where("predicted = 0").select("doc_id"), "rejected")
+    """The rows of docs that score threshold or more, with all their columns; each row by its own text, also where a doc_id is null or repeated."""
+    return without(docs, quality(docs, labels, threshold=threshold, digests=True).where("predicted = 0"), "rejected")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
