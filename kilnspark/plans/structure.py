@@ -18,6 +18,12 @@ def _edges(spark, sf_dir):
     return c.load(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 101).alias("dst"))
 
 
+def _all_edges(spark, sf_dir):
+    """As _edges, over all rows of lineitem; the parts' keys go round the number of suppliers, so the graph grows with the input."""
+    n = c.load(spark, sf_dir, "supplier").count()
+    return c.load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst"))
+
+
 def _nodes(spark, sf_dir):
     return c.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.concat(F.lit("pkg"), F.col("s_nationkey")).alias("package"))
 
@@ -37,6 +43,10 @@ QUERIES = {
     "transitive_deps": lambda s, d: g.transitive(s, _edges(s, d), [1, 2, 3], 3),
     "cycles": lambda s, d: g.cycles(_edges(s, d), 3),
     "package_deps": lambda s, d: g.package_deps(_edges(s, d), _nodes(s, d)),
+    "dependency_degree_all": lambda s, d: g.degrees(_all_edges(s, d)),
+    "node_types_all": lambda s, d: g.node_types(_nodes(s, d), _all_edges(s, d)),
+    "package_deps_all": lambda s, d: g.package_deps(_all_edges(s, d), _nodes(s, d)),
+    "mermaid_components_all": lambda s, d: g.mermaid_components(g.package_deps(_all_edges(s, d), _nodes(s, d))),
     "layer_classes": lambda s, d: g.layer_classes(_paths(s, d)),
     "mermaid_components": lambda s, d: g.mermaid_components(g.package_deps(_edges(s, d), _nodes(s, d))),
 }
@@ -68,3 +78,7 @@ SELECT CASE {" ".join(f"WHEN regexp_matches(lower(path), '{'|'.join(words)}') TH
     "mermaid_components": f"""WITH {_E}, {_PKG}, t AS (SELECT * FROM k ORDER BY edges DESC, from_package, to_package LIMIT 30)
 SELECT 'graph LR' || chr(10) || string_agg('    ' || from_package || ' -->|' || edges || '| ' || to_package, chr(10) ORDER BY edges DESC, from_package, to_package) AS diagram FROM t""",
 }
+
+# The same rows over all edges.
+_ALL = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem)"
+ORACLE |= {f"{name}_all": ORACLE[name].replace(_E, _ALL) for name in ("dependency_degree", "node_types", "package_deps", "mermaid_components")}
