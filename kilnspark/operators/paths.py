@@ -57,6 +57,7 @@ CONTENT_SIGNS = [
     ("python", 3, r"(?m)^import\s+\w|^from\s+\w+\s+import"),
     ("python", 4, r"(?m)^def\s+\w+\s*\(|^async\s+def\s+\w+"),
     ("python", 2, r"(?m)^class\s+\w+.*:$"),
+    ("python", 2, r'(?s)""".*?"""'),
     ("python", 2, r"""print\(|__name__\s*==\s*["']__main__["']"""),
     ("python", 1, r"(?m):\s*$"),
     ("javascript", 2, r"const\s+\w+\s*=|let\s+\w+\s*=|var\s+\w+\s*="),
@@ -64,19 +65,38 @@ CONTENT_SIGNS = [
     ("javascript", 4, r"require\s*\(|module\.exports"),
     ("javascript", 2, r"console\.(log|error|warn)\s*\("),
     ("javascript", 3, r"document\.|window\.|navigator\."),
+    ("javascript", 2, r"""import\s+\w+\s+from\s+["']"""),
+    ("typescript", 3, r":\s*\w+(\[\])?\s*[=;,)\n]"),
     ("typescript", 4, r"interface\s+\w+\s*\{|type\s+\w+\s*="),
     ("typescript", 3, r"<\w+>|Array<|Promise<|Optional<"),
+    ("typescript", 4, r":\s*(string|number|boolean|void|any)([^A-Za-z0-9_]|$)"),
+    ("typescript", 2, r"as\s+\w+|as\s+unknown"),
     ("java", 5, r"public\s+class\s+\w+|private\s+\w+\s+\w+;"),
     ("java", 4, r"@Override|@Autowired|@Service|@Component"),
+    ("java", 3, r"System\.out\.println|throws\s+\w+"),
+    ("java", 5, r"import\s+java\.|import\s+org\.spring"),
+    ("java", 5, r"public\s+static\s+void\s+main"),
     ("go", 5, r"(?m)^package\s+\w+"),
     ("go", 4, r"(?m)^func\s+\w+\s*\("),
+    ("go", 3, r":=\s*|fmt\.Print|log\.Fatal"),
+    ("go", 4, r"make\(|chan\s+\w+|go\s+func"),
+    ("go", 4, r"""import\s+\(\s*"fmt\""""),
     ("rust", 4, r"(?m)^fn\s+\w+|^pub\s+fn"),
+    ("rust", 4, r"let\s+mut\s+\w+|impl\s+\w+"),
+    ("rust", 4, r"use\s+std::|use\s+\w+::\{"),
     ("rust", 3, r"Option<|Result<|Vec<|HashMap<"),
+    ("rust", 5, r"#\[derive\(|#\[cfg\("),
     ("cpp", 4, r"""#include\s+<\w+>|#include\s+"\w+"""),
     ("cpp", 3, r"std::|cout\s*<<|cin\s*>>"),
+    ("cpp", 4, r"template\s*<|namespace\s+\w+"),
+    ("cpp", 3, r"nullptr|auto\s+\w+\s*="),
     ("sql", 5, r"(?i)SELECT\s+\w|INSERT\s+INTO|UPDATE\s+\w+\s+SET"),
     ("sql", 5, r"(?i)CREATE\s+TABLE|DROP\s+TABLE|ALTER\s+TABLE"),
+    ("sql", 3, r"(?i)WHERE\s+\w+\s*=|JOIN\s+\w+|GROUP\s+BY"),
     ("ruby", 4, r"""(?m)^require\s+["']\w|^gem\s+["']"""),
+    ("ruby", 4, r"(?s)def\s+\w+.*\nend([^A-Za-z0-9_]|$)"),
+    ("ruby", 3, r"\.each\s*do\s*\||\.map\s*\{"),
+    ("ruby", 4, r"puts\s+|attr_accessor|Rails\.|ActiveRecord"),
 ]
 
 
