@@ -45,8 +45,27 @@ def test_duck_merges_encode_like_tiktoken(encoding):
 
 def test_long_words_encode_like_tiktoken(encoding):
     merges = byte_bpe.DuckMerges(P.path("byte_bpe_50k.tiktoken"))
-    for word in ("a" * 3000, "abcde" * 300, "xyzzy" * 51 + "q"):
-        assert merges.encode([word.encode()])[0][0].tolist() == encoding.encode_ordinary(word)
+    rng = random.Random(3)
+    drawn = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("etaoinshrdlu", 4000), ("ab", 2000), ("the", 1500), ("漢字かな", 700))]
+    words = ["a" * 3000, "abcde" * 300, "xyzzy" * 51 + "q", "=" * 20001, "the" * 400, "an" * 777 + "the" * 555, *drawn]
+    ids, decoded = merges.encode([w.encode() for w in [*words, "short", *reversed(words)]])
+    for word, i, d in zip([*words, "short", *reversed(words)], ids, decoded, strict=True):
+        assert i.tolist() == encoding.encode_ordinary(word) and d == word.encode()
+
+
+def test_long_words_go_on_from_the_last_step_of_a_query(encoding, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "STEP_ROWS", 3000)
+    rng = random.Random(4)
+    word = "".join(rng.choice("etaoins") for _ in range(1000))
+    assert byte_bpe.DuckMerges(P.path("byte_bpe_50k.tiktoken")).encode([word.encode()])[0][0].tolist() == encoding.encode_ordinary(word)
+
+
+def test_words_come_again_after_the_memory_is_full(spark, encoding, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO", 5)
+    monkeypatch.setattr(byte_bpe, "NEW_WORDS", 4)
+    texts = [*fuzz(40, 9), *fuzz(40, 9), ENGLISH]
+    got = byte_bpe.encode_decode(frame(spark, [(i, t, None) for i, t in enumerate(texts)]).coalesce(1), P.path("byte_bpe_50k.tiktoken")).collect()
+    assert all(list(r.ids) == encoding.encode_ordinary(texts[r.doc_id]) for r in got) and len(got) == len(texts)
 
 
 def test_encode_decode_rows(spark, encoding):
