@@ -41,14 +41,15 @@ class WordTokens:
     """Little-endian 32-bit ids of a text by a tokenizers file, remembered by word.
 
     The pre-tokenizer cuts a text into words that are encoded apart from each other,
-    so a text's ids are its words' ids in order.
+    so a text's ids are its words' ids in order. Texts that hold a special token's name
+    or characters beyond the pattern's own classes go to the tokenizer whole.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
         self.end = end_id.to_bytes(4, "little")
         self.memo: dict[str, bytes] = {}
 
@@ -63,7 +64,7 @@ class WordTokens:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if _OTHER.search(text):
+        if _OTHER.search(text) or self.special.search(text):
             return self.bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
         words, memo = _WORD.findall(text.lower()), self.memo
         try:

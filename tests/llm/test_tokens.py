@@ -115,8 +115,9 @@ def test_token_counts_rows(spark, ranks):
 def test_word_ids_equal_the_tokenizer():
     own = packing.WordTokens(P.path("word_bpe_49k.json"))
     whole = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    whole.encode_special_tokens = True
-    for t in [*fuzz(4000, 9), ENGLISH, "<|endoftext|>"]:
+    names = [t.content for t in whole.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in names
+    for t in [*fuzz(4000, 9), ENGLISH, *names, *(f"a {n} b{n.upper()} {n}c" for n in names)]:
         assert own.encode(t) == own.bytes_of(whole.encode(t, add_special_tokens=False).ids) + own.end
 
 
@@ -137,7 +138,7 @@ def held(pieces_, window):
 
 
 def test_every_id_is_packed_once(spark):
-    rows = [r for r in odd_rows() if r[0] != 2] + [(300 + i, ENGLISH * (1 + i % 9), "en") for i in range(200)]
+    rows = [r for r in odd_rows() if r[0] != 2] + [(250, "a <|endoftext|> b", "en")] + [(300 + i, ENGLISH * (1 + i % 9), "en") for i in range(200)]
     docs = with_clashes(frame(spark, rows)).repartition(3)
     got = packing.pack(docs, P.path("word_bpe_49k.json"), window=128, open_windows=4, min_cut=4, with_ids=True).collect()
     own = packing.WordTokens(P.path("word_bpe_49k.json"))
@@ -148,6 +149,9 @@ def test_every_id_is_packed_once(spark):
             ids += bytes(r.ids)
             assert r.length == len(r.ids) // 4
         assert ids == own.encode(text) and all(r.doc_tokens == len(ids) // 4 for r in got if r.doc_id == doc_id)
+    twice = packing.pack(with_clashes(frame(spark, odd_rows())).repartition(3), P.path("word_bpe_49k.json"), window=128, open_windows=4, min_cut=4, with_ids=True).where("doc_id = 2").collect()
+    assert sum(r.length for r in twice) == 2 * len(own.encode(ENGLISH)) // 4 and all(r.ids_crc32 == zlib.crc32(bytes(r.ids)) for r in twice)
+    assert all(own.encode(ENGLISH)[4 * r.start : 4 * (r.start + r.length)] == bytes(r.ids) for r in twice)
     total = sum(r.length for r in got)
     assert held(got, 128)[1] < 0.05 * total
     assert packing.pack(frame(spark, []), P.path("word_bpe_49k.json")).count() == 0
