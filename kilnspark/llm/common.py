@@ -23,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir; where that is unset, a folder of our own in local mode and an error on a cluster."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not (context.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = context.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="spark-kiln-")
@@ -67,9 +69,19 @@ def lower_ascii(text: Column) -> Column:
     return F.lower(F.replace(text, F.lit("K"), F.lit("Ω")))
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Broadcast a side whose counted rows are within the limit, else leave the join to shuffle."""
-    return F.broadcast(df) if rows <= limit else df
+#: Bytes of a side that may be broadcast; above it the join shuffles.
+BROADCAST_BYTES = 64 << 20
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of a table's rows: its strings and binaries as long as they are, 16 for each value."""
+    long = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    return df.agg(F.sum(sum(long, F.lit(16 * len(df.columns)))).alias("bytes")).first()["bytes"] or 0
+
+
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Broadcast a materialized side whose measured bytes are within the limit, else leave the join to shuffle."""
+    return F.broadcast(df) if measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -80,10 +92,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Rows of dropped identifiers that may be broadcast; above it the join shuffles.
-BROADCAST_ROWS = 2_000_000
-
-
 def text_digest(text: Column) -> Column:
     """SHA-256 of a text, null counting as empty; with the doc_id it tells rows apart whose ids are null or repeated."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
@@ -99,13 +107,13 @@ def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     """The rows of docs whose doc_id and text are not those of a row of gone(doc_id, digest), with all their columns."""
     gone = materialize(gone.select("doc_id", "digest").distinct(), name)
     key, digest, own = (fresh(docs, c) for c in ("gone_id", "gone_digest", "own_digest"))
-    gone = broadcast_if_small(gone.toDF(key, digest), gone.count(), BROADCAST_ROWS)
+    gone = broadcast_if_small(gone.toDF(key, digest))
     marked = docs.withColumn(own, text_digest(docs["text"]))
     return marked.join(gone, marked["doc_id"].eqNullSafe(F.col(key)) & (F.col(own) == F.col(digest)), "left_anti").select(*docs.columns)
 
 
-#: Rows of whole texts that go to a Python worker at once, where the session has Spark's own default.
-BATCH_ROWS, SPARK_BATCH_ROWS = 1000, "10000"
+#: Rows of whole texts that go to a Python worker at once, where nobody has set their number.
+BATCH_ROWS = 1000
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -121,9 +129,8 @@ def release_memory() -> None:
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow over small batches, memory released at the end of each task."""
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH_SETTING) == SPARK_BATCH_ROWS:
-        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    if not df.sparkSession._jsparkSession.sessionState().conf().contains(_BATCH_SETTING):
+        df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE_CLASS, broadcast_if_small, fresh, materialize, table
+from .common import SPACE_CLASS, broadcast_if_small, fresh, materialize, table
 
 MIN_CHUNK, MAX_CHUNK = 256, 4096
 
@@ -63,7 +63,8 @@ def survivors(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
     Rows are known by doc_id and the digest of their text. Where rows that share both
-    are repeated, the longest original of them stays.
+    are repeated, the longest original of them stays; of equally long ones that differ in
+    other columns, the one whose columns hash highest.
     """
     key, digest, stays = (fresh(docs, name) for name in ("row_id", "row_sha", "stays"))
     sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), SPACE_CLASS + "+", ""), 256)
@@ -75,10 +76,11 @@ def survivors(docs: DataFrame) -> DataFrame:
         .drop("rows")
     )
     states = materialize(states, "dropped")
-    states = broadcast_if_small(states, states.count(), BROADCAST_ROWS)
+    states = broadcast_if_small(states)
     seen = docs.join(states, docs["doc_id"].eqNullSafe(F.col(key)) & (sha == F.col(digest)), "left")
     once = seen.where(F.col(stays).isNull()).select(*docs.columns)
-    repeated = seen.where(F.col(stays)).groupBy(key, digest).agg(F.max_by(F.struct(*docs.columns), F.length(F.coalesce("text", F.lit("")))).alias("row")).select("row.*")
+    whole = F.struct(*docs.columns)
+    repeated = seen.where(F.col(stays)).groupBy(key, digest).agg(F.max_by(whole, F.struct(F.length(F.coalesce("text", F.lit(""))), F.xxhash64(*docs.columns))).alias("row")).select("row.*")
     return once.unionByName(repeated)
 
 

@@ -8,7 +8,7 @@ one node from the start, so copies never meet in a bucket.
 Within a bucket no list of pairs is built. First every member is compared with the
 bucket's pivot, the member that stands in the fullest buckets; that is linear in the
 bucket. Buckets whose members are then still in several classes go to blocks: every
-such node lives in one block of at most BLOCK residents, and the nodes outside a
+such node lives in one block of about BLOCK residents or BLOCK_HASHES hashes, and the nodes outside a
 bucket's largest class visit the blocks of the bucket's members, where whole sets are
 compared and only links that join two classes come out. So all candidates that share
 a band are compared unless they are known to be in one class already.
@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, broadcast_if_small, digested, forget, fresh, map_batches, materialize, table, text_digest, without
+from .common import broadcast_if_small, digested, forget, fresh, map_batches, materialize, table, text_digest, without
 
 #: Values and bands of a signature: a pair at 0.8 is missed with probability (1 - 0.8^6)^38, under 1e-5.
 ROWS, BANDS = 6, 38
-BLOCK, VISITORS = 1024, 4096
+#: Most residents and visitors of a block, and hashes in the sets of either (8 bytes each; one larger set is a block's own).
+BLOCK, VISITORS, BLOCK_HASHES = 1024, 4096, 4_000_000
 #: Words whose hashes a worker remembers.
 MEMO = 150_000
 SEED = 20
@@ -192,7 +193,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     """uid and label for every node of nodes(uid, skey, rep, n, bands) that has a link; None if none has."""
     spark = nodes.sparkSession
     rows = nodes.where("n > 0").select("uid", "n", F.explode("bands").alias("key"))
-    full = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    full = rows.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("hashes")).where("size > 1")
     members = materialize(rows.join(full, "key"), "members")
     if members.isEmpty():
         return None
@@ -204,7 +205,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     wanted = nodes.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "skey", "rep")
     wanted = materialize(wanted, "wanted")
     reps = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(broadcast_if_small(reps, reps.count(), BROADCAST_ROWS), docs["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi").select("text")
+    texts = docs.join(broadcast_if_small(reps), docs["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi").select("text")
     sets = materialize(shingle_sets(texts, k).join(wanted.select("uid", "skey"), "skey").groupBy("uid").agg(F.first("shingles").alias("shingles")), "sets")
 
     close = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
@@ -221,17 +222,17 @@ def near_links(nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
 
     # buckets whose members, the compared pivot aside, are in several classes
     apart = placed.where("uid <> pivot").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(placed.join(apart, "key").select("key", "uid", "label", "size"), "rest")
+    rest = materialize(placed.join(apart, "key").select("key", "uid", "label", "size", "hashes", "n"), "rest")
     if rest.isEmpty():
         return classes
     largest = rest.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("largest"))
-    home = rest.groupBy("uid", "label").agg(F.max(F.struct("size", "key")).alias("h"))
-    block = F.concat_ws("-", F.col("h.key"), F.pmod(F.xxhash64("uid"), F.ceil(F.col("h.size") / BLOCK)))
+    home = rest.groupBy("uid", "label").agg(F.max(F.struct("size", "key", "hashes")).alias("h"))
+    block = F.concat_ws("-", F.col("h.key"), F.pmod(F.xxhash64("uid"), F.greatest(F.ceil(F.col("h.size") / BLOCK), F.ceil(F.col("h.hashes") / BLOCK_HASHES))))
     home = materialize(home.select("uid", "label", block.alias("home")), "homes")
     homes = rest.join(home.select("uid", "home"), "uid").select("key", "home").distinct()
-    visits = rest.join(largest, "key").where("label <> largest").select("key", "uid", "label").join(homes, "key").select("uid", "label", "home").distinct()
+    visits = rest.join(largest, "key").where("label <> largest").select("key", "uid", "label", "n").join(homes, "key").select("uid", "label", "home", "n").distinct()
     visits = materialize(visits, "visits")
-    parts = visits.groupBy("home").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("parts"))
+    parts = visits.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / VISITORS), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int").alias("parts"))
     guests = visits.join(parts, "home").select("uid", "label", "home", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("resident"))
     hosts = home.join(parts, "home").select("uid", "label", "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("resident"))
 
@@ -289,11 +290,10 @@ def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     dropped = materialize(judged.where("stay < rows").select("doc_id", "digest", (F.col("stay") > 0).alias("stays")), "dropped")
     out = without(docs, dropped, "gone")
     again = dropped.where("stays")
-    repeats = again.count()
-    if not repeats:
+    if again.isEmpty():
         return out
     key, digest, own = (fresh(docs, c) for c in ("row_id", "row_digest", "own_digest"))
-    again = broadcast_if_small(again.select(F.col("doc_id").alias(key), F.col("digest").alias(digest)), repeats, BROADCAST_ROWS)
+    again = broadcast_if_small(again.select(F.col("doc_id").alias(key), F.col("digest").alias(digest)))
     marked = docs.withColumn(own, text_digest(docs["text"]))
     same = marked.join(again, marked["doc_id"].eqNullSafe(F.col(key)) & (F.col(own) == F.col(digest)))
     return out.unionByName(same.groupBy(key, digest).agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*"))

@@ -82,6 +82,7 @@ def features(docs: DataFrame) -> DataFrame:
 class Gaussian:
     mean: np.ndarray
     factor: np.ndarray  # lower Cholesky factor of the shrunk covariance
+    whiten: np.ndarray  # its inverse
     log_weight: float
 
     @classmethod
@@ -89,10 +90,11 @@ class Gaussian:
         mean = sums / n
         cov = products / n - np.outer(mean, mean)
         cov = (1 - shrinkage) * cov + shrinkage * np.diag(np.diag(cov)) + ridge * np.eye(len(mean))
-        return cls(mean, np.linalg.cholesky(cov), float(np.log(n / total)))
+        factor = np.linalg.cholesky(cov)
+        return cls(mean, factor, np.linalg.inv(factor), float(np.log(n / total)))
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
-        z = np.linalg.solve(self.factor, (x - self.mean).T)
+        z = self.whiten @ (x - self.mean).T
         return self.log_weight - np.log(np.diag(self.factor)).sum() - 0.5 * (z * z).sum(axis=0)
 
 

@@ -24,8 +24,6 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 DAMPING, STEPS, PARENT_WEIGHT, MARGIN = 0.85, 8, 1.0, 1e-9
-#: Host rows that may be broadcast; above it the join shuffles.
-BROADCAST_ROWS = 300_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["'](?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
@@ -89,7 +87,7 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     share = lambda v: F.coalesce(F.avg(F.when(F.col("found.verdict") == v, 1.0).otherwise(0.0)), F.lit(0.0))
     hosts = materialize(judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), share("allow").alias("trusted"), share("block").alias("blocked")), "hosts")
     edges = materialize(host_edges(judged, hosts, "html", parent_weight), "edges")
-    ranks = broadcast_if_small(propagate(hosts, edges, damping, steps), hosts.count(), BROADCAST_ROWS)
+    ranks = broadcast_if_small(propagate(hosts, edges, damping, steps))
     out = judged.drop("html").join(ranks, "host", "left").na.fill(0.0, ["trust", "distrust"])
     bad = F.round(F.col("distrust") - F.col("trust"), 9) > margin
     return out.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")

@@ -82,3 +82,40 @@ def test_survivors_and_empty(spark):
     assert kept.columns == docs.columns
     assert kept.count() == near_dedup.near_dedup(docs, k=2).where("kept").count() < 20
     assert near_dedup.near_dedup(frame(spark, [])).count() == 0
+
+
+def test_blocks_bounded_by_their_hashes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_HASHES", 300)
+    rows = mutated(7, 120)
+    got = near_dedup.near_dedup(frame(spark, rows), k=2).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows, 2, 80)
+
+
+def test_all_links_of_the_table_are_found(spark, sf_dir):
+    """Recall at sf0.01 by brute force over pairs that share a shingle."""
+    from kilnspark.llm.common import table
+
+    docs = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents").select("doc_id", "text").collect()
+    shingles = near_dedup.Shingles(2)
+    sets = {r.doc_id: shingles.of(r.text) for r in docs}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    holders, links = {}, 0
+    for i in sorted(sets):
+        shared = {}
+        for s in sets[i].tolist():
+            for j in holders.setdefault(s, []):
+                shared[j] = shared.get(j, 0) + 1
+            holders[s].append(i)
+        for j, both in shared.items():
+            if near_dedup.linked(len(sets[i]), len(sets[j]), both, 80):
+                links += 1
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    got = {r.doc_id: r for r in near_dedup.op2_minhash_near_dedup(spark, sf_dir.replace("sf0.001", "sf0.01")).collect()}
+    assert links > 100 and all(got[i].component_id == root(i) and got[i].n_shingles == len(sets[i]) for i in sets)
