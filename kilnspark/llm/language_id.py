@@ -16,13 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, table, text_digest, without
 
-#: Training is on a bounded sample: documents for each language, code points read of each, and spliced sequences.
-SAMPLE_DOCS, SAMPLE_CHARS, SEQUENCES, LENGTH = 300, 1500, 1000, 80
+#: Training is on a bounded sample: whole documents of each language, code points of all of them, and spliced sequences.
+SAMPLE_DOCS, SAMPLE_POINTS, SEQUENCES, LENGTH = 300, 2_000_000, 1000, 80
 SLOTS, STEPS, RATE, DECAY, SEED = 1 << 16, 40, 0.3, 1e-5, 5
 #: Words whose feature sums a worker remembers, and words worked on together.
 MEMO, TOGETHER = 200_000, 600_000
@@ -119,6 +119,30 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
             beta = np.concatenate([pulled, np.ones((more, pulled.shape[1]), pulled.dtype)]) if more else pulled
 
 
+def likelihood_gradient(scores: np.ndarray, transitions: np.ndarray, tags: np.ndarray, chains: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log-likelihood of chains of equal length by scores and by transitions: what is, less what is expected.
+
+    scores and tags are laid out by step: row t * chains + i of scores is step t of
+    chain i, whose tag is tags[t, i].
+    """
+    k, steps = len(transitions), len(tags)
+    post, expected = np.empty_like(scores), np.zeros((k, k))
+    local = np.exp(scores - scores.max(axis=1, keepdims=True))
+    move = np.exp(transitions - transitions.max())
+    alphas = [local[:chains] / local[:chains].sum(axis=1, keepdims=True)]
+    for t in range(1, steps):
+        a = (alphas[-1] @ move) * local[t * chains : (t + 1) * chains]
+        alphas.append(a / a.sum(axis=1, keepdims=True))
+    for rows, p, beta in forward_backward(scores, np.full(chains, steps), transitions):
+        post[rows] = p
+        if t := rows.start // chains:
+            joint = alphas[t - 1][:, :, None] * move[None] * (local[rows] * beta)[:, None, :]
+            expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    pairs = np.zeros((k, k))
+    np.add.at(pairs, (tags[:-1].ravel(), tags[1:].ravel()), 1)
+    return np.eye(k)[tags.ravel()] - post, pairs - expected
+
+
 def train(samples: list[tuple[str, str]], steps: int = STEPS, rate: float = RATE, decay: float = DECAY, seed: int = SEED) -> Crf | None:
     """A field learned from (lang, text) samples by adaptive gradient ascent on the likelihood of spliced sequences."""
     rng = np.random.default_rng(seed)
@@ -150,36 +174,19 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, rate: float = RATE
     names = sorted(set(chosen))
     index = {w: i for i, w in enumerate(names)}
     word = np.fromiter((index[w] for w in chosen), np.int64, len(chosen)).reshape(SEQUENCES, LENGTH).T.ravel()
-    target = np.eye(k)[truth.T.ravel()]
     slots, starts = feature_slots(names)
     owner = np.repeat(np.arange(len(names)), np.diff(np.concatenate([starts, [len(slots)]])))
     used, slot = np.unique(slots, return_inverse=True)
     w, trans = np.zeros((len(used), k)), np.zeros((k, k))
     gw, gt = np.full_like(w, 1e-6), np.full_like(trans, 1e-6)
-    lengths = np.full(SEQUENCES, LENGTH)
-    pairs = np.zeros((k, k))
-    np.add.at(pairs, (truth[:, :-1].ravel(), truth[:, 1:].ravel()), 1)
     for _ in range(steps):
-        scores = np.add.reduceat(w[slot], starts, axis=0)[word]
-        post, expected, after = np.empty_like(scores), np.zeros((k, k)), None
-        local = np.exp(scores - scores.max(axis=1, keepdims=True))
-        move = np.exp(trans - trans.max())
-        alphas = [local[:SEQUENCES] / local[:SEQUENCES].sum(axis=1, keepdims=True)]
-        for t in range(1, LENGTH):
-            a = (alphas[-1] @ move) * local[t * SEQUENCES : (t + 1) * SEQUENCES]
-            alphas.append(a / a.sum(axis=1, keepdims=True))
-        for rows, p, beta in forward_backward(scores, lengths, trans):
-            post[rows] = p
-            t = rows.start // SEQUENCES
-            if t:
-                joint = alphas[t - 1][:, :, None] * move[None] * (local[rows] * beta)[:, None, :]
-                expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        missing, pulled = likelihood_gradient(np.add.reduceat(w[slot], starts, axis=0)[word], trans, truth.T, SEQUENCES)
         gap = np.zeros((len(names), k))
-        np.add.at(gap, word, target - post)
+        np.add.at(gap, word, missing)
         grad = np.stack([np.bincount(slot, gap[owner, j], len(used)) for j in range(k)], axis=1) / len(word) - decay * w
         gw += grad * grad
         w += rate * grad / np.sqrt(gw)
-        grad = (pairs - expected) / len(word)
+        grad = pulled / len(word)
         gt += grad * grad
         trans += rate * grad / np.sqrt(gt)
     model.weights[used] = w
@@ -191,23 +198,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(lang, stretch of text) of at most per_lang documents of each language, picked by a hash of doc_id."""
+def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS, points: int = SAMPLE_POINTS) -> list[tuple[str, str]]:
+    """(lang, whole text) of a bounded sample: for each language at most per_lang distinct documents, in order of a hash of doc_id and text, and of those as many as have no more than so many code points in all, passing over what would be too long by itself."""
     taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in taught.groupBy("lang").count().collect()}
+    spot = F.xxhash64("doc_id", "text", F.lit("sample"))
+    counts = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.approx_count_distinct(spot).alias("n")).collect()}
     if not counts:
         return []
     grain = 1 << 30
-    limit = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(grain, 2 * per_lang * grain // n + 1)))])
-    spot = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(grain))
-    at = F.pmod(F.xxhash64("doc_id", F.lit("stretch")), F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
-    rows = taught.select("lang", spot.alias("spot"), F.substring(F.col("text"), at, F.lit(chars)).alias("text")).where(F.col("spot") < limit[F.col("lang")]).collect()
-    out: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["spot"], r["text"])):
-        mine = out.setdefault(r["lang"], [])
-        if len(mine) < per_lang:
-            mine.append((r["lang"], r["text"]))
-    return [x for mine in out.values() for x in mine]
+    limit = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(grain, 2 * per_lang * grain // max(n, 1) + 1)))])
+    near = taught.select("lang", spot.alias("spot"), "text").where((F.pmod("spot", F.lit(grain)) < limit[F.col("lang")]) & (F.length("text") <= points))
+    by_spot = Window.partitionBy("lang").orderBy("spot")
+    near = near.groupBy("lang", "spot").agg(F.min("text").alias("text"))
+    near = near.withColumn("place", F.row_number().over(by_spot)).withColumn("points", F.sum(F.length("text")).over(by_spot))
+    rows = near.where((F.col("place") <= per_lang) & ((F.col("points") <= points) | (F.col("place") == 1))).select("lang", "text").collect()
+    return sorted((r["lang"], r["text"]) for r in rows)
 
 
 class Labeller:

@@ -69,3 +69,33 @@ def test_features_of_a_word_do_not_depend_on_its_neighbours():
 
     words = ["a", "the", "étre", "ab"]
     assert of(words) == [of([w])[0] for w in words]
+
+
+def test_a_repeated_id_does_not_swell_the_sample(spark):
+    rows = [(7, f"{ENGLISH} {i}", "en") for i in range(2000)] + [(7, ENGLISH, "en")] * 300 + [(8, GERMAN, "de")] * 400
+    sample = language_id.training_sample(frame(spark, rows), per_lang=50)
+    assert 25 <= sum(lang == "en" for lang, _ in sample) <= 50 and sum(lang == "de" for lang, _ in sample) == 1
+    few = language_id.training_sample(frame(spark, rows), per_lang=50, points=1000)
+    assert 1 <= len(few) and sum(len(t) for lang, t in few if lang == "en") <= 1000
+    assert all(len(t) > 2 for _, t in few)
+
+
+def test_the_gradient_is_that_of_the_likelihood():
+    """Node and pair posteriors, as training uses them, against differences of the log-likelihood of one chain."""
+    rng, k, n = np.random.default_rng(6), 3, 5
+    scores, move, tags = rng.normal(size=(n, k)), rng.normal(size=(k, k)), rng.integers(k, size=n)
+
+    def likelihood(scores, move):
+        paths = list(itertools.product(range(k), repeat=n))
+        value = lambda p: sum(scores[t, s] for t, s in enumerate(p)) + sum(move[a, b] for a, b in zip(p, p[1:], strict=False))
+        return value(tags) - np.log(np.sum(np.exp([value(p) for p in paths])))
+
+    nodes, pairs = language_id.likelihood_gradient(scores, move, tags[:, None], 1)
+    for at in np.ndindex(n, k):
+        d = np.zeros_like(scores)
+        d[at] = 1e-5
+        assert abs((likelihood(scores + d, move) - likelihood(scores - d, move)) / 2e-5 - nodes[at]) < 1e-6
+    for at in np.ndindex(k, k):
+        d = np.zeros_like(move)
+        d[at] = 1e-5
+        assert abs((likelihood(scores, move + d) - likelihood(scores, move - d)) / 2e-5 - pairs[at]) < 1e-6
