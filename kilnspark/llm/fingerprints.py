@@ -25,8 +25,8 @@ from .common import map_batches, table
 
 K, SKETCHES, TUPLE = 8, 64, 2
 SEED = 7
-#: Documents in a range, and the most ranges that the driver keeps cut points for.
-RANGE_ROWS, RANGES = 1024, 50_000
+#: Documents in a range, the most ranges that the driver keeps cut points for, and ranges that a task walks.
+RANGE_ROWS, RANGES, WALK = 1024, 50_000, 4
 
 
 class OrderMinHash:
@@ -107,13 +107,13 @@ def edited_points(points: np.ndarray, following: np.ndarray) -> np.ndarray:
 
 
 def range_cuts(docs: DataFrame, id_col: str) -> list[int]:
-    """Ascending cut points of about equal ranges, from about 20 sampled ids for each range."""
+    """Ascending cut points of about equal ranges, from about 20 sampled ids for each range; an id counts once, however often it is repeated."""
     n = docs.count()
     ranges = max(1, min(RANGES, n // RANGE_ROWS))
     if ranges == 1:
         return []
     every = max(1, n // (20 * ranges))
-    sample = sorted(r[0] for r in docs.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)).select(id_col).collect())
+    sample = sorted(r[0] for r in docs.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)).select(id_col).distinct().collect())
     return sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
 
@@ -189,7 +189,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     dealt = map_batches(source, deal, "spot long, guest boolean, doc_id long, tie long, packed binary")
-    in_order = dealt.repartition("spot").sortWithinPartitions("spot", "guest", F.asc_nulls_first("doc_id"), "tie").select("spot", "guest", "doc_id", "packed")
+    in_order = dealt.repartition(max(1, -(-len(filled) // WALK)), "spot").sortWithinPartitions("spot", "guest", F.asc_nulls_first("doc_id"), "tie").select("spot", "guest", "doc_id", "packed")
     return map_batches(in_order, walk, "doc_id long, n_chars long, fingerprint string, edited_sha256 string, edited_fingerprint string, near_edited double, near_next double")
 
 

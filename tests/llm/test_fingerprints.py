@@ -63,3 +63,43 @@ def test_repeated_single_and_no_rows(spark):
     one = fp.fingerprints(frame(spark, [(5, ENGLISH, "en")])).first()
     assert one.near_next == 1.0 and np.isclose(one.n_chars, len(ENGLISH))
     assert fp.fingerprints(frame(spark, [])).count() == 0
+
+
+def test_sketches_pick_the_least_numbered_kmers_in_text_order():
+    """Each sketch, from hashes of a plain list of numbered k-mers: the two of least rank, in text order, hashed together."""
+    omh = fp.OrderMinHash(k=4, sketches=16, tuple_size=2)
+    for text in (ENGLISH, "ab" * 40 + "xyz", GERMAN + ENGLISH, "abc", "abcde"):
+        points = fp.code_points(text)
+        h = omh.kmers(points).tolist()
+        mask, want = (1 << 64) - 1, []
+        for s in range(16):
+            ranks = []
+            for x in h:
+                r = ((((x ^ (x >> 32)) & 0xFFFFFFFF) * int(omh.odd[s, 0])) + int(omh.add[s, 0])) & 0xFFFFFFFF
+                r ^= r >> 15
+                ranks.append((r * 0x2C1B3C6D) & 0xFFFFFFFF)
+            least = sorted(sorted(range(len(h)), key=lambda i: (ranks[i], i))[:2])
+            out = 0x9E3779B97F4A7C15
+            for i in least:
+                out = ((out ^ h[i]) * 0x94D049BB133111EB) & mask
+                out ^= out >> 30
+            want.append(out >> 32)
+        assert omh.sketch(points).tolist() == want
+
+
+def test_likeness_is_the_share_of_equal_sketches(spark):
+    rows = [(i, t, "en") for i, t in enumerate((ENGLISH, ENGLISH + " more", GERMAN, "", ENGLISH))]
+    omh, got = fp.OrderMinHash(), {r.doc_id: r for r in fp.fingerprints(frame(spark, rows)).collect()}
+    for i, text, _ in rows:
+        following = rows[(i + 1) % len(rows)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        own, new, after = (omh.sketch(fp.code_points(t)) for t in (text, edited, following))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (omh.text_of(own), omh.text_of(new))
+        assert got[i].near_edited == sum(a == b for a, b in zip(own, new, strict=True)) / 64
+        assert got[i].near_next == sum(a == b for a, b in zip(own, after, strict=True)) / 64
+
+
+def test_a_hot_id_gives_one_cut_point(spark):
+    docs = frame(spark, [(5, f"t{i}", "en") for i in range(3000)] + [(i, "x", "en") for i in range(10, 3000)])
+    assert len(fp.range_cuts(docs, "doc_id")) <= 5 and fp.fingerprints(docs).count() == 5990
