@@ -10,6 +10,7 @@ text is shuffled, and a task holds OPEN windows whatever the size of its partiti
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -49,7 +50,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
+        names = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What special tokens' names have in common: a text without it holds none.
+        self.marks = [os.path.commonprefix(names)] if os.path.commonprefix(names) else names
         self.end = end_id.to_bytes(4, "little")
         self.memo: dict[str, bytes] = {}
 
@@ -64,9 +67,10 @@ class WordTokens:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if _OTHER.search(text) or self.special.search(text):
+        lower = text.lower()
+        if _OTHER.search(text) or any(mark in lower for mark in self.marks):
             return self.bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
-        words, memo = _WORD.findall(text.lower()), self.memo
+        words, memo = _WORD.findall(lower), self.memo
         try:
             return b"".join(map(memo.__getitem__, words)) + self.end
         except KeyError:
