@@ -53,11 +53,14 @@ def unparsed_files(files: DataFrame, parsed: DataFrame) -> DataFrame:
     return files.select("path", "project", "size").join(parsed.select("path"), "path", "left_anti")
 
 
+def total_and_blank(content: Column) -> tuple[Column, Column]:
+    lines = lines_of(content)
+    return F.size(lines).cast("long"), F.size(F.filter(lines, lambda x: F.trim(x) == "")).cast("long")
+
+
 def loc_metrics(files: DataFrame) -> DataFrame:
     """Total, blank and other lines of each file."""
-    lines = lines_of(F.col("content"))
-    blank = F.size(F.filter(lines, lambda x: F.trim(x) == "")).cast("long")
-    total = F.size(lines).cast("long")
+    total, blank = total_and_blank(F.col("content"))
     return files.select("path", total.alias("total_lines"), blank.alias("blank_lines"), (total - blank).alias("code_lines"))
 
 
@@ -66,17 +69,20 @@ BRANCH_WORDS = ["if", "elif", "else", "for", "while", "except", "with", "and", "
 BRANCH_SIGNS = [r"\?[ \t\n]", "&&", r"\|\|"]
 
 
-def branch_patterns() -> list[str]:
-    """The word patterns take ASCII word borders into their matches, so that both engines agree."""
-    return [rf"(^|[^A-Za-z0-9_]){w}([^A-Za-z0-9_]|$)" for w in BRANCH_WORDS] + BRANCH_SIGNS
+#: Word borders are in ASCII, as the oracle's engine has them; a match takes no neighbour with it.
+BRANCH_WORD = rf"(?<![A-Za-z0-9_])(?:{'|'.join(BRANCH_WORDS)})(?![A-Za-z0-9_])"
+BRANCH_SIGN = "|".join(BRANCH_SIGNS)
+
+
+def branch_complexity(content: Column, most: int = 50) -> Column:
+    """1 and the branch tokens of a text, at most 50: one pass for all words and one for all signs."""
+    text = F.coalesce(content, F.lit(""))
+    return F.least(1 + F.regexp_count(text, F.lit(BRANCH_WORD)) + F.regexp_count(text, F.lit(BRANCH_SIGN)), F.lit(most)).cast("long")
 
 
 def complexity_estimate(files: DataFrame, most: int = 50) -> DataFrame:
     """1 and the branch tokens of a file, at most 50, with maintainability and a grade."""
-    count = F.lit(1)
-    for p in branch_patterns():
-        count = count + F.regexp_count(F.coalesce("content", F.lit("")), F.lit(p))
-    rows = files.select("path", F.least(count, F.lit(most)).cast("long").alias("cc"), F.size(lines_of(F.col("content"))).cast("long").alias("lines"))
+    rows = files.select("path", branch_complexity(F.col("content"), most).alias("cc"), F.size(lines_of(F.col("content"))).cast("long").alias("lines"))
     mi = F.greatest(F.lit(0.0), 171 - 5.2 * F.ln(F.greatest("lines", F.lit(1)).cast("double")) - 0.23 * F.col("cc"))
     grade = F.when(F.col("cc") <= 5, "A").when(F.col("cc") <= 10, "B").when(F.col("cc") <= 15, "C").when(F.col("cc") <= 20, "D").otherwise("F")
     return rows.select("path", "cc", "lines", F.round(mi / 171 * 100, 2).alias("maintainability"), grade.alias("grade"))
@@ -87,17 +93,20 @@ OPERATOR = r"[+\-*/%=<>!&|^~?:]+"
 OPERAND = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+"
 
 
-def halstead(files: DataFrame) -> DataFrame:
-    """Vocabulary, length, volume, difficulty, effort, time and bugs from regular tokens; zero when the vocabulary is at most 1."""
+def halstead(files: DataFrame, *more: Column) -> DataFrame:
+    """Vocabulary, length, volume, difficulty, effort, time and bugs from regular tokens; zero when the vocabulary is at most 1.
+
+    More columns of the same rows go along, so that what is made of several metrics needs no join.
+    """
     text = F.coalesce("content", F.lit(""))
-    rows = files.select("path", F.regexp_extract_all(text, F.lit(OPERATOR), F.lit(0)).alias("ops"), F.regexp_extract_all(text, F.lit(OPERAND), F.lit(0)).alias("opds"))
+    rows = files.select("path", F.struct(F.lit(1).alias("row"), *more).alias("more"), F.regexp_extract_all(text, F.lit(OPERATOR), F.lit(0)).alias("ops"), F.regexp_extract_all(text, F.lit(OPERAND), F.lit(0)).alias("opds"))
     n = lambda c: F.size(c).cast("long")
-    rows = rows.select("path", n(F.array_distinct("ops")).alias("n1"), n(F.array_distinct("opds")).alias("n2"), n("ops").alias("total_operators"), n("opds").alias("total_operands"))
+    rows = rows.select("path", "more", n(F.array_distinct("ops")).alias("n1"), n(F.array_distinct("opds")).alias("n2"), n("ops").alias("total_operators"), n("opds").alias("total_operands"))
     vocabulary, length = F.col("n1") + F.col("n2"), F.col("total_operators") + F.col("total_operands")
     some = lambda c: F.when(vocabulary > 1, c).otherwise(0.0)
     volume = some(length * F.log2(vocabulary.cast("double")))
     difficulty = some(F.coalesce(F.try_divide(F.col("n1") * F.col("total_operands"), 2 * F.col("n2")), F.lit(0.0)))
-    return rows.select("path", "n1", "n2", "total_operators", "total_operands", vocabulary.alias("vocabulary"), length.alias("length"), F.round(volume, 2).alias("volume"), F.round(difficulty, 2).alias("difficulty"), F.round(volume * difficulty, 2).alias("effort"), F.round(volume * difficulty / 18, 2).alias("time_s"), F.round(volume / 3000, 4).alias("bugs"))
+    return rows.select("path", "n1", "n2", "total_operators", "total_operands", vocabulary.alias("vocabulary"), length.alias("length"), F.round(volume, 2).alias("volume"), F.round(difficulty, 2).alias("difficulty"), F.round(volume * difficulty, 2).alias("effort"), F.round(volume * difficulty / 18, 2).alias("time_s"), F.round(volume / 3000, 4).alias("bugs"), *(["more.*"] if more else [])).drop("row")
 
 
 def maintainability(volume: Column, complexity: Column, loc: Column) -> Column:
@@ -107,8 +116,9 @@ def maintainability(volume: Column, complexity: Column, loc: Column) -> Column:
 
 
 def maintainability_index(files: DataFrame) -> DataFrame:
-    joined = halstead(files).select("path", "volume").join(complexity_estimate(files).select("path", "cc"), "path").join(loc_metrics(files).select("path", "code_lines"), "path")
-    return joined.select("path", maintainability(F.col("volume"), F.col("cc"), F.col("code_lines").cast("double")).alias("mi"))
+    total, blank = total_and_blank(F.col("content"))
+    rows = halstead(files, branch_complexity(F.col("content")).alias("cc"), (total - blank).alias("code_lines"))
+    return rows.select("path", maintainability(F.col("volume"), F.col("cc"), F.col("code_lines").cast("double")).alias("mi"))
 
 
 def chunk_windows(files: DataFrame, size: int = 120, overlap: int = 4) -> DataFrame:

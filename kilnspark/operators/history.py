@@ -97,8 +97,8 @@ def git_summary(commits: DataFrame, changes: DataFrame, keywords: list[str]) ->
     """One row of totals; zero-filled when there is nothing."""
     totals = flagged(commits, keywords).agg(F.count("*").alias("commits"), F.countDistinct("author").alias("authors"), F.count_if("bug").alias("bug_commits"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
     lines = changes.agg(F.countDistinct("path").alias("files"), F.coalesce(F.sum("additions"), F.lit(0)).alias("additions"), F.coalesce(F.sum("deletions"), F.lit(0)).alias("deletions"))
-    top_file = changes.groupBy("path").count().agg(F.max_by("path", F.struct("count", -F.col("path"))).alias("most_active_file"))
-    top_author = commits.groupBy("author").count().agg(F.max_by("author", F.struct("count", -F.col("author"))).alias("most_active_author"))
+    top_file = changes.groupBy("path").count().agg(F.min_by("path", F.struct((-F.col("count")).alias("c"), "path")).alias("most_active_file"))
+    top_author = commits.groupBy("author").count().agg(F.min_by("author", F.struct((-F.col("count")).alias("c"), "author")).alias("most_active_author"))
     ratio = F.coalesce(F.round(F.try_divide("bug_commits", "commits"), 4), F.lit(0.0)).alias("bug_ratio")
     one = totals.withColumn("k", F.lit(1))
     for more in (lines, top_file, top_author):  # one row each

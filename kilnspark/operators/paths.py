@@ -8,36 +8,28 @@ from pyspark.sql import functions as F
 from .graph import layer_of
 
 #: Languages by extension: fixed values.
-EXTENSIONS = {
-    "python": ["py", "pyw", "pyi"],
-    "javascript": ["js", "mjs", "cjs", "jsx"],
-    "typescript": ["ts", "tsx"],
-    "java": ["java"],
-    "kotlin": ["kt", "kts"],
-    "cpp": ["cpp", "cc", "cxx", "hpp"],
-    "c": ["c", "h"],
-    "go": ["go"],
-    "rust": ["rs"],
-    "ruby": ["rb"],
-    "php": ["php"],
-    "csharp": ["cs"],
-    "swift": ["swift"],
-    "scala": ["scala"],
-    "r": ["r"],
-    "bash": ["sh", "bash", "zsh"],
-    "powershell": ["ps1"],
-    "sql": ["sql"],
-    "html": ["html", "htm"],
-    "css": ["css", "scss", "sass", "less"],
-    "json": ["json"],
-    "yaml": ["yaml", "yml"],
-    "toml": ["toml"],
-    "xml": ["xml"],
-    "markdown": ["md"],
-    "rst": ["rst"],
-    "text": ["txt", "env", "gitignore"],
-    "dockerfile": ["dockerfile"],
-}
+LANGUAGE_OF_EXTENSION = {
+    "py": "python", "pyw": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript",
+    "ts": "typescript", "tsx": "typescript", "java": "java", "kt": "kotlin", "kts": "kotlin", "cpp": "cpp", "cc": "cpp", "cxx": "cpp",
+    "c": "c", "h": "c", "hpp": "cpp", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "cs": "csharp", "swift": "swift",
+    "scala": "scala", "r": "r", "sh": "bash", "bash": "bash", "zsh": "bash", "ps1": "powershell", "sql": "sql", "html": "html",
+    "htm": "html", "css": "css", "scss": "css", "sass": "css", "less": "css", "json": "json", "yaml": "yaml", "yml": "yaml",
+    "toml": "toml", "xml": "xml", "md": "markdown", "rst": "rst", "txt": "text", "env": "text", "gitignore": "text", "dockerfile": "dockerfile",
+}
+#: Languages by whole file name, and by the interpreter of a first line: fixed values.
+LANGUAGE_OF_NAME = {
+    "Makefile": "makefile", "makefile": "makefile", "GNUmakefile": "makefile", "Dockerfile": "docker", "dockerfile": "docker",
+    "Jenkinsfile": "groovy", "Vagrantfile": "ruby", "Gemfile": "ruby", "Rakefile": "ruby", "Guardfile": "ruby", "Podfile": "ruby",
+    ".gitignore": "gitignore", ".env": "env", ".env.example": "env", ".env.local": "env", "requirements.txt": "text",
+    "package.json": "json", "tsconfig.json": "json", "pyproject.toml": "toml", "Cargo.toml": "toml", "go.mod": "go", "go.sum": "text",
+    "pom.xml": "xml", "build.gradle": "groovy", "build.gradle.kts": "kotlin", "CMakeLists.txt": "cmake", "MANIFEST.in": "text",
+    "setup.cfg": "ini", "tox.ini": "ini", ".eslintrc": "json", ".babelrc": "json", ".prettierrc": "json",
+}
+LANGUAGE_OF_INTERPRETER = {
+    "python": "python", "python3": "python", "python2": "python", "node": "javascript", "nodejs": "javascript", "deno": "typescript",
+    "ruby": "ruby", "perl": "perl", "php": "php", "bash": "bash", "sh": "bash", "zsh": "bash", "fish": "bash", "lua": "lua",
+    "rscript": "r", "groovy": "groovy", "kotlin": "kotlin", "swift": "swift",
+}
 #: Extensions and folders that are left out, and hidden names that are not: fixed values.
 SKIP_EXTENSIONS = [
     "pyc", "pyo", "pyd", "class", "jar", "war", "ear", "exe", "dll", "so", "dylib", "lib", "a", "o", "obj",
@@ -109,11 +101,21 @@ def extension_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
 
 
+def looked_up(key: Column, values: dict[str, str]) -> Column:
+    """The key's value in a map literal, null without one."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
+
+
 def language_by_extension(path: Column) -> Column:
-    out = F.lit("unknown")
-    for language, extensions in EXTENSIONS.items():
-        out = F.when(extension_of(path).isin(extensions), language).otherwise(out)
-    return out
+    return F.coalesce(looked_up(extension_of(path), LANGUAGE_OF_EXTENSION), F.lit("unknown"))
+
+
+def language_by_shebang(content: Column) -> Column:
+    """The language of the interpreter that the first line names, its version cut off; null without one."""
+    line = F.trim(F.regexp_extract(content, r"^#!([^\r\n]*)", 1))
+    called = F.regexp_extract(line, r"/env\s+(\S+)", 1)
+    name = F.lower(F.regexp_extract(F.when(called != "", F.concat(F.lit("/"), called)).otherwise(line), r"/([^/\s]+)\s*$", 1))
+    return F.coalesce(looked_up(F.regexp_replace(name, r"[0-9.]+$", ""), LANGUAGE_OF_INTERPRETER), looked_up(name, LANGUAGE_OF_INTERPRETER))
 
 
 def is_skipped(path: Column) -> Column:
@@ -154,17 +156,35 @@ def keys(files: DataFrame, most: int = 60) -> DataFrame:
     return files.select("path", F.md5(F.concat_ws(":", project, path, F.lit("0"))).alias("chunk_id"), F.sha2(F.concat_ws("::", project, path, "language"), 256).alias("cache_key"), safe.alias("safe_name"), F.concat(F.lit("project_"), F.substring(F.replace(project, F.lit("-"), F.lit("")), 1, 40)).alias("collection"))
 
 
-def language_by_content(files: DataFrame, sample: int = 3000) -> DataFrame:
-    """The language with most points, the first of the best; unknown without any."""
-    text = F.substring(F.coalesce("content", F.lit("")), 1, sample)
+def content_best(content: Column, sample: int = 3000) -> Column:
+    """The language with most points, the first of the best, as a struct (points, first, language)."""
+    text = F.substring(F.coalesce(content, F.lit("")), 1, sample)
     points: dict[str, Column] = {}
     for language, weight, pattern in CONTENT_SIGNS:
         points[language] = points.get(language, F.lit(0)) + F.least(F.regexp_count(text, F.lit(pattern)), F.lit(3)) * weight
-    best = F.array_max(F.array(*[F.struct(p.cast("long").alias("points"), F.lit(-i).alias("first"), F.lit(name).alias("language")) for i, (name, p) in enumerate(points.items())]))
-    rows = files.select("path", best.alias("best"))
-    some = F.col("best.points") > 0
-    level = F.when(F.col("best.points") >= 10, "high").when(F.col("best.points") >= 4, "medium").when(F.col("best.points") >= 2, "low").otherwise("none")
-    return rows.select("path", F.when(some, F.col("best.language")).otherwise("unknown").alias("language"), F.col("best.points").alias("points"), level.alias("confidence"))
+    return F.array_max(F.array(*[F.struct(p.cast("long").alias("points"), F.lit(-i).alias("first"), F.lit(name).alias("language")) for i, (name, p) in enumerate(points.items())]))
+
+
+def confidence_of(points: Column) -> Column:
+    return F.when(points >= 10, "high").when(points >= 4, "medium").when(points >= 2, "low").otherwise("none")
+
+
+def language_by_content(files: DataFrame, sample: int = 3000) -> DataFrame:
+    """The language with most points, the first of the best; unknown without any."""
+    rows = files.select("path", content_best(F.col("content"), sample).alias("best"))
+    return rows.select("path", F.when(F.col("best.points") > 0, F.col("best.language")).otherwise("unknown").alias("language"), F.col("best.points").alias("points"), confidence_of(F.col("best.points")).alias("confidence"))
+
+
+def detected_languages(files: DataFrame) -> DataFrame:
+    """path, language, confidence, method: by name, else extension, else first line, else (over 50 characters) content with two points or more."""
+    path, text = F.col("path"), F.coalesce("content", F.lit(""))
+    named, extended, called = looked_up(name_of(path), LANGUAGE_OF_NAME), looked_up(extension_of(path), LANGUAGE_OF_EXTENSION), language_by_shebang(text)
+    rows = files.select("path", named.alias("n"), extended.alias("e"), called.alias("s"), F.when(F.length(F.trim(text, F.lit(" \t\n\r"))) > 50, content_best(text)).alias("best"))
+    told = F.col("best.points") >= 2
+    method = F.when(F.col("n").isNotNull(), "filename").when(F.col("e").isNotNull(), "extension").when(F.col("s").isNotNull(), "shebang").when(told, "heuristics").otherwise("none")
+    language = F.coalesce("n", "e", "s", F.when(told, F.col("best.language")), F.lit("unknown"))
+    sure = F.coalesce("n", "e", "s").isNotNull()
+    return rows.select("path", language.alias("language"), F.when(sure, "high").when(told, confidence_of(F.col("best.points"))).otherwise("none").alias("confidence"), method.alias("method"))
 
 
 def merged_intervals(rows: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FACTS = "path long, kind string, name string, owner string, line long, lines long, args array<string>, mutable_defaults int, annotated boolean, documented boolean, complexity int, plain_complexity int, nesting int, unreachable boolean, methods int, silent boolean"
-IMPORTS = "path long, module string, name string, level long, line long"
+FACTS = "path {path}, kind string, name string, owner string, line long, lines long, args array<string>, mutable_defaults int, annotated boolean, documented boolean, complexity int, cognitive int, plain_complexity int, nesting int, unreachable boolean, methods int, bases array<string>, creates string, silent boolean"
+IMPORTS = "path {path}, module string, name string, level long, line long"
+LOOPS = "path {path}, kind string, seq int, line int, line_end int, depth int, lookups int, source string"
 #: Names that arguments should not hide, words of flag-like arguments, numbers that need no name: fixed values.
 BUILTINS = [
     "list", "dict", "set", "tuple", "str", "int", "float", "bool",
@@ -36,6 +37,37 @@ def nesting(node: ast.AST, depth: int = 0) -> int:
     return max([depth, *(nesting(x, depth + isinstance(x, _NESTS)) for x in ast.iter_child_nodes(node))])
 
 
+_COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
+_LOOP_OR_TRY = (ast.For, ast.AsyncFor, ast.While, ast.Try)
+
+
+def cognitive(function: ast.FunctionDef | ast.AsyncFunctionDef) -> int:
+    """Points for branches, loops, tries and withs, each deeper one worth one more; one each for an else, a change
+    between and and or, a comprehension, a lambda and a call of the function itself. Conditions and what is opened
+    by a with are not looked into."""
+
+    def all_of(nodes, depth: int, chain: type | None = None) -> int:
+        return sum(of(x, depth, chain) for x in nodes)
+
+    def of(x: ast.AST, depth: int, chain: type | None) -> int:
+        if isinstance(x, ast.If):
+            # an elif is worth a point whatever its depth, like an else
+            surplus = sum(depth + 2 for y in x.orelse if isinstance(y, ast.If))
+            return 1 + depth + all_of(x.body, depth + 1) + len(x.orelse) + all_of(x.orelse, depth + 1) - surplus
+        if isinstance(x, ast.With | ast.AsyncWith):
+            return 1 + depth + all_of(x.body, depth + 1)
+        if isinstance(x, _LOOP_OR_TRY):
+            return 1 + depth + all_of(ast.iter_child_nodes(x), depth + 1)
+        if isinstance(x, (*_COMPREHENSIONS, ast.Lambda)):
+            return 1
+        if isinstance(x, ast.BoolOp):
+            return (type(x.op) is not chain) + all_of((y for y in x.values if isinstance(y, ast.BoolOp)), depth, type(x.op))
+        itself = isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and x.func.id == function.name
+        return itself + all_of(ast.iter_child_nodes(x), depth, chain)
+
+    return all_of(function.body, 0)
+
+
 def _tree(source: str | None) -> ast.Module | None:
     try:
         return ast.parse(source or "")
@@ -57,11 +89,21 @@ def _function(x: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None) -> d
     return {
         "kind": "function", "name": x.name, "owner": owner, "args": [y.arg for y in (*a.posonlyargs, *a.args, *a.kwonlyargs)],
         "mutable_defaults": sum(isinstance(d, ast.List | ast.Dict | ast.Set) for d in a.defaults), "annotated": x.returns is not None,
-        "documented": ast.get_docstring(x) is not None, "complexity": complexity(x), "plain_complexity": plain_complexity(x), "nesting": nesting(x),
+        "documented": ast.get_docstring(x) is not None, "complexity": complexity(x), "cognitive": cognitive(x), "plain_complexity": plain_complexity(x), "nesting": nesting(x),
         "unreachable": bool(stops) and any(not isinstance(y, ast.Pass | ast.Expr) for y in x.body[stops[0] + 1 :]),
     }
 
 
+#: Names with a capital that an initializer may call: fixed values.
+PLAIN_CALLS = ["Exception", "ValueError"]
+
+
+def _created(x: ast.ClassDef) -> str | None:
+    """The first other class that the class's initializer makes an instance of."""
+    calls = (y.func.id for f in x.body if isinstance(f, ast.FunctionDef) and f.name == "__init__" for y in ast.walk(f) if isinstance(y, ast.Call) and isinstance(y.func, ast.Name))
+    return next((n for n in calls if n[0].isupper() and n != x.name and n not in PLAIN_CALLS), None)
+
+
 def _facts(path, source):
     """A row for each function, class, exception handler without a type and unusual number; one for a text that does not parse."""
     names = [c.split()[0] for c in FACTS.split(", ")]
@@ -80,7 +122,7 @@ def _facts(path, source):
         if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef):
             yield row(x, **_function(x, owners.get(x)))
         elif isinstance(x, ast.ClassDef):
-            yield row(x, kind="class", name=x.name, methods=sum(isinstance(y, ast.FunctionDef | ast.AsyncFunctionDef) for y in x.body))
+            yield row(x, kind="class", name=x.name, bases=[ast.unparse(b) for b in x.bases], creates=_created(x), methods=sum(isinstance(y, ast.FunctionDef | ast.AsyncFunctionDef) for y in x.body))
         elif isinstance(x, ast.ExceptHandler) and x.type is None:
             yield row(x, kind="handler", silent=len(x.body) == 1 and isinstance(x.body[0], ast.Pass))
         elif isinstance(x, ast.Constant) and isinstance(x.value, int | float) and x.value not in PLAIN_NUMBERS:
@@ -98,6 +140,32 @@ def _imports(path, source):
                 yield path, x.module, n.name, x.level, x.lineno
 
 
+_LOOPS = (ast.For, ast.While)
+
+
+def _loop_depth(node: ast.AST) -> int:
+    """1, or 2 with a loop inside, or 3 with one inside that; deeper ones count as 3."""
+    inner = [x for x in ast.walk(node) if x is not node and isinstance(x, _LOOPS)]
+    if not inner:
+        return 1
+    return 3 if any(isinstance(y, _LOOPS) for x in inner for y in ast.walk(x) if y is not x) else 2
+
+
+def _loops(path, source):
+    """A row for a text that parses, and one for each loop and asynchronous function, in the order of the walk."""
+    tree = _tree(source)
+    if tree is None:
+        return
+    lines = (source or "").splitlines()
+    yield path, "parsed", -1, 0, 0, 0, 0, None
+    for seq, x in enumerate(ast.walk(tree)):
+        if not isinstance(x, (*_LOOPS, ast.AsyncFunctionDef)):
+            continue
+        names = [y.value.id for y in ast.walk(x) if isinstance(y, ast.Subscript) and isinstance(y.value, ast.Name)]
+        kind, depth = ("loop", _loop_depth(x)) if isinstance(x, _LOOPS) else ("async", 0)
+        yield path, kind, seq, x.lineno, x.end_lineno, depth, max(map(names.count, names), default=0), "\n".join(lines[x.lineno - 1 : x.end_lineno])
+
+
 def _each(files: DataFrame, rows_of, schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -106,7 +174,7 @@ def _each(files: DataFrame, rows_of, schema: str) -> DataFrame:
             rows = [r for p, c in zip(batch.path, batch.content, strict=True) for r in rows_of(p, c)]
             yield pd.DataFrame(rows, columns=names)
 
-    return files.select(F.col("path").cast("long").alias("path"), "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema.format(path=files.schema["path"].dataType.simpleString()))
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -115,7 +183,7 @@ def facts(files: DataFrame) -> DataFrame:
 
 def functions(files: DataFrame) -> DataFrame:
     """One row for each function or method; files that do not parse give none."""
-    return facts(files).where("kind = 'function'").select("path", "name", F.col("owner").alias("class_name"), F.col("line").alias("line_start"), (F.col("line") + F.col("lines") - 1).alias("line_end"), F.size("args").alias("args"), "complexity", "nesting", "documented")
+    return facts(files).where("kind = 'function'").select("path", "name", F.col("owner").alias("class_name"), F.col("line").alias("line_start"), (F.col("line") + F.col("lines") - 1).alias("line_end"), F.size("args").alias("args"), "complexity", "cognitive", "nesting", "documented")
 
 
 def tree_findings(files: DataFrame) -> DataFrame:
@@ -145,6 +213,7 @@ def tree_findings(files: DataFrame) -> DataFrame:
         ("REF-PY-005", "MEDIUM", is_a("function") & (f("nesting") > 3), None),
         ("REF-PY-008", "LOW", is_a("function") & f("unreachable"), None),
         ("REF-PY-009", "LOW", is_a("function") & (flags > 0), flags),
+        ("REF-PY-DI", "MEDIUM", is_a("class") & f("creates").isNotNull(), None),
     ]
     hit = lambda rule, severity: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))
     none = F.array().cast("array<struct<rule:string,severity:string>>")
@@ -152,11 +221,45 @@ def tree_findings(files: DataFrame) -> DataFrame:
     return facts(files).select("path", "line", "name", F.explode(found).alias("h")).select("path", "line", "h.rule", "h.severity", "name")
 
 
+def loops(files: DataFrame) -> DataFrame:
+    return _each(files, _loops, LOOPS)
+
+
 def imports(files: DataFrame) -> DataFrame:
     """One row for each imported name; files that do not parse give none."""
     return _each(files, _imports, IMPORTS)
 
 
 def file_complexity(files: DataFrame) -> DataFrame:
-    """Functions, mean and largest complexity of each file, and how many exceed 10."""
-    return functions(files).groupBy("path").agg(F.count("*").alias("functions"), F.round(F.avg("complexity"), 2).alias("avg_complexity"), F.max("complexity").alias("max_complexity"), F.count_if(F.col("complexity") > 10).alias("complex_functions"))
+    """Functions of each file, their mean and largest complexity, mean cognitive points, and how many exceed 10."""
+    return functions(files).groupBy("path").agg(F.count("*").alias("functions"), F.round(F.avg("complexity"), 2).alias("avg_complexity"), F.max("complexity").alias("max_complexity"), F.round(F.avg("cognitive"), 2).alias("avg_cognitive"), F.count_if(F.col("complexity") > 10).alias("complex_functions"))
+
+
+def class_complexity(files: DataFrame) -> DataFrame:
+    """Methods of each class, mean and largest complexity, and its bases; a class without methods has 0."""
+    rows = facts(files).where("kind = 'class' or kind = 'function' and owner is not null")
+    name = F.when(F.col("kind") == "class", F.col("name")).otherwise(F.col("owner"))
+    own = F.when(F.col("kind") == "function", F.col("complexity"))
+    out = rows.groupBy("path", name.alias("class_name")).agg(F.count(own).alias("methods"), F.coalesce(F.round(F.avg(own), 2), F.lit(0.0)).alias("avg_complexity"), F.coalesce(F.max(own), F.lit(0)).alias("max_complexity"), F.first("bases", ignorenulls=True).alias("bases"))
+    return out.withColumn("bases", F.array_join("bases", ","))
+
+
+def class_edges(files: DataFrame) -> DataFrame:
+    """path, class_name, base of each base that is a class of the corpus, by its last name."""
+    classes = facts(files).where("kind = 'class'").select("path", F.col("name").alias("class_name"), "bases")
+    bases = classes.select("path", "class_name", F.explode("bases").alias("base")).withColumn("base", F.regexp_extract("base", r"([^.\[\(]*)(?:[\[\(].*)?$", 1))
+    return bases.join(classes.select(F.col("class_name").alias("base")).distinct(), "base", "left_semi").select("path", "class_name", "base")
+
+
+def project_complexity(files: DataFrame, digits: int = 2) -> DataFrame:
+    """For each project the averages of its files' averages, its functions, and its worst file; files without functions count as 0."""
+    by_file = files.select("path", "project").join(file_complexity(files), "path", "left").na.fill(0)
+    worst = F.max_by("path", F.struct("max_complexity", "avg_complexity", "path"))
+    return by_file.groupBy("project").agg(F.count("*").alias("files"), F.sum("functions").alias("functions"), F.round(F.avg("avg_complexity"), digits).alias("avg_complexity"), F.round(F.avg("avg_cognitive"), digits).alias("avg_cognitive"), F.max("max_complexity").alias("max_complexity"), worst.alias("worst_file"))
+
+
+def magic_numbers(files: DataFrame, most: int = 3) -> DataFrame:
+    """path, value, line of the first distinct unusual numbers of each file, as REF-PY-004 reports them."""
+    rows = facts(files).where("kind = 'number'").groupBy("path", F.col("name").alias("value")).agg(F.min("line").alias("line"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("line", "value"))
+    return rows.withColumn("place", place).where(F.col("place") <= most).drop("place")

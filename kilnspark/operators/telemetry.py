@@ -49,7 +49,8 @@ def rate_limit_decisions(requests: DataFrame, limit: int, seconds: int) -> DataF
 
     Whether a request counts depends on the decisions before it, which no window
     expresses; each user's times are folded in order, holding at most `limit` of them.
-    Rows arrive sorted in partitions dealt by user, so no user is ever held in memory.
+    Rows arrive sorted in partitions dealt by user, so no user is ever held in memory. A
+    user's requests are one task, however many: the rule is sequential in them.
     """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     dealt = requests.select("id", "user_id", at.alias("at")).repartition("user_id").sortWithinPartitions("user_id", "at", "id")
@@ -72,7 +73,8 @@ def rate_limit_decisions(requests: DataFrame, limit: int, seconds: int) -> DataF
                 used.append(len(recent))
             yield pd.DataFrame({"id": batch.id, "user_id": batch.user_id, "allowed": accepted, "used": used})
 
-    return dealt.mapInPandas(decide, "id long, user_id long, allowed boolean, used long")
+    kind = lambda c: requests.schema[c].dataType.simpleString()
+    return dealt.mapInPandas(decide, f"id {kind('id')}, user_id {kind('user_id')}, allowed boolean, used long")
 
 
 def idle_sessions(requests: DataFrame, gap: str) -> DataFrame:

@@ -38,14 +38,14 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for ids, rows, chunk, theirs in zip(batch.q_ids, batch.q_rows, batch.v_ids, batch.v_rows, strict=True):
-                chunk = np.asarray(chunk)
+                chunk = np.asarray(list(chunk))
                 for i, scores in zip(ids, unit(rows) @ unit(theirs).T, strict=True):
                     rounded = np.where(chunk == i, -2.0, np.round(scores, 6))
                     best = np.lexsort((chunk, -rounded))[:k]
                     best = best[rounded[best] > -2]
                     yield pd.DataFrame({"query": i, "chunk": chunk[best], "cosine": rounded[best]})
 
-    found = pairs.mapInPandas(nearest, "query long, chunk long, cosine double")
+    found = pairs.mapInPandas(nearest, f"query {queries.schema['chunk'].dataType.simpleString()}, chunk {vectors.schema['chunk'].dataType.simpleString()}, cosine double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "chunk"))), 1, k)
     return found.groupBy("query").agg(best.alias("best")).select("query", F.posexplode("best").alias("at", "b")).select("query", F.col("b.chunk").alias("chunk"), (-F.col("b.far")).alias("cosine"), (F.col("at") + 1).alias("place"))
 

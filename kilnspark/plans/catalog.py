@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, code, files, history, paths, structure, telemetry
+from . import chat, code, codebase, files, history, intake, paths, structure, telemetry
 
-_PARTS = [history, files, chat, telemetry, code, structure, paths]
+_PARTS = [history, files, chat, telemetry, code, structure, paths, codebase, intake]
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}

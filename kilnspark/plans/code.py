@@ -76,11 +76,20 @@ g AS (SELECT *, (100 - least(100, floor(deduction / greatest(1.0, total_lines /
 
 
 _NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\\*.*?\\*/', '', 'g'), '//[^\\n]*|#[^\\n]*', '', 'g'), '\\s+', ' ', 'g'), ' ')"
-_TOKENS = f"list_filter(regexp_extract_all(lower(text), '{m.TOKEN}'), lambda t: t NOT IN ({', '.join(_lit(t) for t in m.STOP_TOKENS)}) AND length(t) > 1)"
+_TOKENS = f"list_filter(regexp_extract_all(lower({_NORMAL}), '{m.TOKEN}'), lambda t: t NOT IN ({', '.join(_lit(t) for t in m.STOP_TOKENS)}) AND length(t) > 1)"
 _SHINGLES = "CASE WHEN len(toks) >= 3 THEN list_distinct(list_transform(range(1, len(toks) - 1), lambda i: array_to_string(toks[i:i + 2], ' '))) ELSE list_distinct(toks) END"
 _SETS = f"t AS (SELECT doc_id AS path, {_TOKENS} AS toks FROM documents), s AS (SELECT path, toks, {_SHINGLES} AS shingles FROM t)"
 _CLASSES = f"{_SETS}, d AS (SELECT path, list_sort(shingles) AS shingles FROM s WHERE len(shingles) > 0), q AS (SELECT path, shingles, min(path) OVER (PARTITION BY shingles) AS class_path, count(*) OVER (PARTITION BY shingles) AS members FROM d)"
 
+
+
+def _blocks(table: str, key: str, text: str, size: int = 8) -> str:
+    return f"""WITH l AS (SELECT {key} AS path, list_transform(list_filter(string_split({text}, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> ''), lambda x: lower(trim(regexp_replace(x, '#.*|//.*', '', 'g'), ' ' || chr(9) || chr(13)))) AS ls FROM {table}),
+b AS (SELECT path, i - 1 AS at_line, md5(array_to_string(ls[i:i + {size - 1}], chr(10))) AS digest FROM (SELECT path, ls, unnest(range(1, len(ls) - {size - 2})) AS i FROM l WHERE len(ls) >= {2 * size})),
+r AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY path, digest) AS occurrences, lead(at_line) OVER w AS second_at FROM b WINDOW w AS (PARTITION BY path, digest ORDER BY at_line))
+SELECT path, digest, occurrences, at_line AS first_at, second_at FROM r WHERE r = 1 AND second_at - at_line >= {size}"""
+
+
 ORACLE = {
     "shingle_counts": f"WITH {_SETS} SELECT path, len(toks)::BIGINT AS tokens, len(shingles)::BIGINT AS shingles FROM s",
     "exact_duplicates": f"""WITH n AS (SELECT doc_id AS path, md5({_NORMAL}) AS digest FROM documents)
@@ -89,9 +98,7 @@ SELECT path, min(path) OVER (PARTITION BY digest) AS class_path, count(*) OVER (
 p AS (SELECT a.path AS path_a, b.path AS path_b, a.n AS na, b.n AS nb, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.path < b.path GROUP BY ALL)
 SELECT path_a, path_b, round(k / (na + nb - k), 4) AS similarity FROM p WHERE k / (na + nb - k) >= 0.7 - 1e-9""",
     "jaccard_membership": f"WITH {_CLASSES} SELECT path, class_path, members FROM q",
-    "repeated_blocks": """WITH l AS (SELECT doc_id AS path, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM documents),
-b AS (SELECT path, i - 1 AS at_line, md5(array_to_string(ls[i:i + 2], chr(10))) AS digest FROM (SELECT path, ls, unnest(range(1, len(ls) - 1)) AS i FROM l))
-SELECT path, digest, count(*) AS occurrences, min(at_line)::BIGINT AS first_at, max(at_line)::BIGINT AS last_at FROM b GROUP BY path, digest HAVING count(*) > 1 AND max(at_line) - min(at_line) >= 3""",
+    "repeated_blocks": _blocks("documents", "doc_id", "text"),
     "benchmark_overlap": f"""WITH {_SETS}, bt AS (SELECT item_id AS item, {_TOKENS} AS toks FROM benchmark), bs AS (SELECT item, {_SHINGLES} AS shingles FROM bt),
 a AS (SELECT path, unnest(shingles) AS x FROM s), b AS (SELECT item, len(shingles) AS n, unnest(shingles) AS x FROM bs)
 SELECT path, item, count(*) AS shared, round(count(*) / n, 4) AS containment FROM a JOIN b USING (x) GROUP BY path, item, n HAVING count(*) >= 0.5 * n""",

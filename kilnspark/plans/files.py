@@ -26,7 +26,7 @@ QUERIES = {
 }
 
 _LINES = "(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END)"
-_CC = " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in f.branch_patterns())
+_CC = " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in (rf"\b(?:{'|'.join(f.BRANCH_WORDS)})\b", f.BRANCH_SIGN))
 _LOC = "len(string_split(text, chr(10)))"
 _BLANK = "len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') = ''))"
 _HALSTEAD = f"""t AS (SELECT doc_id AS path, regexp_extract_all(text, '{f.OPERATOR}') AS ops, regexp_extract_all(text, '{f.OPERAND}') AS opds FROM documents),

@@ -10,9 +10,15 @@ from kilnspark.operators.web import SCHEME_HOST
 from kilnspark.sources import corpus as c
 
 
+_FOLDERS = ["", "/api/v1/auth", "/services/node_modules", "/models", "/api/v1/files", "/.github", "/build/utils", "/src/db"]
+_ENDINGS = ["", ".py", "/Dockerfile", ".tar.gz", ".JS"]
+
+
 def _paths(spark, sf_dir):
+    """The path of a page's url, put below folders that mean something to the rules and given an extension, by the page's number."""
     path = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), SCHEME_HOST, "")
-    return c.load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), path.alias("path"))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % len(values)).cast("int") + 1)
+    return c.load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.concat(pick(_FOLDERS), path, pick(_ENDINGS)).alias("path"))
 
 
 def _intervals(spark, sf_dir):
@@ -62,10 +68,10 @@ def _points() -> str:
 
 
 ORACLE = {
-    "path_facts": f"""WITH s AS (SELECT page_id AS id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '{SCHEME_HOST}', '') AS path FROM pages)
+    "path_facts": f"""WITH s AS (SELECT page_id AS id, ({_FOLDERS})[page_id % {len(_FOLDERS)} + 1] || regexp_replace(regexp_replace(url, '[?#].*$', ''), '{SCHEME_HOST}', '') || ({_ENDINGS})[page_id % {len(_ENDINGS)} + 1] AS path FROM pages)
 SELECT id, {_NAME} AS name, {_EXT} AS extension, regexp_replace({_NAME}, '(.)\\.[^.]+$', '\\1') AS stem, regexp_replace(path, '/?[^/]*$', '') AS parent,
   CASE WHEN regexp_extract(path, '^/*([^/]+)/', 1) = '' THEN 'root' ELSE regexp_extract(path, '^/*([^/]+)/', 1) END AS package,
-  {_case([(f"{_EXT} IN ({_list(e)})", name) for name, e in p.EXTENSIONS.items()], 'unknown')} AS language,
+  {_case([(f"{_EXT} = '{e}'", name) for e, name in p.LANGUAGE_OF_EXTENSION.items()], 'unknown')} AS language,
   {_case([(f"regexp_matches(lower(path), '{'|'.join(words)}')", layer) for layer, words in g.LAYERS.items()], 'other')} AS layer,
   {_case([(f"starts_with(path, '{a}')", b) for a, b in p.TIERS], 'api_default')} AS tier,
   len(list_filter(string_split(path, '/'), lambda x: x IN ({_list(p.SKIP_FOLDERS)}) OR (starts_with(x, '.') AND x NOT IN ({_list(p.SHOWN_HIDDEN)})))) > 0 OR {_EXT} IN ({_list(p.SKIP_EXTENSIONS)}) OR length(path) > 500 AS skipped

@@ -36,3 +36,13 @@ def parse_commits(logs: DataFrame) -> DataFrame:
 def file_changes(commits: DataFrame) -> DataFrame:
     """hash, path, additions, deletions, position."""
     return commits.select("hash", F.posexplode("changes").alias("at", "c")).select("hash", "c.path", "c.additions", "c.deletions", (F.col("at") + 1).alias("position"))
+
+
+#: Names under which callers send a commit's fields, the first that is not empty counts: fixed values.
+ALIASES = {"hash": ["hash", "sha"], "author_email": ["author_email", "email"], "author_name": ["author_name", "author"], "date": ["date", "timestamp"], "message": ["message", "subject"]}
+
+
+def from_aliases(rows: DataFrame) -> DataFrame:
+    """Commits given under any of the names of ALIASES, as strings under the first of them, empty where none is there."""
+    have = lambda names: [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in rows.columns]
+    return rows.select(*[F.coalesce(*have(names), F.lit("")).alias(to) for to, names in ALIASES.items()])
