@@ -4,62 +4,21 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kilnspark.functions.tables import forget, materialize, shared_dir  # noqa: F401
+
 #: ASCII white space as the contracts list it.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-_own_dir: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, a folder of our own in local mode and an error on a cluster."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not (context.master or "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = context.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="spark-kiln-")
-    return _own_dir[app]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    Lineage ends at files which every executor can read, so a lost executor costs
-    the tasks it ran and no earlier step.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._kiln_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a materialized table that nothing reads any more."""
-    path = getattr(df, "_kiln_path", None)
-    if path is None:
-        return
-    context = df.sparkSession.sparkContext
-    where = context._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-case so that the ASCII letters of words come out as A-Z lower-cased.
 
