@@ -31,18 +31,26 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return norm.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_chars", F.sha2("norm", 256).alias("text_sha256"), digests.alias("chunks"))
 
 
+def clashing_keys(chunks: DataFrame) -> DataFrame:
+    """key of each 64-bit key that stands for several digests; counted before it is shuffled, so a hot chunk is one row of each task."""
+    used = chunks.select(F.explode("chunks").alias("chunk")).groupBy(F.col("chunk.key").alias("key")).agg(F.min("chunk.digest").alias("lo"), F.max("chunk.digest").alias("hi"))
+    return materialize(used.where("lo <> hi").select("key"), "clashes")
+
+
 def recipes(chunks: DataFrame) -> DataFrame:
-    """uid, doc_id, n_chars, text_sha256, recipe: the ordered verified identifiers."""
-    rows = chunks.select("uid", "doc_id", "n_chars", "text_sha256", F.posexplode_outer("chunks").alias("pos", "chunk")).select("uid", "doc_id", "n_chars", "text_sha256", "pos", F.col("chunk.key").alias("key"), F.col("chunk.digest").alias("digest"))
-    dictionary = (
-        chunks.select(F.explode("chunks").alias("chunk"))
-        .groupBy(F.col("chunk.key").alias("key"))
-        .agg(F.min("chunk.digest").alias("lo"), F.max("chunk.digest").alias("hi"), F.count("*").alias("uses"))
-        .select("key", (F.col("lo") == F.col("hi")).alias("verified"))
-    )
-    ident = F.when(F.col("verified"), F.hex("key")).otherwise(F.concat(F.hex("key"), F.lit(":"), F.hex("digest")))
-    placed = rows.join(dictionary, "key", "left").select("uid", "doc_id", "n_chars", "text_sha256", F.when(F.col("pos").isNotNull(), F.struct("pos", ident.alias("ident"))).alias("at"))
-    return placed.groupBy("uid", "doc_id", "n_chars", "text_sha256").agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["ident"]).alias("recipe"))
+    """uid, doc_id, n_chars, text_sha256, recipe: the ordered verified identifiers.
+
+    The dictionary verifies every key against the digests of all chunks that have it. A
+    key that passes is the chunk's identifier, made within the row; texts with one that
+    does not (about one key in 2^64 / chunks) take key and digest there.
+    """
+    clashes = clashing_keys(chunks)
+    if clashes.isEmpty():
+        return chunks.select("uid", "doc_id", "n_chars", "text_sha256", F.transform("chunks", lambda c: F.hex(c["key"])).alias("recipe"))
+    marks = chunks.select("uid", F.explode("chunks.key").alias("key")).join(broadcast_if_small(clashes), "key").groupBy("uid").agg(F.collect_set("key").alias("clashing"))
+    joined = chunks.join(broadcast_if_small(materialize(marks, "clashing")), "uid", "left")
+    ident = lambda c: F.when(F.array_contains("clashing", c["key"]), F.concat(F.hex(c["key"]), F.lit(":"), F.hex(c["digest"]))).otherwise(F.hex(c["key"]))
+    return joined.select("uid", "doc_id", "n_chars", "text_sha256", F.transform("chunks", ident).alias("recipe"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
@@ -52,11 +60,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and all empty texts are equal. Of equal texts the longest original stays, then the
     smallest doc_id (null last), then the first row read, so repeated rows leave one.
     Columns other than id_col and text_col are not looked at. No rows give no rows.
+
+    Lists of identifiers are grouped and joined by their SHA-256; only groups of several
+    rows come back to the rows, by broadcast while they are small.
     """
     found = recipes(materialize(chunk_table(docs, id_col, text_col, least, most), "chunks"))
+    found = found.select("uid", "doc_id", "n_chars", "text_sha256", F.size("recipe").cast("long").alias("n_chunks"), F.unhex(F.sha2(F.array_join("recipe", ","), 256)).alias("rid"))
     order = F.struct((-F.col("n_chars")).alias("longest"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid")
-    groups = found.groupBy("recipe").agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
-    return found.join(groups, "recipe").select("uid", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
+    groups = found.groupBy("rid").agg(F.count("*").alias("size"), F.min(order).alias("best")).where("size > 1").select("rid", "size", F.col("best.doc_id").alias("best_id"), F.col("best.uid").alias("best_uid"))
+    alone = F.col("size").isNull()
+    return found.join(broadcast_if_small(materialize(groups, "groups")), "rid", "left").select(
+        "uid", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best_id")).alias("keep_id"), F.coalesce("size", F.lit(1)).alias("group_size"),
+        (alone | (F.col("uid") == F.col("best_uid"))).alias("kept"), "text_sha256", "n_chunks",
+    )
 
 
 def survivors(docs: DataFrame) -> DataFrame:
@@ -70,6 +86,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), SPACE_CLASS + "+", ""), 256)
     states = (
         exact_dedup(docs)
+        .where("group_size > 1")
         .groupBy(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest))
         .agg(F.max("kept").alias(stays), F.count("*").alias("rows"))
         .where(~F.col(stays) | (F.col("rows") > 1))
