@@ -10,6 +10,7 @@ import corpus_pipeline
 from kilnspark.llm import language_id, packing, quality
 from kilnspark.llm.common import table
 
+from .helpers import ENGLISH, GERMAN, frame, with_clashes
 from .test_near_dedup import brute as near_brute
 from .test_tokens import held
 
@@ -70,3 +71,33 @@ def test_clean_documents_stay(spark, sf_dir):
     kept = corpus_pipeline.quality_stage(spark, docs, sf_dir).join(good, "doc_id").count()
     assert kept >= 0.97 * clean.count()
     assert corpus_pipeline.language_stage(spark, docs, sf_dir).join(good, "doc_id").count() >= 0.99 * clean.count()
+
+
+def tables(spark, folder, rows):
+    """documents with odd rows and clashing columns, and labels that teach both classes."""
+    docs = with_clashes(frame(spark, rows))
+    docs.coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, 1) for i, *_ in rows if i is not None and 300 <= i < 360] + [(i, 0) for i, *_ in rows if i is not None and 400 <= i < 440]
+    spark.createDataFrame(labels, "doc_id long, quality int").selectExpr("doc_id", "quality", "0 AS toxic").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_odd_rows_and_clashing_columns_go_through(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    shuffled = lambda text, i: " ".join(np.random.default_rng(i).permutation(text.split() * 3))
+    good = [(300 + i, f"{shuffled(ENGLISH, i)}. {shuffled(ENGLISH, i + 99)}.", "en") for i in range(30)] + [(330 + i, f"{shuffled(GERMAN, i)}. {shuffled(GERMAN, i + 99)}.", "de") for i in range(30)]
+    bad = [(400 + i, "$$ ## 11 @@ " * int(rng.integers(3, 30)), "en") for i in range(40)]
+    twin = good[0][1]
+    extra = [(None, twin, "en"), (None, f"{shuffled(ENGLISH, 777)}. so it is.", "en"), (301, twin, "en"), (None, "$$ ## 11 @@ " * 9, None), (None, None, None), (500, "", "en"), good[5], good[5]]
+    folder = tables(spark, tmp_path / "t", good + bad + extra)
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    docs = {r.doc_id for r in pieces}
+    assert {i for i, *_ in good} - {300} <= docs and not docs & {i for i, *_ in bad} and None in docs
+    assert sum(r.doc_tokens for r in pieces if r.doc_id == 305 and r.start == 0) == len(packing.WordTokens(P.path("word_bpe_49k.json")).encode(good[5][1])) // 4
+    held(pieces, packing.WINDOW)
+
+
+def test_empty_tables_go_through(spark, tmp_path):
+    folder = tables(spark, tmp_path / "t", [])
+    out = corpus_pipeline.run(spark, folder)
+    assert out.count() == 0 and "sequence_id" in out.columns
