@@ -52,6 +52,12 @@ def test_trust_and_distrust_walk_over_links(spark):
     assert got["friend.net"].verdict == got["alone.net"].verdict == "allow"
 
 
+def test_distrust_walks_back_over_a_long_chain(spark):
+    rows = [(i, f"http://h{i}.net/", f"<a href=http://h{i + 1}.net/x>y</a>") for i in range(19)] + [(19, "http://h19.net/", "<a href=//bad.com/de/>y</a>"), (20, "http://bad.com/de/", "")]
+    got = {r.page_id: r for r in url_filter.url_filter(pages(spark, rows)).collect()}
+    assert all(got[i].distrust > 0 and got[i].verdict == "block" for i in range(20))
+
+
 def test_propagation_matches_dense_iteration(spark):
     edges = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 2.0)]
     hosts = spark.createDataFrame([("a", 1.0, 0.0), ("b", 0.0, 0.5), ("c", 0.0, 0.0)], "host string, trusted double, blocked double")
