@@ -189,6 +189,29 @@ def first():
     return f
 '''),
 ]
+#: A file of routes; {id} becomes its number.
+ROUTES = '''@router.get("/items/{id}")
+async def read_item(item):
+    return item
+
+
+@app.post( '/items' )
+def add_item(item):
+    return item
+
+
+@app.route("/shop/{id}", methods=["GET", 'POST'])
+def shop():
+    return "shop"
+
+
+@blueprint.route("/plain")
+def plain():
+    return "plain"
+
+
+@router.delete("/lost")
+'''
 LANGUAGES = {"py": "python", "js": "javascript", "": "unknown"}
 
 
@@ -203,6 +226,12 @@ def code_files(spark: SparkSession, sf_dir: str, extension: str | None = None) -
     return (rows if extension is None else rows.where(F.col("ext") == extension)).drop("ext")
 
 
+def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: one file of routes for each supplier."""
+    key = F.col("s_suppkey").cast("string")
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("routes/shop"), key, F.lit(".py")).alias("path"), F.replace(F.lit(ROUTES), F.lit("{id}"), key).alias("content"))
+
+
 def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
