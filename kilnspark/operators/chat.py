@@ -103,3 +103,18 @@ def session_export(messages: DataFrame) -> DataFrame:
     block = F.concat(F.lit("### "), F.initcap("role"), F.lit("\n\n"), "content", F.lit("\n"))
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", block.alias("block"))))
     return messages.groupBy("session").agg(F.count("*").alias("messages"), F.array_join(F.transform(turns, lambda x: x["block"]), "\n").alias("markdown"))
+
+
+def session_payloads(messages: DataFrame) -> DataFrame:
+    """Each session with all its messages in order, as JSON; fields that are null are left out."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
+    return messages.groupBy("session").agg(F.count("*").alias("messages"), F.to_json(turns).alias("payload"))
+
+
+def session_summaries(messages: DataFrame, preview: int = 200) -> DataFrame:
+    """session, messages, replies and a preview: the beginning of the second reply, of the first where there is but one, null without any."""
+    order = Window.partitionBy("session").orderBy("turn", "content")
+    early = messages.where("role = 'assistant'").withColumn("r", F.row_number().over(order)).where("r <= 2")
+    shown = early.groupBy("session").agg(F.max_by(F.substring("content", 1, preview), "r").alias("preview"))
+    counts = messages.groupBy("session").agg(F.count("*").alias("messages"), F.count_if(F.col("role") == "assistant").alias("replies"))
+    return counts.join(shown, "session", "left")

@@ -212,3 +212,19 @@ def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
     total = rows.agg(F.count("*").alias("total"))
     few = rows.orderBy(*order).offset((number - 1) * size).limit(size)
     return few.join(F.broadcast(total)).withColumn("pages", F.ceil(F.col("total") / size)).withColumn("has_more", F.col("total") > number * size)
+
+
+def upload_actions(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """path, action for files (path, content) that come to a store of such: unchanged, replace (the path holds another content), duplicate (the content lies under other paths) or add.
+
+    Null contents count as empty. Repeated rows are judged alike; where a path is stored
+    more than once, one stored row with the same content suffices.
+    """
+    digest = F.sha2(F.coalesce("content", F.lit("")), 256)
+    rows, kept = incoming.select("path", digest.alias("digest")), stored.select("path", digest.alias("digest"))
+    paths = kept.select("path").distinct().withColumn("known_path", F.lit(True))
+    texts = kept.select("digest").distinct().withColumn("known_text", F.lit(True))
+    same = kept.distinct().withColumn("same", F.lit(True))
+    joined = rows.join(same, ["path", "digest"], "left").join(paths, "path", "left").join(texts, "digest", "left")
+    action = F.when(F.col("same"), "unchanged").when(F.col("known_path"), "replace").when(F.col("known_text"), "duplicate").otherwise("add")
+    return joined.select("path", action.alias("action"))

@@ -106,6 +106,25 @@ def repeated_blocks(files: DataFrame, size: int = 8) -> DataFrame:
     return keyed.where(F.col("second_at") - F.col("first_at") >= size)
 
 
+def duplicate_windows(files: DataFrame, size: int = 4, least: int = 4) -> DataFrame:
+    """path, digest, occurrences, first_line, second_line: windows of so many lines that a file has more than once, blank lines and overlaps included.
+
+    Lines count from 1 and are compared without comments, with white space collapsed; a
+    window needs lines of at least `least` characters in half of its places. Files
+    shorter than two windows have none, null contents neither. All windows are given,
+    with their first two places.
+    """
+    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "#.*", ""), "//.*", ""), "[ \\t\\r]+", " "))
+    text = F.regexp_replace(F.coalesce("content", F.lit("")), r"\n\z", "")
+    rows = files.select("path", F.transform(F.split(text, "\n"), bare).alias("lines")).where(F.size("lines") >= 2 * size)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("lines") - size + 1, F.lit(1)))
+    window = lambda i: F.slice("lines", i, size)
+    full = lambda i: F.size(F.filter(window(i), lambda x: F.length(x) >= least)) >= size // 2
+    blocks = rows.select("path", F.explode(F.transform(F.filter(starts, full), lambda i: F.struct(i.alias("at"), F.md5(F.array_join(window(i), "\n")).alias("digest")))).alias("b"))
+    keyed = blocks.groupBy("path", "b.digest").agg(F.count("*").alias("occurrences"), F.slice(F.array_sort(F.collect_list("b.at")), 1, 2).alias("first"))
+    return keyed.where("occurrences > 1").select("path", "digest", "occurrences", F.col("first")[0].cast("long").alias("first_line"), F.col("first")[1].cast("long").alias("second_line"))
+
+
 def benchmark_overlap(files: DataFrame, items: DataFrame, k: int = 3, least: float = 0.5) -> DataFrame:
     """Items of a second corpus of which a file holds at least a part of the distinct shingles.
 

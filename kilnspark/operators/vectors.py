@@ -50,6 +50,16 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame
     return found.groupBy("query").agg(best.alias("best")).select("query", F.posexplode("best").alias("at", "b")).select("query", F.col("b.chunk").alias("chunk"), (-F.col("b.far")).alias("cosine"), (F.col("at") + 1).alias("place"))
 
 
+def retrieve(vectors: DataFrame, queries: DataFrame, k: int = 8, least: float = 0.15, widen: int = 3, most: int = 20) -> DataFrame:
+    """query, chunk, similarity, place: of the `widen` * k nearest (at most `most`) those similar enough, the first k.
+
+    Similarity is max(0, 1 - d / 2), d being the cosine distance.
+    """
+    near = cosine_topk(vectors, queries, min(most, widen * k)).withColumn("s", F.greatest(F.lit(0.0), 1 - (1 - F.col("cosine")) / 2))
+    kept = near.where((F.col("s") >= least) & (F.col("place") <= k))  # the order is that of similarity, so what is kept has no gaps
+    return kept.select("query", "chunk", F.round("s", 4).alias("similarity"), "place")
+
+
 def similarity_to(vectors: DataFrame, query: list[float], least: float = 0.15) -> DataFrame:
     """Vectors whose similarity max(0, 1 - d / 2), d being the cosine distance, is at least the threshold."""
     lit = F.array(*[F.lit(float(x)) for x in query])

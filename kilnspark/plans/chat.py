@@ -13,6 +13,8 @@ QUERIES = {
     "history_budget": lambda s, d: ch.history_budget(c.messages(s, d)),
     "intent_classification": lambda s, d: ch.intent_classification(c.messages(s, d)),
     "session_titles": lambda s, d: ch.session_titles(c.messages(s, d)),
+    "session_payloads": lambda s, d: ch.session_payloads(c.messages(s, d)),
+    "session_summaries": lambda s, d: ch.session_summaries(c.messages(s, d)),
     "session_export": lambda s, d: ch.session_export(c.messages(s, d)),
 }
 
@@ -47,5 +49,8 @@ SELECT conv_id AS session, turn, CASE WHEN score <= 0 THEN '{ch.DEFAULT_INTENT}'
 b AS (SELECT conv_id, regexp_extract(regexp_replace(trim(t, ' '), '^(?i)({"|".join(ch.FILLERS)}) +', ''), '^([^.!?\\n]*)', 1) AS s FROM f),
 k AS (SELECT conv_id, trim(upper(substr(s, 1, 1)) || substr(s, 2), ' ') AS t FROM b)
 SELECT conv_id AS session, CASE WHEN length(t) > 60 THEN regexp_replace(substr(t, 1, 57), ' [^ ]*$', '') || '...' ELSE t END AS title FROM k""",
+    "session_payloads": """SELECT conv_id AS session, count(*) AS messages, to_json(list({turn: turn, role: role, content: text} ORDER BY turn, role, text))::VARCHAR AS payload FROM conversations GROUP BY conv_id""",
+    "session_summaries": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations WHERE role = 'assistant'), p AS (SELECT conv_id, arg_max(substr(text, 1, 200), r) AS preview FROM e WHERE r <= 2 GROUP BY conv_id)
+SELECT c.conv_id AS session, count(*) AS messages, count(*) FILTER (WHERE role = 'assistant') AS replies, any_value(preview) AS preview FROM conversations c LEFT JOIN p ON c.conv_id = p.conv_id GROUP BY c.conv_id""",
     "session_export": """SELECT conv_id AS session, count(*) AS messages, string_agg('### ' || upper(role[1]) || role[2:] || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY turn, role, text) AS markdown FROM conversations GROUP BY conv_id""",
 }

@@ -25,6 +25,7 @@ QUERIES = {
     "jaccard_pairs": lambda s, d: m.jaccard_pairs(c.files(s, d)),
     "jaccard_membership": lambda s, d: m.shingle_classes(c.files(s, d)).select("path", "class_path", "members"),
     "repeated_blocks": lambda s, d: m.repeated_blocks(c.files(s, d)),
+    "duplicate_windows": lambda s, d: m.duplicate_windows(c.files(s, d)),
     "benchmark_overlap": lambda s, d: m.benchmark_overlap(c.files(s, d), _items(s, d)),
     "duplicate_report": lambda s, d: m.duplicate_report(c.files(s, d)),
     "security_findings": lambda s, d: r.findings(_pages(s, d), r.JS_SECURITY + r.PYTHON_SECURITY),
@@ -90,6 +91,13 @@ r AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY path, dige
 SELECT path, digest, occurrences, at_line AS first_at, second_at FROM r WHERE r = 1 AND second_at - at_line >= {size}"""
 
 
+def _windows(table: str, key: str, text: str, size: int = 4) -> str:
+    return f"""WITH l AS (SELECT {key} AS path, list_transform(string_split(regexp_replace(coalesce({text}, ''), '\\n\\z', ''), chr(10)), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '#.*', ''), '//.*', ''), '[ \\t\\r]+', ' ', 'g'), ' ')) AS ls FROM {table}),
+b AS (SELECT path, i AS first_line, md5(array_to_string(ls[i:i + {size - 1}], chr(10))) AS digest FROM (SELECT path, ls, unnest(range(1, len(ls) - {size - 2})) AS i FROM l WHERE len(ls) >= {2 * size}) WHERE len(list_filter(ls[i:i + {size - 1}], lambda x: length(x) > 3)) >= {size // 2}),
+r AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY path, digest) AS occurrences, lead(first_line) OVER w AS second_line FROM b WINDOW w AS (PARTITION BY path, digest ORDER BY first_line))
+SELECT path, digest, occurrences, first_line, second_line FROM r WHERE r = 1 AND occurrences > 1"""
+
+
 ORACLE = {
     "shingle_counts": f"WITH {_SETS} SELECT path, len(toks)::BIGINT AS tokens, len(shingles)::BIGINT AS shingles FROM s",
     "exact_duplicates": f"""WITH n AS (SELECT doc_id AS path, md5({_NORMAL}) AS digest FROM documents)
@@ -99,6 +107,7 @@ p AS (SELECT a.path AS path_a, b.path AS path_b, a.n AS na, b.n AS nb, count(*)
 SELECT path_a, path_b, round(k / (na + nb - k), 4) AS similarity FROM p WHERE k / (na + nb - k) >= 0.7 - 1e-9""",
     "jaccard_membership": f"WITH {_CLASSES} SELECT path, class_path, members FROM q",
     "repeated_blocks": _blocks("documents", "doc_id", "text"),
+    "duplicate_windows": _windows("documents", "doc_id", "text"),
     "benchmark_overlap": f"""WITH {_SETS}, bt AS (SELECT item_id AS item, {_TOKENS} AS toks FROM benchmark), bs AS (SELECT item, {_SHINGLES} AS shingles FROM bt),
 a AS (SELECT path, unnest(shingles) AS x FROM s), b AS (SELECT item, len(shingles) AS n, unnest(shingles) AS x FROM bs)
 SELECT path, item, count(*) AS shared, round(count(*) / n, 4) AS containment FROM a JOIN b USING (x) GROUP BY path, item, n HAVING count(*) >= 0.5 * n""",

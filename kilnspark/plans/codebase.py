@@ -10,7 +10,7 @@ from __future__ import annotations
 from kilnspark.operators import checks, chunks, lines, paths, performance, pyast, rules, similarity, summaries
 from kilnspark.sources.samples import CODE_SQL, code_files, expected_sql
 
-from .code import _blocks, _findings, _quality, _risk
+from .code import _blocks, _findings, _quality, _risk, _windows
 
 
 def _python(spark, sf_dir):
@@ -45,6 +45,7 @@ QUERIES = {
     "code_imports": lambda s, d: pyast.imports(_python(s, d)),
     "code_chunks": lambda s, d: chunks.code_chunks(_python(s, d)),
     "code_repeated_blocks": lambda s, d: similarity.repeated_blocks(code_files(s, d)),
+    "code_duplicate_windows": lambda s, d: similarity.duplicate_windows(code_files(s, d)),
     "code_security_findings": lambda s, d: rules.findings(_python(s, d), rules.PYTHON_SECURITY),
     "script_security_findings": lambda s, d: rules.findings(_script(s, d), rules.JS_SECURITY),
     "code_security_risk": lambda s, d: rules.security_risk(_python(s, d), rules.PYTHON_SECURITY),
@@ -131,6 +132,7 @@ SELECT project, count(*) AS files, sum(functions)::BIGINT AS functions, round(av
 n AS (SELECT e.*, length(array_to_string(string_split(content, chr(10))[line_start:line_end], chr(10)))::BIGINT AS chars FROM e JOIN {_PY} c ON c.path = e.path)
 SELECT *, greatest(1, chars // 4)::BIGINT AS tokens FROM n""",
     "code_repeated_blocks": _blocks(_ALL, "path", "content"),
+    "code_duplicate_windows": _windows(_ALL, "path", "content"),
     "code_security_findings": _findings(_PY, "path", "content", rules.PYTHON_SECURITY),
     "script_security_findings": _findings(_JS, "path", "content", rules.JS_SECURITY),
     "code_security_risk": _risk(_PY, "path", "content", rules.PYTHON_SECURITY),

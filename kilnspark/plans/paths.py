@@ -34,7 +34,15 @@ def _sessions(spark, sf_dir):
     return c.messages(spark, sf_dir).groupBy("session").agg(F.count("*").alias("messages"))
 
 
+def _stored(spark, sf_dir):
+    """What a store holds already: the labelled documents, and the items of the benchmark under their own numbers."""
+    labelled = c.load(spark, sf_dir, "labels").select("doc_id").distinct()
+    mine = c.load(spark, sf_dir, "documents").join(labelled, "doc_id", "left_semi").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    return mine.union(c.load(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES = {
+    "upload_actions": lambda s, d: p.upload_actions(c.files(s, d), _stored(s, d)),
     "path_facts": lambda s, d: p.path_facts(_paths(s, d)),
     "file_keys": lambda s, d: p.keys(c.files(s, d)),
     "language_by_content": lambda s, d: p.language_by_content(c.files(s, d)),
@@ -68,6 +76,8 @@ def _points() -> str:
 
 
 ORACLE = {
+    "upload_actions": """WITH k AS (SELECT doc_id AS path, coalesce(text, '') AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT item_id, coalesce(text, '') FROM benchmark)
+SELECT doc_id AS path, CASE WHEN (doc_id, coalesce(text, '')) IN (SELECT (path, t) FROM k) THEN 'unchanged' WHEN doc_id IN (SELECT path FROM k) THEN 'replace' WHEN coalesce(text, '') IN (SELECT t FROM k) THEN 'duplicate' ELSE 'add' END AS action FROM documents""",
     "path_facts": f"""WITH s AS (SELECT page_id AS id, ({_FOLDERS})[page_id % {len(_FOLDERS)} + 1] || regexp_replace(regexp_replace(url, '[?#].*$', ''), '{SCHEME_HOST}', '') || ({_ENDINGS})[page_id % {len(_ENDINGS)} + 1] AS path FROM pages)
 SELECT id, {_NAME} AS name, {_EXT} AS extension, regexp_replace({_NAME}, '(.)\\.[^.]+$', '\\1') AS stem, regexp_replace(path, '/?[^/]*$', '') AS parent,
   CASE WHEN regexp_extract(path, '^/*([^/]+)/', 1) = '' THEN 'root' ELSE regexp_extract(path, '^/*([^/]+)/', 1) END AS package,

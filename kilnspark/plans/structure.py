@@ -43,6 +43,7 @@ _QUERY = [round(((i * 37) % 11 - 5) / 5, 1) for i in range(64)]
 
 QUERIES = {
     "vector_topk": lambda s, d: v.cosine_topk(_vectors(s, d), _vectors(s, d).where("chunk % 100 = 0")),
+    "vector_retrieval": lambda s, d: v.retrieve(_vectors(s, d), _vectors(s, d).where("chunk % 100 = 0")),
     "vector_threshold": lambda s, d: v.similarity_to(_vectors(s, d), _QUERY),
     "label_centroids": lambda s, d: v.group_stats(_vectors(s, d)),
     "dependency_degree": lambda s, d: g.degrees(_edges(s, d)),
@@ -67,6 +68,10 @@ ORACLE = {
     "vector_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query, x.vec_id AS chunk, round(list_cosine_similarity(q.e, x.e), 6) AS cosine FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id)
 SELECT query, chunk, cosine, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, chunk)::INT AS place FROM s QUALIFY place <= 8""",
+    "vector_retrieval": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query, x.vec_id AS chunk, round(list_cosine_similarity(q.e, x.e), 6) AS cosine FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id),
+n AS (SELECT *, greatest(0.0, 1 - (1 - cosine) / 2) AS s, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, chunk)::INT AS place FROM s QUALIFY place <= 20)
+SELECT query, chunk, round(s, 4) AS similarity, place FROM n WHERE s >= 0.15 AND place <= 8""",
     "vector_threshold": f"""WITH s AS (SELECT vec_id AS chunk, greatest(0.0, 1 - (1 - list_cosine_similarity(embedding::DOUBLE[], {_QUERY}::DOUBLE[])) / 2) AS similarity FROM embeddings)
 SELECT chunk, round(similarity, 4) AS similarity FROM s WHERE similarity >= 0.15""",
     "label_centroids": """WITH x AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY 1, 2),

@@ -212,6 +212,21 @@ def plain():
 
 @router.delete("/lost")
 '''
+#: A script of functions; {id} becomes its number.
+SCRIPT = '''async function load(url, tries) {
+  if (url && tries) {
+    for (const x of tries) {
+      retry(x);
+    }
+  }
+  return url || "{id}";
+}
+
+const sum_{id} = (a, b) => {
+  return a + b;
+};
+const open_one = async (x) => {
+'''
 LANGUAGES = {"py": "python", "js": "javascript", "": "unknown"}
 
 
@@ -232,6 +247,12 @@ def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("routes/shop"), key, F.lit(".py")).alias("path"), F.replace(F.lit(ROUTES), F.lit("{id}"), key).alias("content"))
 
 
+def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: one script for each supplier."""
+    key = F.col("s_suppkey").cast("string")
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("web/shop"), key, F.lit(".js")).alias("path"), F.replace(F.lit(SCRIPT), F.lit("{id}"), key).alias("content"))
+
+
 def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
