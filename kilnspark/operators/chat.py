@@ -118,3 +118,23 @@ def session_summaries(messages: DataFrame, preview: int = 200) -> DataFrame:
     shown = early.groupBy("session").agg(F.max_by(F.substring("content", 1, preview), "r").alias("preview"))
     counts = messages.groupBy("session").agg(F.count("*").alias("messages"), F.count_if(F.col("role") == "assistant").alias("replies"))
     return counts.join(shown, "session", "left")
+
+
+#: What in a question speaks for a language, first language first: fixed values.
+LANGUAGE_WORDS = {
+    "python": ["python", ".py", "def ", "class ", "import ", "pip", "pytest"],
+    "javascript": ["javascript", "js", "node", "npm", "const ", "let ", "var ", "=>"],
+    "typescript": ["typescript", "ts", "interface ", "type ", "tsx"],
+    "java": ["java", "public class", "spring", "maven", "gradle"],
+    "go": ["golang", "go", "func ", "package ", "goroutine"],
+    "rust": ["rust", "cargo", "fn ", "let mut", "impl "],
+    "cpp": ["c++", "cpp", "#include", "std::", "nullptr"],
+}
+
+
+def language_hints(messages: DataFrame) -> DataFrame:
+    """session, turn, language: the first language one of whose words a user's message holds, in any case; null without one."""
+    low, out = F.lower("content"), F.lit(None).cast("string")
+    for language, words in reversed(LANGUAGE_WORDS.items()):
+        out = F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), language).otherwise(out)
+    return messages.where("role = 'user'").select("session", "turn", out.alias("language"))

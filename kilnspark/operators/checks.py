@@ -90,3 +90,24 @@ def project_search(projects: DataFrame, needle: str, language: str | None = None
 def alerts(counts: DataFrame) -> DataFrame:
     """Rows that are worth an alert: a critical finding, or three high ones."""
     return counts.where((F.col("critical") > 0) | (F.col("high") >= 3))
+
+
+#: Limits of a batch of files, in files and bytes, and of a question, in characters and sources: fixed values.
+BATCH_FILES, BATCH_BYTES, QUESTION_CHARS, MOST_SOURCES, USUAL_SOURCES = 500, 50 << 20, 4000, 20, 8
+
+
+def batch_guards(files: DataFrame) -> DataFrame:
+    """batch, files, bytes, fault of files(batch, path, content): the first of too many files, too many bytes of content and files without a path; null if there is none.
+
+    Null contents have no bytes; a null or blank path is none. Batches without files have no row.
+    """
+    sums = files.groupBy("batch").agg(F.count("*").alias("files"), F.sum(F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")).alias("bytes"), F.count_if(F.coalesce(F.trim(F.col("path").cast("string")), F.lit("")) == "").alias("nameless"))
+    fault = F.when(F.col("files") > BATCH_FILES, "too many files").when(F.col("bytes") > BATCH_BYTES, "too many bytes").when(F.col("nameless") > 0, "file without a path")
+    return sums.select("batch", "files", "bytes", fault.alias("fault"))
+
+
+def question_checks(questions: DataFrame) -> DataFrame:
+    """id, fault, sources of questions(id, query, project, sources): what is wrong, null if nothing is, and how many sources are looked up, within 1 and 20 (8 where null)."""
+    query, project = F.trim(F.coalesce("query", F.lit(""))), F.trim(F.coalesce(F.col("project").cast("string"), F.lit("")))
+    fault = F.when(query == "", "query is empty").when(F.length(query) > QUESTION_CHARS, "query is too long").when(project == "", "project is missing")
+    return questions.select("id", fault.alias("fault"), F.greatest(F.lit(1), F.least(F.coalesce("sources", F.lit(USUAL_SOURCES)), F.lit(MOST_SOURCES))).alias("sources"))

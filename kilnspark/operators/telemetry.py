@@ -100,3 +100,15 @@ def top_users(requests: DataFrame, each: int = 5) -> DataFrame:
     counts = requests.groupBy("endpoint", "user_id").agg(F.count("*").alias("requests"))
     r = F.row_number().over(Window.partitionBy("endpoint").orderBy(F.desc("requests"), "user_id"))
     return counts.withColumn("place", r).where(F.col("place") <= each)
+
+
+def hourly_log(requests: DataFrame, each: int = 100) -> DataFrame:
+    """The newest requests of each hour, newest first, at most `each`."""
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    place = F.row_number().over(Window.partitionBy("hour").orderBy(F.desc("ts"), F.desc("id")))
+    return requests.select("id", "ts", hour.alias("hour"), "endpoint", "status").withColumn("place", place).where(F.col("place") <= each).select("hour", "place", "id", "endpoint", "status")
+
+
+def recent_errors(requests: DataFrame, most: int = 50) -> DataFrame:
+    """The newest failed requests."""
+    return requests.where("status >= 400").orderBy(F.desc("ts"), F.desc("id")).limit(most).select("id", "user_id", "endpoint", "status")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from kilnspark.operators import chat as ch
+from kilnspark.operators import checks
 from kilnspark.sources import corpus as c
 
+def _questions(spark, sf_dir):
+    return c.messages(spark, sf_dir).select(F.concat_ws("-", F.col("session").cast("string"), F.col("turn").cast("string")).alias("id"), F.when(F.col("role") == "user", F.col("content")).otherwise(" ").alias("query"), F.col("role").alias("project"), (F.col("turn") * 3).alias("sources"))
+
+
 QUERIES = {
     "session_analytics": lambda s, d: ch.session_analytics(c.messages(s, d)),
     "role_distribution": lambda s, d: ch.role_distribution(c.messages(s, d)),
@@ -13,6 +20,8 @@ QUERIES = {
     "history_budget": lambda s, d: ch.history_budget(c.messages(s, d)),
     "intent_classification": lambda s, d: ch.intent_classification(c.messages(s, d)),
     "session_titles": lambda s, d: ch.session_titles(c.messages(s, d)),
+    "language_hints": lambda s, d: ch.language_hints(c.messages(s, d)),
+    "question_checks": lambda s, d: checks.question_checks(_questions(s, d)),
     "session_payloads": lambda s, d: ch.session_payloads(c.messages(s, d)),
     "session_summaries": lambda s, d: ch.session_summaries(c.messages(s, d)),
     "session_export": lambda s, d: ch.session_export(c.messages(s, d)),
@@ -31,6 +40,10 @@ def _intents() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _hints() -> str:
+    return " ".join(f"WHEN {' OR '.join(f'contains(low, {_quoted(w)})' for w in words)} THEN '{language}'" for language, words in ch.LANGUAGE_WORDS.items())
+
+
 ORACLE = {
     "session_analytics": """SELECT conv_id AS session, count(*) AS messages, count(*) FILTER (WHERE role = 'user') AS user_messages, count(*) FILTER (WHERE role = 'assistant') AS assistant_messages,
   coalesce(sum(length(text)), 0)::BIGINT AS chars, coalesce(round(avg(length(text)) FILTER (WHERE role = 'assistant'), 3), 0.0) AS avg_reply_chars,
@@ -49,6 +62,9 @@ SELECT conv_id AS session, turn, CASE WHEN score <= 0 THEN '{ch.DEFAULT_INTENT}'
 b AS (SELECT conv_id, regexp_extract(regexp_replace(trim(t, ' '), '^(?i)({"|".join(ch.FILLERS)}) +', ''), '^([^.!?\\n]*)', 1) AS s FROM f),
 k AS (SELECT conv_id, trim(upper(substr(s, 1, 1)) || substr(s, 2), ' ') AS t FROM b)
 SELECT conv_id AS session, CASE WHEN length(t) > 60 THEN regexp_replace(substr(t, 1, 57), ' [^ ]*$', '') || '...' ELSE t END AS title FROM k""",
+    "language_hints": f"SELECT conv_id AS session, turn, CASE {_hints()} END AS language FROM (SELECT *, lower(text) AS low FROM conversations WHERE role = 'user')",
+    "question_checks": f"""SELECT conv_id || '-' || turn AS id, CASE WHEN role <> 'user' OR trim(coalesce(text, ''), ' ') = '' THEN 'query is empty' WHEN length(trim(text, ' ')) > {checks.QUESTION_CHARS} THEN 'query is too long' WHEN trim(coalesce(role, ''), ' ') = '' THEN 'project is missing' END AS fault,
+  greatest(1, least(coalesce(turn * 3, {checks.USUAL_SOURCES}), {checks.MOST_SOURCES})) AS sources FROM conversations""",
     "session_payloads": """SELECT conv_id AS session, count(*) AS messages, to_json(list({turn: turn, role: role, content: text} ORDER BY turn, role, text))::VARCHAR AS payload FROM conversations GROUP BY conv_id""",
     "session_summaries": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations WHERE role = 'assistant'), p AS (SELECT conv_id, arg_max(substr(text, 1, 200), r) AS preview FROM e WHERE r <= 2 GROUP BY conv_id)
 SELECT c.conv_id AS session, count(*) AS messages, count(*) FILTER (WHERE role = 'assistant') AS replies, any_value(preview) AS preview FROM conversations c LEFT JOIN p ON c.conv_id = p.conv_id GROUP BY c.conv_id""",

@@ -55,7 +55,12 @@ def _ranked(spark, sf_dir):
     return c.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query"), F.row_number().over(order).alias("place"), (F.col("l_suppkey") % 2).alias("path"), first.alias("first"), (first + F.col("l_quantity")).cast("long").alias("last"))
 
 
+def _batches(spark, sf_dir):
+    return c.files(spark, sf_dir).withColumnRenamed("project", "batch")
+
+
 QUERIES = {
+    "batch_guards": lambda s, d: checks.batch_guards(_batches(s, d)),
     "request_checks": lambda s, d: checks.request_checks(_requests(s, d)),
     "account_checks": lambda s, d: checks.account_checks(_accounts(s, d)),
     "project_search": lambda s, d: checks.project_search(_projects(s, d), "Red", "Brand#17"),
@@ -78,6 +83,7 @@ _PAGES = f"""s AS (SELECT page_id AS id, ({_FOLDERS})[page_id % {len(_FOLDERS)}
 _ANY = lambda parts, text: "(" + " OR ".join("contains({}, '{}')".format(text, p.replace("'", "''")) for p in parts) + ")"
 
 ORACLE = {
+    "batch_guards": f"""SELECT source AS batch, count(*) AS files, sum(coalesce(strlen(text), 0))::BIGINT AS bytes, CASE WHEN count(*) > {checks.BATCH_FILES} THEN 'too many files' WHEN sum(strlen(text)) > {checks.BATCH_BYTES} THEN 'too many bytes' WHEN count(*) FILTER (WHERE doc_id IS NULL) > 0 THEN 'file without a path' END AS fault FROM documents GROUP BY source""",
     "request_checks": f"""WITH {_PAGES} SELECT id, lower({_NAME}) IN ({_list(checks.UPLOAD_NAMES)}) OR {_EXT} IN ({_list([*checks.LANGUAGE_OF_EXTENSION, "zip"])}) AS may_upload,
   CASE WHEN {_EXT} IN ({_list(checks.INDEX_SKIP_EXTENSIONS)}) THEN 'extension' WHEN trim(content, ' ' || chr(10) || chr(13) || chr(9)) = '' THEN 'empty' WHEN strlen(content) > {checks.INDEX_MOST_BYTES} THEN 'too large' WHEN {_ANY(checks.GENERATED_NAMES, f"lower({_NAME})")} THEN 'generated' END AS skip_reason,
   {" OR ".join(f"starts_with(path, '{x}')" for x in checks.BYPASS_PATHS)} OR method = 'OPTIONS' OR NOT starts_with(path, '/api/') AS bypasses, {_ANY(checks.BLOCKED_PARTS, "lower(path || '?' || query)")} AS blocked FROM s""",

@@ -16,6 +16,8 @@ QUERIES = {
     "idle_sessions": lambda s, d: t.idle_sessions(c.requests(s, d), "6 hours"),
     "latest_progress": lambda s, d: t.latest_progress(c.requests(s, d)),
     "change_only": lambda s, d: t.change_only(c.requests(s, d)),
+    "hourly_log": lambda s, d: t.hourly_log(c.requests(s, d)),
+    "recent_errors": lambda s, d: t.recent_errors(c.requests(s, d)),
     "top_users": lambda s, d: t.top_users(c.requests(s, d)),
 }
 
@@ -44,6 +46,8 @@ s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS
 SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS requests FROM s GROUP BY user_id, k""",
     "latest_progress": f"""WITH {_R} SELECT user_id, count(*) OVER (PARTITION BY user_id) AS updates, id, endpoint, duration_ms FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) = 1""",
     "change_only": f"""WITH {_R}, l AS (SELECT id, user_id, endpoint, lag(endpoint) OVER (PARTITION BY user_id ORDER BY ts, id) AS before FROM r) SELECT * FROM l WHERE before IS DISTINCT FROM endpoint""",
+    "hourly_log": f"""WITH {_R} SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts DESC, id DESC)::INT AS place, id, endpoint, status FROM r QUALIFY place <= 100""",
+    "recent_errors": f"WITH {_R} SELECT id, user_id, endpoint, status FROM r WHERE status >= 400 ORDER BY ts DESC, id DESC LIMIT 50",
     "top_users": f"""WITH {_R}, n AS (SELECT endpoint, user_id, count(*) AS requests FROM r GROUP BY 1, 2)
 SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY requests DESC, user_id)::INT AS place FROM n QUALIFY place <= 5""",
 }

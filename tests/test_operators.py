@@ -63,3 +63,33 @@ def test_streams_agree_with_batches(spark, sf_dir):
     assert newest.count() == batch.select("user_id").distinct().count()
     decided = run(stream.rate_limits(requests, 3, 86400), spark, "append")
     assert decided.count() == batch.count()
+
+
+def test_batches_and_questions_have_limits(spark):
+    from kilnspark.operators import checks
+
+    files = spark.createDataFrame([("a", f"p{i}", "x") for i in range(501)] + [("b", " ", None), ("b", "p", "é"), ("c", "p", "x"), (None, None, None)], "batch string, path string, content string")
+    got = {r.batch: (r.files, r.bytes, r.fault) for r in checks.batch_guards(files).collect()}
+    assert got == {"a": (501, 501, "too many files"), "b": (2, 2, "file without a path"), "c": (1, 1, None), None: (1, 0, "file without a path")}
+    asked = spark.createDataFrame([(1, None, "p", None), (2, "x" * 4001, "p", 0), (3, " q ", " ", 21), (4, "q", "p", 5)], "id int, query string, project string, sources int")
+    found = {r.id: (r.fault, r.sources) for r in checks.question_checks(asked).collect()}
+    assert found == {1: ("query is empty", 8), 2: ("query is too long", 1), 3: ("project is missing", 20), 4: (None, 5)}
+
+
+def test_windows_that_repeat(spark):
+    from kilnspark.operators import similarity
+
+    block = "alpha = 1\n\nbeta = 2  # note\ngamma\n"
+    files = spark.createDataFrame([("a", block + "other\n" + block.replace("# note", "// b")), ("short", "x\n" * 7), ("brief", "a\nb\n" * 8), ("none", None)], "path string, content string")
+    got = [(r.path, r.occurrences, r.first_line, r.second_line) for r in similarity.duplicate_windows(files).collect()]
+    assert got == [("a", 2, 1, 6)]
+
+
+def test_uploads_meet_what_is_stored(spark):
+    from kilnspark.operators import paths
+
+    stored = spark.createDataFrame([("a", "1"), ("b", None), ("b", "2")], "path string, content string")
+    incoming = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "9"), ("b", ""), ("b", "2"), ("c", "1"), ("d", "new"), (None, "new")], "path string, content string")
+    got = sorted((r.path or "", r.action) for r in paths.upload_actions(incoming, stored).collect())
+    assert got == [("", "add"), ("a", "replace"), ("a", "unchanged"), ("a", "unchanged"), ("b", "unchanged"), ("b", "unchanged"), ("c", "duplicate"), ("d", "add")]
+    assert paths.upload_actions(incoming.where("false"), stored).count() == 0
