@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, fingerprints, language_id, license_scan, near_dedup, packing, quality, token_counts, url_filter
+from . import byte_bpe, exact_dedup, fingerprints, language_id, license_scan, near_dedup, packing, quality, token_counts, url_filter, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op9_packing": packing.op9_packing,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": license_scan.ORACLE_SQL,
         "op3_url_filter": url_filter.ORACLE_SQL,
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_vector_codes": vector_codes.ORACLE_SQL,
     }
