@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, fingerprints, language_id, license_scan, merkle, near_dedup, packing, quality, token_counts, url_filter, vector_codes
+from . import byte_bpe, exact_dedup, fingerprints, language_id, license_scan, main_text, merkle, near_dedup, packing, quality, token_counts, url_filter, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": packing.op9_packing,
         "op10_token_counts": token_counts.op10_token_counts,
         "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_main_text": main_text.op12_main_text,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
@@ -32,5 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": url_filter.ORACLE_SQL,
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
         "op11_vector_codes": vector_codes.ORACLE_SQL,
+        "op12_main_text": main_text.op12_main_text,
         "op13_merkle_manifest": merkle.ORACLE_SQL,
     }
