@@ -39,11 +39,44 @@ def _paths(spark, sf_dir):
     return c.load(spark, sf_dir, "part").select(F.concat("p_type", F.lit("/"), "p_name").alias("path"))
 
 
+#: The recall that cells are probed for, measured on at most 256 of the queries.
+_RECALL = 0.95
+
+
+def _ann(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    asked, index = rows.where("chunk % 100 = 0"), v.InvertedLists(rows)
+    return index.search(asked, probes=index.tuned_probes(rows, asked, recall=_RECALL))
+
+
+def _diverse(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return v.marginal_relevance(v.cosine_topk(rows, rows.where("chunk % 100 = 0"), 20), rows)
+
+
+def _mmr_sql(k: int, weight: float) -> str:
+    """Greedy choice unrolled: worst holds each candidate's largest cosine with those chosen."""
+    sql = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query, x.vec_id AS chunk, round(list_cosine_similarity(q.e, x.e), 6) AS cosine FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id),
+c AS MATERIALIZED (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY cosine DESC, chunk) <= 20),
+p AS MATERIALIZED (SELECT a.query, a.chunk, b.chunk AS other, round(list_cosine_similarity(x.e, y.e), 6) AS same FROM c a JOIN c b USING (query) JOIN v x ON x.vec_id = a.chunk JOIN v y ON y.vec_id = b.chunk),
+r1 AS MATERIALIZED (SELECT *, cosine AS score FROM c), t1 AS MATERIALIZED (SELECT query, chunk, score, 1 AS place FROM r1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) = 1)"""
+    for i in range(2, k + 1):
+        chosen = " UNION ALL ".join(f"SELECT * FROM t{j}" for j in range(1, i))
+        sql += f""",
+r{i} AS (SELECT c.query, c.chunk, round({weight} * any_value(cosine) - {1 - weight} * max(same), 6) AS score FROM c JOIN p USING (query, chunk) JOIN ({chosen}) t ON t.query = c.query AND t.chunk = p.other WHERE (c.query, c.chunk) NOT IN (SELECT (query, chunk) FROM ({chosen})) GROUP BY 1, 2),
+t{i} AS MATERIALIZED (SELECT query, chunk, score, {i} AS place FROM r{i} QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) = 1)"""
+    return sql + " " + " UNION ALL ".join(f"SELECT * FROM t{j}" for j in range(1, k + 1))
+
+
 _QUERY = [round(((i * 37) % 11 - 5) / 5, 1) for i in range(64)]
 
 QUERIES = {
     "vector_topk": lambda s, d: v.cosine_topk(_vectors(s, d), _vectors(s, d).where("chunk % 100 = 0")),
     "vector_retrieval": lambda s, d: v.retrieve(_vectors(s, d), _vectors(s, d).where("chunk % 100 = 0")),
+    "vector_same_label": lambda s, d: v.cosine_topk(_vectors(s, d), _vectors(s, d).where("chunk % 100 = 0"), match=("label",)),
+    "vector_ann": _ann,
+    "vector_mmr": _diverse,
     "vector_threshold": lambda s, d: v.similarity_to(_vectors(s, d), _QUERY),
     "label_centroids": lambda s, d: v.group_stats(_vectors(s, d)),
     "dependency_degree": lambda s, d: g.degrees(_edges(s, d)),
@@ -68,6 +101,10 @@ ORACLE = {
     "vector_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query, x.vec_id AS chunk, round(list_cosine_similarity(q.e, x.e), 6) AS cosine FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id)
 SELECT query, chunk, cosine, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, chunk)::INT AS place FROM s QUALIFY place <= 8""",
+    "vector_same_label": """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query, x.vec_id AS chunk, round(list_cosine_similarity(q.e, x.e), 6) AS cosine FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id AND q.label = x.label)
+SELECT query, chunk, cosine, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, chunk)::INT AS place FROM s QUALIFY place <= 8""",
+    "vector_mmr": _mmr_sql(8, 0.7),
     "vector_retrieval": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query, x.vec_id AS chunk, round(list_cosine_similarity(q.e, x.e), 6) AS cosine FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id),
 n AS (SELECT *, greatest(0.0, 1 - (1 - cosine) / 2) AS s, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, chunk)::INT AS place FROM s QUALIFY place <= 20)
