@@ -5,13 +5,15 @@ blocked seeds, each by the part of its pages so judged. Trust walks along host e
 and distrust against them as personalised PageRank, both in one join and one
 aggregation for each step. Edges are links between hosts in the pages, and a host
 and its parent domain where both have pages. A host whose distrust exceeds its trust
-is blocked; without evidence it is allowed. After STEPS steps at most DAMPING ** STEPS
-of the mass of a walk (0.15 %) is left out, and no link chain of up to as many hosts is
-cut short.
+is blocked; without evidence it is allowed. Steps go on until a job of them moves no
+host's trust or distrust by TOLERANCE; what later steps could still add is then under half
+of that, far below the margin of the verdict.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +27,9 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-DAMPING, STEPS, PARENT_WEIGHT, MARGIN = 0.85, 40, 1.0, 1e-9
-#: Steps in one job; then the ranks are written, so that plans stay short.
-STEPS_A_JOB = 4
+DAMPING, TOLERANCE, PARENT_WEIGHT, MARGIN = 0.85, 1e-10, 1.0, 1e-9
+#: Steps in one job; then the ranks are written, so that plans stay short, and compared with those before.
+STEPS_A_JOB = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
@@ -60,29 +62,30 @@ def host_edges(pages: DataFrame, hosts: DataFrame, html_col: str, parent_weight:
     return links.select("src", "dst", "weight").union(parents).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """host, trust, distrust from hosts(host, trusted, blocked) and edges(src, dst, weight)."""
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust, distrust from hosts(host, trusted, blocked) and edges(src, dst, weight); every host has a row."""
     out_sum = edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("total"))
     in_sum = edges.groupBy(F.col("dst").alias("node")).agg(F.sum("weight").alias("total"))
     forth = edges.join(out_sum, F.col("src") == F.col("node")).select(F.col("src").alias("origin"), F.col("dst").alias("target"), (F.col("weight") / F.col("total")).alias("trust_part"), F.lit(0.0).alias("distrust_part"))
     back = edges.join(in_sum, F.col("dst") == F.col("node")).select(F.col("dst").alias("origin"), F.col("src").alias("target"), F.lit(0.0).alias("trust_part"), (F.col("weight") / F.col("total")).alias("distrust_part"))
     flows = materialize(forth.union(back), "flows")
     seeds = hosts.select("host", ((1 - damping) * F.col("trusted")).alias("trust"), ((1 - damping) * F.col("blocked")).alias("distrust"))
-    ranks, written = seeds, None
     if flows.isEmpty():
-        return ranks
-    for step in range(steps):
-        moved = flows.join(ranks, F.col("origin") == F.col("host")).select(F.col("target").alias("host"), (damping * F.col("trust_part") * F.col("trust")).alias("trust"), (damping * F.col("distrust_part") * F.col("distrust")).alias("distrust"))
-        ranks = seeds.union(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if (step + 1) % STEPS_A_JOB == 0 or step == steps - 1:
-            before, written = written, materialize(ranks, "ranks")
-            if before is not None:
-                forget(before)
-            ranks = written
-    return ranks
-
-
-def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: list[tuple[str, str, str]] | None = None, damping: float = DAMPING, steps: int = STEPS, parent_weight: float = PARENT_WEIGHT, margin: float = MARGIN) -> DataFrame:
+        return seeds
+    written, change = materialize(seeds, "ranks"), None
+    while change is None or change >= tolerance:
+        ranks = written
+        for _ in range(STEPS_A_JOB):
+            moved = flows.join(ranks, F.col("origin") == F.col("host")).select(F.col("target").alias("host"), (damping * F.col("trust_part") * F.col("trust")).alias("trust"), (damping * F.col("distrust_part") * F.col("distrust")).alias("distrust"))
+            ranks = seeds.union(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        before, written = written, materialize(ranks, "ranks")
+        both = written.join(before.toDF("host", "old_trust", "old_distrust"), "host")
+        change = both.agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("old_trust")), F.abs(F.col("distrust") - F.col("old_distrust"))))).first()[0] or 0.0
+        forget(before)
+    return written
+
+
+def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: list[tuple[str, str, str]] | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE, parent_weight: float = PARENT_WEIGHT, margin: float = MARGIN) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict, trust, distrust.
 
     A null url, or one without ://, has an empty host and path; the empty host takes
@@ -94,7 +97,7 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     share = lambda v: F.coalesce(F.avg(F.when(F.col("found.verdict") == v, 1.0).otherwise(0.0)), F.lit(0.0))
     hosts = materialize(judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), share("allow").alias("trusted"), share("block").alias("blocked")), "hosts")
     edges = materialize(host_edges(judged, hosts, "html", parent_weight), "edges")
-    ranks = broadcast_if_small(propagate(hosts, edges, damping, steps))
+    ranks = broadcast_if_small(propagate(hosts, edges, damping, tolerance))
     out = judged.drop("html").join(ranks, "host", "left").na.fill(0.0, ["trust", "distrust"])
     bad = F.round(F.col("distrust") - F.col("trust"), 9) > margin
     return out.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
@@ -109,7 +112,8 @@ def _oracle() -> str:
     case = lambda i: "CASE " + " ".join(f"WHEN {f[2]} THEN '{f[i]}'" for f in fits) + " END"
     link = r"""(?i)href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)"""
     steps = ""
-    for i in range(STEPS):
+    count = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))  # after so many, no step moves a host by the tolerance
+    for i in range(count):
         steps += f""", r{i + 1} AS MATERIALIZED (
   SELECT host, sum(t) AS t, sum(d) AS d FROM (
     SELECT * FROM r0 UNION ALL
@@ -136,7 +140,7 @@ WITH u AS (
   UNION ALL SELECT dst, src, 0.0::DOUBLE, weight / sum(weight) OVER (PARTITION BY dst) FROM edges
 ), r0 AS MATERIALIZED (SELECT host, {1 - DAMPING} * trusted AS t, {1 - DAMPING} * blocked AS d FROM hosts){steps}
 SELECT page_id, j.host, path, rule, coalesce(found, CASE WHEN round(coalesce(d, 0) - coalesce(t, 0), 9) > {MARGIN} THEN 'block' ELSE 'allow' END) AS verdict
-FROM j LEFT JOIN r{STEPS} r ON j.host = r.host
+FROM j LEFT JOIN r{count} r ON j.host = r.host
 """
 
 
