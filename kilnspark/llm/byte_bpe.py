@@ -115,8 +115,8 @@ class DuckMerges:
                     merged.append(rank)
         left, right, merged = np.array(left, np.int64), np.array(right, np.int64), np.array(merged, np.int32)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        # one thread, so that an aggregate over sorted rows takes them in their order
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        # one thread, so that an aggregate over sorted rows takes them in their order; nothing is spilled to a worker's folder
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._given("made", {"pair": (left << 20) | right, "merged": merged})
         self._given("named", {"t": pa.array(list(self.ranks.values()), pa.int32()), "hex": [x.hex() for x in self.ranks]})
         self.con.execute("CREATE TABLE merges AS SELECT * FROM made")
