@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pyast import _tree
+from .pyast import _tree, dealt
 
 #: Most characters and lines of a chunk, lines that windows share, and lines with something to say that a chunk needs.
 MOST_CHARS, MOST_LINES, OVERLAP, LEAST_LINES = 2200, 120, 4, 2
@@ -43,7 +43,7 @@ def structures(files: DataFrame) -> DataFrame:
             })
 
     kind = files.schema["path"].dataType.simpleString()
-    return files.select("path", "content").mapInPandas(run, f"path {kind}, lines array<string>, imports array<{_SPAN}>, classes array<{_SPAN}>, functions array<{_SPAN}>")
+    return dealt(files.select("path", "content")).mapInPandas(run, f"path {kind}, lines array<string>, imports array<{_SPAN}>, classes array<{_SPAN}>, functions array<{_SPAN}>")
 
 
 def slice_lines(lines: Column, first: Column, last: Column) -> Column:

@@ -89,7 +89,7 @@ def line_context(files: DataFrame) -> DataFrame:
             )
 
     kind = lambda c: files.schema[c].dataType.simpleString()
-    return files.select("path", "language", "content").mapInPandas(run, f"path {kind('path')}, language string, content string, lines array<string>, kinds array<string>, in_loop array<boolean>")
+    return files.select("path", "language", "content").hint("rebalance").mapInPandas(run, f"path {kind('path')}, language string, content string, lines array<string>, kinds array<string>, in_loop array<boolean>")
 
 
 def line_counts(files: DataFrame) -> DataFrame:

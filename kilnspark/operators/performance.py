@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lines import line_context
@@ -31,8 +31,6 @@ SCRIPT_IN_LOOP = [
 ]
 TIMER = Rule("PERF-JS-010", "HIGH", r"setInterval\s*\(")
 TIMER_CLEARED = r"clearInterval\s*\("
-DATABASE_CALL = r"(?i)(?:\.query\s*\(|\.execute\s*\(|\.find\s*\(|\.get\s*\(|session\.query|db\.query)"
-SLEEP, REQUEST = r"time\.sleep\s*\(", r"requests\.(get|post|put|delete)\s*\("
 #: Points of a finding by impact, and grades by the sum: fixed values.
 IMPACT_POINTS = {"CRITICAL": 40, "HIGH": 20, "MEDIUM": 8, "LOW": 2}
 GRADES = [(80, "CRITICAL — Major bottlenecks detected"), (40, "HIGH — Significant performance issues"), (15, "MEDIUM — Some inefficiencies found"), (5, "LOW — Minor issues only")]
@@ -45,12 +43,14 @@ def _hit(rule: str, impact: str):
     return F.struct(F.lit(rule).alias("rule"), F.lit(impact).alias("impact"))
 
 
+def _line_hits(text: Column, looped: Column, anywhere: list[Rule], in_loop: list[Rule]) -> list[Column]:
+    return [F.when(text.rlike(r.pattern), _hit(r.id, r.severity)) for r in anywhere] + [F.when(looped & text.rlike(r.pattern), _hit(r.id, r.severity)) for r in in_loop]
+
+
 def _by_line(files: DataFrame, anywhere: list[Rule], in_loop: list[Rule], *more) -> DataFrame:
     rows = line_context(files).select("path", "content", F.posexplode(F.arrays_zip("lines", "in_loop")).alias("at", "x"))
     rows = rows.select("path", "content", (F.col("at") + 1).cast("long").alias("line"), F.col("x.lines").alias("text"), F.col("x.in_loop").alias("looped"))
-    hits = [F.when(F.col("text").rlike(r.pattern), _hit(r.id, r.severity)) for r in anywhere]
-    hits += [F.when(F.col("looped") & F.col("text").rlike(r.pattern), _hit(r.id, r.severity)) for r in in_loop]
-    found = F.array_compact(F.array(*hits, *more))
+    found = F.array_compact(F.array(*_line_hits(F.col("text"), F.col("looped"), anywhere, in_loop), *more))
     return rows.select("path", "line", F.explode(found).alias("h")).select("path", "h.rule", "h.impact", "line", F.col("line").alias("line_end"))
 
 
@@ -69,26 +69,28 @@ def python_findings(files: DataFrame) -> DataFrame:
     conditions on them. Within a file each kind keeps its first few, as MOST says:
     that is the report's own limit.
     """
-    rows = loops(files)
-    loop, hit = F.col("kind") == "loop", lambda rule, impact: F.array(_hit(rule, impact))
-    nothing = F.array().cast("array<struct<rule:string,impact:string>>")
-    nested = F.when(loop & (F.col("depth") >= 3), hit("PERF-PY-015", "CRITICAL")).when(loop & (F.col("depth") == 2), hit("PERF-PY-001", "HIGH")).otherwise(nothing)
-    database = F.when(loop & F.col("source").rlike(DATABASE_CALL), hit("PERF-PY-007", "CRITICAL")).otherwise(nothing)
-    waits = F.col("kind") == "async"
-    blocking = F.concat(F.when(waits & F.col("source").rlike(SLEEP), hit("PERF-PY-008", "HIGH")).otherwise(nothing), F.when(waits & F.col("source").rlike(REQUEST), hit("PERF-PY-008b", "HIGH")).otherwise(nothing))
-    lookup = F.when(loop & (F.col("lookups") >= 3), hit("PERF-PY-011", "LOW")).otherwise(nothing)
-    groups = {"nested": nested, "database": database, "blocking": blocking, "lookup": lookup}
-    named = lambda g: lambda h: F.struct(F.lit(g).alias("g"), h["rule"].alias("rule"), h["impact"].alias("impact"))
-    all_of = F.concat(*[F.transform(hits, named(g)) for g, hits in groups.items()])
-    found = rows.select("path", "seq", "line", "line_end", F.explode(all_of).alias("h")).select("path", "seq", "line", "line_end", "h.g", "h.rule", "h.impact")
+    rows = loops(files).select("*", F.posexplode_outer(F.arrays_zip("texts", "in_loop")).alias("at", "x"))
+    loop, waits = F.col("kind") == "loop", F.col("kind") == "async"
+    hit = lambda group, when, rule, impact: F.when(when, F.struct(F.lit(group).alias("g"), F.lit(rule).alias("rule"), F.lit(impact).alias("impact")))
+    tree = [
+        F.coalesce(hit("nested", loop & (F.col("depth") >= 3), "PERF-PY-015", "CRITICAL"), hit("nested", loop & (F.col("depth") == 2), "PERF-PY-001", "HIGH")),
+        hit("database", loop & F.col("database"), "PERF-PY-007", "CRITICAL"),
+        hit("blocking", waits & F.col("sleeps"), "PERF-PY-008", "HIGH"),
+        hit("blocking", waits & F.col("requests"), "PERF-PY-008b", "HIGH"),
+        hit("lookup", loop & (F.col("lookups") >= 3), "PERF-PY-011", "LOW"),
+    ]
+    on_line = F.array_compact(F.array(*_line_hits(F.col("x.texts"), F.col("x.in_loop"), PYTHON_ANYWHERE, PYTHON_IN_LOOP)))
+    on_line = F.transform(on_line, lambda h: F.struct(F.lit("line").alias("g"), h["rule"].alias("rule"), h["impact"].alias("impact")))
+    found = F.when(F.col("kind") == "parsed", on_line).otherwise(F.array_compact(F.array(*tree)))
+    first, last = F.coalesce(F.when(F.col("kind") == "parsed", F.col("at") + 1), F.col("line")), F.coalesce(F.when(F.col("kind") == "parsed", F.col("at") + 1), F.col("line_end"))
+    found = rows.select("path", "seq", first.cast("long").alias("line"), last.cast("long").alias("line_end"), F.explode(found).alias("h")).select("path", "seq", "line", "line_end", "h.*")
     # nested loops: the worst of a line, the worst of a file first; the others in the order of the tree
-    rank = F.when(F.col("g") == "nested", F.col("impact") != "CRITICAL").otherwise(F.lit(False))
-    found = found.withColumn("of_line", F.when(F.col("g") == "nested", F.row_number().over(Window.partitionBy("path", "g", "line").orderBy(rank, "seq"))).otherwise(1)).where("of_line = 1")
-    found = found.withColumn("place", F.row_number().over(Window.partitionBy("path", "g").orderBy(rank, "seq", "rule")))
+    rank = (F.col("g") == "nested") & (F.col("impact") != "CRITICAL")
+    of_line = F.row_number().over(Window.partitionBy("path", "g", "line").orderBy(rank, "seq", "rule"))
+    found = found.withColumn("of_line", F.when(F.col("g") == "nested", of_line).otherwise(1)).where("of_line = 1")
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("path", "g").orderBy(rank, "seq", "line", "rule")))
     most = F.create_map(*[F.lit(x) for pair in MOST.items() for x in pair])
-    tree = found.where(F.col("place") <= most[F.col("g")]).select("path", "rule", "impact", F.col("line").cast("long").alias("line"), F.col("line_end").cast("long").alias("line_end"))
-    parsed = rows.where("kind = 'parsed'").select("path")
-    return tree.unionByName(_by_line(files, PYTHON_ANYWHERE, PYTHON_IN_LOOP).join(parsed, "path", "left_semi"))
+    return found.where((F.col("g") == "line") | (F.col("place") <= most[F.col("g")])).select("path", "rule", "impact", "line", "line_end")
 
 
 def performance_rollup(files: DataFrame, findings: DataFrame) -> DataFrame:

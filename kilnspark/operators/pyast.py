@@ -1,17 +1,33 @@
-"""Metrics of Python sources that need a syntax tree, one parse for each file."""
+"""Metrics of Python sources that need a syntax tree: one parse of a file, one row for each fact.
+
+No walk recurses, so that a long expression or chain of branches is a file like any
+other. Points that add up over a subtree are summed once, in the order of the walk, and a
+function's are a difference of two sums.
+"""
 
 from __future__ import annotations
 
 import ast
+import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FACTS = "path {path}, kind string, name string, owner string, line long, lines long, args array<string>, mutable_defaults int, annotated boolean, documented boolean, complexity int, cognitive int, plain_complexity int, nesting int, unreachable boolean, methods int, bases array<string>, creates string, silent boolean"
+from kilnspark.functions.tables import materialize
+
+from .files import maintainability
+from .lines import python_kinds, python_loops
+
+FACTS = (
+    "path {path}, kind string, name string, owner string, line long, lines long, args array<string>, mutable_defaults int, annotated boolean, documented boolean, complexity int, cognitive int, plain_complexity int, nesting int, unreachable boolean, "
+    "methods int, bases array<string>, creates string, silent boolean, operator_kinds int, operand_kinds int, operators int, operands int, code_lines int"
+)
 IMPORTS = "path {path}, module string, name string, level long, line long"
-LOOPS = "path {path}, kind string, seq int, line int, line_end int, depth int, lookups int, source string"
+LOOPS = "path {path}, kind string, seq int, line int, line_end int, depth int, lookups int, database boolean, sleeps boolean, requests boolean, texts array<string>, in_loop array<boolean>"
 #: Names that arguments should not hide, words of flag-like arguments, numbers that need no name: fixed values.
 BUILTINS = [
     "list", "dict", "set", "tuple", "str", "int", "float", "bool",
@@ -24,48 +40,114 @@ _BRANCHES = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.Wi
 _NESTS = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.With, ast.AsyncWith, ast.Try)
 
 
-def complexity(node: ast.AST) -> int:
-    """1 and a point for each branch, operand beyond the first of and/or, conditional expression and comprehension filter."""
-    total = 1
-    for x in ast.walk(node):
-        total += isinstance(x, _BRANCHES) + isinstance(x, ast.IfExp)
-        total += len(x.values) - 1 if isinstance(x, ast.BoolOp) else len(x.ifs) if isinstance(x, ast.comprehension) else 0
-    return total
-
-
-def nesting(node: ast.AST, depth: int = 0) -> int:
-    return max([depth, *(nesting(x, depth + isinstance(x, _NESTS)) for x in ast.iter_child_nodes(node))])
-
-
 _COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
 _LOOP_OR_TRY = (ast.For, ast.AsyncFor, ast.While, ast.Try)
+_PLAIN = (ast.If, ast.While, ast.For, ast.ExceptHandler, ast.With, ast.Assert)
+_LOOPS = (ast.For, ast.While)
+_FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
+#: Statements that count as operators by their own name.
+_STATEMENTS = (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.Return, ast.Yield, ast.Raise, ast.Import, ast.ImportFrom, *_FUNCTION, ast.ClassDef, ast.Assign)
+
+
+class Flat:
+    """A tree's nodes with their children after them, and where each one's descendants end."""
+
+    def __init__(self, tree: ast.AST) -> None:
+        self.nodes, self.parents, stack = [], [], [(tree, -1)]
+        while stack:
+            x, parent = stack.pop()
+            at = len(self.nodes)
+            self.nodes.append(x)
+            self.parents.append(parent)
+            stack += [(y, at) for y in reversed(list(ast.iter_child_nodes(x)))]
+        self.ends = list(range(1, len(self.nodes) + 1))
+        for at in range(len(self.nodes) - 1, 0, -1):
+            self.ends[self.parents[at]] = max(self.ends[self.parents[at]], self.ends[at])
+
+    def sums(self, points) -> list[int]:
+        """Running totals of the nodes' points, with 0 before the first."""
+        return [0, *accumulate(map(points, self.nodes))]
+
+    def deepest(self, kinds: tuple) -> tuple[list[int], list[int]]:
+        """How many of these kinds are around each node, itself included, and the most in its subtree."""
+        around: list[int] = []
+        for x, parent in zip(self.nodes, self.parents, strict=True):
+            around.append((around[parent] if parent >= 0 else 0) + isinstance(x, kinds))
+        most = list(around)
+        for at in range(len(most) - 1, 0, -1):
+            most[self.parents[at]] = max(most[self.parents[at]], most[at])
+        return around, most
+
+
+def branch_points(x: ast.AST) -> int:
+    """A point for a branch or conditional expression, for each operand of and/or beyond the first and each comprehension filter."""
+    if isinstance(x, ast.BoolOp):
+        return len(x.values) - 1
+    return len(x.ifs) if isinstance(x, ast.comprehension) else isinstance(x, (*_BRANCHES, ast.IfExp))
+
+
+def plain_points(x: ast.AST) -> int:
+    """The narrower count of the refactoring rules: no try, conditional expressions or comprehensions."""
+    return len(x.values) - 1 if isinstance(x, ast.BoolOp) else isinstance(x, _PLAIN)
 
 
 def cognitive(function: ast.FunctionDef | ast.AsyncFunctionDef) -> int:
     """Points for branches, loops, tries and withs, each deeper one worth one more; one each for an else, a change
     between and and or, a comprehension, a lambda and a call of the function itself. Conditions and what is opened
     by a with are not looked into."""
-
-    def all_of(nodes, depth: int, chain: type | None = None) -> int:
-        return sum(of(x, depth, chain) for x in nodes)
-
-    def of(x: ast.AST, depth: int, chain: type | None) -> int:
+    total, todo = 0, [(x, 0, None) for x in function.body]
+    while todo:
+        x, depth, chain = todo.pop()
         if isinstance(x, ast.If):
             # an elif is worth a point whatever its depth, like an else
-            surplus = sum(depth + 2 for y in x.orelse if isinstance(y, ast.If))
-            return 1 + depth + all_of(x.body, depth + 1) + len(x.orelse) + all_of(x.orelse, depth + 1) - surplus
-        if isinstance(x, ast.With | ast.AsyncWith):
-            return 1 + depth + all_of(x.body, depth + 1)
-        if isinstance(x, _LOOP_OR_TRY):
-            return 1 + depth + all_of(ast.iter_child_nodes(x), depth + 1)
-        if isinstance(x, (*_COMPREHENSIONS, ast.Lambda)):
-            return 1
-        if isinstance(x, ast.BoolOp):
-            return (type(x.op) is not chain) + all_of((y for y in x.values if isinstance(y, ast.BoolOp)), depth, type(x.op))
-        itself = isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and x.func.id == function.name
-        return itself + all_of(ast.iter_child_nodes(x), depth, chain)
-
-    return all_of(function.body, 0)
+            total += 1 + depth + len(x.orelse) - sum(depth + 2 for y in x.orelse if isinstance(y, ast.If))
+            todo += [(y, depth + 1, None) for y in (*x.body, *x.orelse)]
+        elif isinstance(x, ast.With | ast.AsyncWith):
+            total += 1 + depth
+            todo += [(y, depth + 1, None) for y in x.body]
+        elif isinstance(x, _LOOP_OR_TRY):
+            total += 1 + depth
+            todo += [(y, depth + 1, None) for y in ast.iter_child_nodes(x)]
+        elif isinstance(x, (*_COMPREHENSIONS, ast.Lambda)):
+            total += 1
+        elif isinstance(x, ast.BoolOp):
+            total += type(x.op) is not chain
+            todo += [(y, depth, type(x.op)) for y in x.values if isinstance(y, ast.BoolOp)]
+        else:
+            total += isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and x.func.id == function.name
+            todo += [(y, depth, chain) for y in ast.iter_child_nodes(x)]
+    return total
+
+
+def _spelled(value) -> str:
+    """A constant as Python spells it; a whole number of thousands of digits, which it would not spell, in hexadecimal."""
+    try:
+        return str(value)
+    except ValueError:
+        return hex(value)
+
+
+def signs(x: ast.AST) -> tuple[list[str], list[str]]:
+    """What a node adds to the operators and to the operands of a source."""
+    if isinstance(x, ast.BinOp | ast.UnaryOp | ast.BoolOp | ast.AugAssign):
+        return [type(x.op).__name__], []
+    if isinstance(x, ast.Compare):
+        return [type(op).__name__ for op in x.ops], []
+    if isinstance(x, _STATEMENTS):
+        return [type(x).__name__], []
+    if isinstance(x, ast.Name | ast.Attribute):
+        return [], [x.id if isinstance(x, ast.Name) else x.attr]
+    return [], [_spelled(x.value)] if isinstance(x, ast.Constant) else []
+
+
+def vocabulary(nodes) -> dict[str, int]:
+    """Kinds and numbers of operators and operands."""
+    operators, operands = Counter(), Counter()
+    for x in nodes:
+        a, b = signs(x)
+        operators.update(a)
+        operands.update(b)
+    return {"operator_kinds": len(operators), "operand_kinds": len(operands), "operators": operators.total(), "operands": operands.total()}
 
 
 def _tree(source: str | None) -> ast.Module | None:
@@ -75,12 +157,12 @@ def _tree(source: str | None) -> ast.Module | None:
         return None
 
 
-_PLAIN = (ast.If, ast.While, ast.For, ast.ExceptHandler, ast.With, ast.Assert)
-
-
-def plain_complexity(node: ast.AST) -> int:
-    """The narrower count of the refactoring rules: no try, conditional expressions or comprehensions."""
-    return 1 + sum(isinstance(x, _PLAIN) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0) for x in ast.walk(node))
+def _written(x: ast.expr, source: str) -> str:
+    """An expression in the usual spelling, or as it stands where it nests too deep for that."""
+    try:
+        return ast.unparse(x)
+    except RecursionError:
+        return ast.get_source_segment(source, x) or ""
 
 
 def _function(x: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None) -> dict:
@@ -89,7 +171,7 @@ def _function(x: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None) -> d
     return {
         "kind": "function", "name": x.name, "owner": owner, "args": [y.arg for y in (*a.posonlyargs, *a.args, *a.kwonlyargs)],
         "mutable_defaults": sum(isinstance(d, ast.List | ast.Dict | ast.Set) for d in a.defaults), "annotated": x.returns is not None,
-        "documented": ast.get_docstring(x) is not None, "complexity": complexity(x), "cognitive": cognitive(x), "plain_complexity": plain_complexity(x), "nesting": nesting(x),
+        "documented": ast.get_docstring(x) is not None, "cognitive": cognitive(x),
         "unreachable": bool(stops) and any(not isinstance(y, ast.Pass | ast.Expr) for y in x.body[stops[0] + 1 :]),
     }
 
@@ -105,7 +187,7 @@ def _created(x: ast.ClassDef) -> str | None:
 
 
 def _facts(path, source):
-    """A row for each function, class, exception handler without a type and unusual number; one for a text that does not parse."""
+    """A row for a text that parses, each function, class, exception handler without a type and unusual number in it; one for a text that does not parse."""
     names = [c.split()[0] for c in FACTS.split(", ")]
 
     def row(x, **more):
@@ -117,16 +199,24 @@ def _facts(path, source):
     if tree is None:
         yield row(None, kind="error")
         return
-    owners = {y: x.name for x in ast.walk(tree) if isinstance(x, ast.ClassDef) for y in x.body}
-    for x in ast.walk(tree):
-        if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef):
-            yield row(x, **_function(x, owners.get(x)))
+    flat, kinds = Flat(tree), python_kinds((source or "").splitlines())
+    branches, plain, (around, most) = flat.sums(branch_points), flat.sums(plain_points), flat.deepest(_NESTS)
+    yield row(None, kind="file", lines=len(kinds), code_lines=kinds.count("code"), **vocabulary(flat.nodes))
+    owners = {y: x.name for x in flat.nodes if isinstance(x, ast.ClassDef) for y in x.body}
+    for at, x in enumerate(flat.nodes):
+        if isinstance(x, _FUNCTION):
+            end, outside = flat.ends[at], set(x.decorator_list)
+            # decorators stand above a function and are no words of it
+            skipped = [range(i, flat.ends[i]) for i in range(at + 1, end) if flat.parents[i] == at and flat.nodes[i] in outside] if outside else []
+            inner = [flat.nodes[i] for i in range(at, end) if not any(i in r for r in skipped)] if skipped else flat.nodes[at:end]
+            points = {"complexity": 1 + branches[end] - branches[at], "plain_complexity": 1 + plain[end] - plain[at], "nesting": most[at] - around[at]}
+            yield row(x, **_function(x, owners.get(x)), **points, **vocabulary(inner))
         elif isinstance(x, ast.ClassDef):
-            yield row(x, kind="class", name=x.name, bases=[ast.unparse(b) for b in x.bases], creates=_created(x), methods=sum(isinstance(y, ast.FunctionDef | ast.AsyncFunctionDef) for y in x.body))
+            yield row(x, kind="class", name=x.name, bases=[_written(b, source) for b in x.bases], creates=_created(x), methods=sum(isinstance(y, _FUNCTION) for y in x.body))
         elif isinstance(x, ast.ExceptHandler) and x.type is None:
             yield row(x, kind="handler", silent=len(x.body) == 1 and isinstance(x.body[0], ast.Pass))
         elif isinstance(x, ast.Constant) and isinstance(x.value, int | float) and x.value not in PLAIN_NUMBERS:
-            yield row(x, kind="number", name=str(x.value))
+            yield row(x, kind="number", name=_spelled(x.value))
 
 
 def _imports(path, source):
@@ -140,41 +230,52 @@ def _imports(path, source):
                 yield path, x.module, n.name, x.level, x.lineno
 
 
-_LOOPS = (ast.For, ast.While)
+#: Calls of a database, of a wait and of a request, which performance rules look for in loops and asynchronous functions: fixed values.
+DATABASE_CALL = r"(?i)(?:\.query\s*\(|\.execute\s*\(|\.find\s*\(|\.get\s*\(|session\.query|db\.query)"
+SLEEP, REQUEST = r"time\.sleep\s*\(", r"requests\.(get|post|put|delete)\s*\("
 
 
-def _loop_depth(node: ast.AST) -> int:
-    """1, or 2 with a loop inside, or 3 with one inside that; deeper ones count as 3."""
-    inner = [x for x in ast.walk(node) if x is not node and isinstance(x, _LOOPS)]
-    if not inner:
-        return 1
-    return 3 if any(isinstance(y, _LOOPS) for x in inner for y in ast.walk(x) if y is not x) else 2
+def _lines_of(pattern: str, text: str) -> list[tuple[int, int]]:
+    """First and last line of each match."""
+    return [(text.count("\n", 0, m.start()) + 1, text.count("\n", 0, m.end()) + 1) for m in re.finditer(pattern, text, re.ASCII)]
 
 
 def _loops(path, source):
-    """A row for a text that parses, and one for each loop and asynchronous function, in the order of the walk."""
+    """A row for a text that parses, with its lines, and one for each loop and asynchronous function, in the order of the walk."""
     tree = _tree(source)
     if tree is None:
         return
     lines = (source or "").splitlines()
-    yield path, "parsed", -1, 0, 0, 0, 0, None
+    yield path, "parsed", -1, 0, 0, 0, 0, False, False, False, lines, python_loops(lines)
+    flat = Flat(tree)
+    around, most = flat.deepest(_LOOPS)
+    place = {x: at for at, x in enumerate(flat.nodes)}
+    calls = [_lines_of(p, "\n".join(lines)) for p in (DATABASE_CALL, SLEEP, REQUEST)]
     for seq, x in enumerate(ast.walk(tree)):
         if not isinstance(x, (*_LOOPS, ast.AsyncFunctionDef)):
             continue
-        names = [y.value.id for y in ast.walk(x) if isinstance(y, ast.Subscript) and isinstance(y.value, ast.Name)]
-        kind, depth = ("loop", _loop_depth(x)) if isinstance(x, _LOOPS) else ("async", 0)
-        yield path, kind, seq, x.lineno, x.end_lineno, depth, max(map(names.count, names), default=0), "\n".join(lines[x.lineno - 1 : x.end_lineno])
+        at = place[x]
+        names = Counter(y.value.id for y in flat.nodes[at : flat.ends[at]] if isinstance(y, ast.Subscript) and isinstance(y.value, ast.Name))
+        kind, depth = ("loop", min(3, 1 + most[at] - around[at])) if isinstance(x, _LOOPS) else ("async", 0)
+        within = [any(x.lineno <= a and b <= x.end_lineno for a, b in found) for found in calls]
+        yield path, kind, seq, x.lineno, x.end_lineno, depth, max(names.values(), default=0), *within, None, None
 
 
 def _each(files: DataFrame, rows_of, schema: str) -> DataFrame:
+    """Rows of each file, made in Python. Files are dealt out first, as a small table may have grown into many texts."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [r for p, c in zip(batch.path, batch.content, strict=True) for r in rows_of(p, c)]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=names).astype({n: object for n in names})
+
+    return dealt(files.select("path", "content")).mapInPandas(run, schema.format(path=files.schema["path"].dataType.simpleString()))
+
 
-    return files.select("path", "content").mapInPandas(run, schema.format(path=files.schema["path"].dataType.simpleString()))
+def dealt(files: DataFrame) -> DataFrame:
+    """The same rows in partitions that adaptive execution sizes by bytes."""
+    return files.hint("rebalance")
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -183,7 +284,60 @@ def facts(files: DataFrame) -> DataFrame:
 
 def functions(files: DataFrame) -> DataFrame:
     """One row for each function or method; files that do not parse give none."""
-    return facts(files).where("kind = 'function'").select("path", "name", F.col("owner").alias("class_name"), F.col("line").alias("line_start"), (F.col("line") + F.col("lines") - 1).alias("line_end"), F.size("args").alias("args"), "complexity", "cognitive", "nesting", "documented")
+    return functions_of(facts(files))
+
+
+def functions_of(found: DataFrame) -> DataFrame:
+    return found.where("kind = 'function'").select("path", "name", F.col("owner").alias("class_name"), F.col("line").alias("line_start"), (F.col("line") + F.col("lines") - 1).alias("line_end"), F.size("args").alias("args"), "complexity", "cognitive", "nesting", "documented")
+
+
+#: Grades by complexity (most points of a grade) and by maintainability (least index): fixed values.
+COMPLEXITY_GRADES = [("A", 5), ("B", 10), ("C", 15), ("D", 20)]
+MAINTAINABILITY_GRADES = [("A", 85), ("B", 75), ("C", 65), ("D", 50)]
+
+
+def complexity_grade(points: Column) -> Column:
+    return F.coalesce(*[F.when(points <= most, grade) for grade, most in COMPLEXITY_GRADES], F.lit("F"))
+
+
+def maintainability_grade(index: Column) -> Column:
+    return F.coalesce(*[F.when(index >= least, grade) for grade, least in MAINTAINABILITY_GRADES], F.lit("F"))
+
+
+def halstead_columns() -> dict[str, Column]:
+    """vocabulary, length, volume, difficulty, effort, time_s, bugs from the four counts; zero where the vocabulary is at most 1."""
+    n1, n2, ops, opds = (F.col(c) for c in ("operator_kinds", "operand_kinds", "operators", "operands"))
+    some = n1 + n2 > 1
+    of = lambda c: F.when(some, c).otherwise(0.0)
+    volume = of(F.round((ops + opds) * F.log2((n1 + n2).cast("double")), 2))
+    difficulty = of(F.round(n1 / 2 * (opds / F.greatest(n2, F.lit(1))), 2))
+    effort = F.round(volume * difficulty, 2)
+    whole = lambda c: F.when(some, c).otherwise(0).cast("long")
+    return {"vocabulary": whole(n1 + n2), "length": whole(ops + opds), "volume": volume, "difficulty": difficulty, "effort": effort, "time_s": F.round(effort / 18, 2), "bugs": F.round(volume / 3000, 4)}
+
+
+def halstead_functions(files: DataFrame) -> DataFrame:
+    """path, name, line_start, Halstead metrics by the syntax tree, maintainability index and grades of each function and method."""
+    rows = facts(files).where("kind = 'function'").withColumns(halstead_columns())
+    index = maintainability(F.col("volume"), F.col("complexity"), F.col("lines").cast("double"))
+    rows = rows.withColumn("maintainability", index)
+    return rows.select("path", "name", F.col("line").alias("line_start"), *halstead_columns(), "maintainability", complexity_grade(F.col("complexity")).alias("complexity_grade"), maintainability_grade(F.col("maintainability")).alias("maintainability_grade"))
+
+
+def file_quality(files: DataFrame) -> DataFrame:
+    """path, code_lines, functions, classes, average and largest complexity, average cognitive points, maintainability and grades of each file that parses.
+
+    The index is that of the whole text's volume, its worst function and its lines of code.
+    """
+    is_a, own = lambda kind: F.col("kind") == kind, lambda c: F.when(F.col("kind") == "function", F.col(c))
+    whole = F.first(F.when(is_a("file"), F.struct("code_lines", "operator_kinds", "operand_kinds", "operators", "operands")), ignorenulls=True)
+    mean = lambda c: F.round(F.coalesce(F.avg(own(c)), F.lit(0.0)), 2)
+    rows = facts(files).where("kind IN ('file', 'function', 'class')").groupBy("path").agg(
+        whole.alias("w"), F.count_if(is_a("function")).alias("functions"), F.count_if(is_a("class")).alias("classes"), mean("complexity").alias("avg_complexity"), F.coalesce(F.max(own("complexity")), F.lit(0)).alias("max_complexity"), mean("cognitive").alias("avg_cognitive"))
+    rows = rows.select("*", "w.*").withColumn("volume", halstead_columns()["volume"])
+    worst = F.greatest("max_complexity", F.lit(1))
+    rows = rows.withColumn("maintainability", maintainability(F.col("volume"), worst, F.greatest("code_lines", F.lit(1)).cast("double")))
+    return rows.select("path", "code_lines", "functions", "classes", "avg_complexity", "max_complexity", "avg_cognitive", "volume", "maintainability", maintainability_grade(F.col("maintainability")).alias("maintainability_grade"), complexity_grade(worst).alias("grade"))
 
 
 def tree_findings(files: DataFrame) -> DataFrame:
@@ -246,7 +400,12 @@ def class_complexity(files: DataFrame) -> DataFrame:
 
 def class_edges(files: DataFrame) -> DataFrame:
     """path, class_name, base of each base that is a class of the corpus, by its last name."""
-    classes = facts(files).where("kind = 'class'").select("path", F.col("name").alias("class_name"), "bases")
+    return class_edges_of(materialize(facts(files).where("kind = 'class'").select("path", "kind", "name", "bases"), "classes"))
+
+
+def class_edges_of(found: DataFrame) -> DataFrame:
+    """The same from facts; a written table, as it is read for the classes and for their bases."""
+    classes = found.where("kind = 'class'").select("path", F.col("name").alias("class_name"), "bases")
     bases = classes.select("path", "class_name", F.explode("bases").alias("base")).withColumn("base", F.regexp_extract("base", r"([^.\[\(]*)(?:[\[\(].*)?$", 1))
     return bases.join(classes.select(F.col("class_name").alias("base")).distinct(), "base", "left_semi").select("path", "class_name", "base")
 
@@ -255,7 +414,9 @@ def project_complexity(files: DataFrame, digits: int = 2) -> DataFrame:
     """For each project the averages of its files' averages, its functions, and its worst file; files without functions count as 0."""
     by_file = files.select("path", "project").join(file_complexity(files), "path", "left").na.fill(0)
     worst = F.max_by("path", F.struct("max_complexity", "avg_complexity", "path"))
-    return by_file.groupBy("project").agg(F.count("*").alias("files"), F.sum("functions").alias("functions"), F.round(F.avg("avg_complexity"), digits).alias("avg_complexity"), F.round(F.avg("avg_cognitive"), digits).alias("avg_cognitive"), F.max("max_complexity").alias("max_complexity"), worst.alias("worst_file"))
+    # averages of files have two places: whole hundredths add up to the same number in any order
+    mean = lambda c: F.round(F.sum(F.round(F.col(c) * 100)) / (F.count("*") * 100), digits).alias(c)
+    return by_file.groupBy("project").agg(F.count("*").alias("files"), F.sum("functions").alias("functions"), mean("avg_complexity"), mean("avg_cognitive"), F.max("max_complexity").alias("max_complexity"), worst.alias("worst_file"))
 
 
 def magic_numbers(files: DataFrame, most: int = 3) -> DataFrame:

@@ -123,3 +123,11 @@ SELECT sum(n)::BIGINT AS files, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT
     "url_normalize": f"""SELECT page_id AS path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '{w.SCHEME_HOST}', ''), '{w.UUID}', '{{id}}', 'gi'), '/[0-9]+(/|$)', '/{{id}}\\1', 'g'), '/[0-9]+(/|$)', '/{{id}}\\1', 'g') AS route FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages)""",
     "html_to_text": "SELECT page_id AS path, trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'), ' ') AS plain FROM pages",
 }
+
+
+def halstead_sql(rows: str, lines: str) -> str:
+    """Rows with n1, n2, ops, opds, complexity and lines, and what follows from these numbers."""
+    return f"""(SELECT *, CASE WHEN mi >= 85 THEN 'A' WHEN mi >= 75 THEN 'B' WHEN mi >= 65 THEN 'C' WHEN mi >= 50 THEN 'D' ELSE 'F' END AS mi_grade,
+  CASE WHEN complexity <= 5 THEN 'A' WHEN complexity <= 10 THEN 'B' WHEN complexity <= 15 THEN 'C' WHEN complexity <= 20 THEN 'D' ELSE 'F' END AS cc_grade
+FROM (SELECT *, round(difficulty * volume, 2) AS effort, CASE WHEN volume <= 0 THEN 100.0 ELSE round(least(greatest((171 - 5.2 * ln(volume) - 0.23 * complexity - 16.2 * ln({lines})) * 100 / 171, 0), 100), 2) END AS mi
+FROM (SELECT *, CASE WHEN n1 + n2 > 1 THEN round((ops + opds) * log2(n1 + n2), 2) ELSE 0.0 END AS volume, CASE WHEN n1 + n2 > 1 THEN round(n1 / 2 * (opds / greatest(n2, 1)), 2) ELSE 0.0 END AS difficulty FROM ({rows}))))"""

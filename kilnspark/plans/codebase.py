@@ -10,7 +10,7 @@ from __future__ import annotations
 from kilnspark.operators import checks, chunks, lines, paths, performance, pyast, rules, similarity, summaries
 from kilnspark.sources.samples import CODE_SQL, code_files, expected_sql
 
-from .code import _blocks, _findings, _quality, _risk, _windows
+from .code import _blocks, _findings, _quality, _risk, _windows, halstead_sql
 
 
 def _python(spark, sf_dir):
@@ -38,9 +38,11 @@ QUERIES = {
     "code_tree_findings": lambda s, d: pyast.tree_findings(_python(s, d)),
     "function_metrics": lambda s, d: pyast.functions(_python(s, d)),
     "file_complexity": lambda s, d: pyast.file_complexity(_python(s, d)),
+    "function_halstead": lambda s, d: pyast.halstead_functions(_python(s, d)),
+    "file_quality": lambda s, d: pyast.file_quality(_python(s, d)),
     "class_complexity": lambda s, d: pyast.class_complexity(_python(s, d)),
     "class_hierarchy": lambda s, d: pyast.class_edges(_python(s, d)),
-    "project_complexity": lambda s, d: pyast.project_complexity(_python(s, d), 6),
+    "project_complexity": lambda s, d: pyast.project_complexity(_python(s, d), 9),
     "magic_numbers": lambda s, d: pyast.magic_numbers(_python(s, d)),
     "code_imports": lambda s, d: pyast.imports(_python(s, d)),
     "code_chunks": lambda s, d: chunks.code_chunks(_python(s, d)),
@@ -95,6 +97,14 @@ _FUNCTIONS = [
     (9, "first", None, 2, 9, 0, 1, 0, 0, 0), (9, "second", None, 10, 18, 0, 1, 0, 0, 0), (9, "first", None, 19, 26, 0, 1, 0, 0, 0),
 ]
 _FUNCTION_COLUMNS = "name VARCHAR, class_name VARCHAR, line_start INT, line_end INT, args INT, complexity INT, cognitive INT, nesting INT, documented BOOLEAN"
+#: sample, name, first line, kinds of operators and operands, operators and operands
+_SIGNS = [
+    (0, "__init__", 10, 2, 4, 2, 4), (0, "load", 13, 4, 7, 4, 10), (0, "total", 20, 7, 8, 9, 18), (1, "report_{id}", 1, 7, 18, 11, 26),
+    (2, "poll_{id}", 5, 1, 8, 1, 8), (2, "calm", 10, 1, 5, 1, 5), (2, "cube", 14, 7, 9, 11, 21),
+    (5, "walk_{id}", 1, 11, 17, 16, 26), (5, "one", 18, 2, 2, 2, 2), (5, "two", 23, 2, 2, 2, 2), (9, "first", 2, 7, 9, 12, 19), (9, "second", 10, 7, 10, 12, 19), (9, "first", 19, 7, 9, 12, 19),
+]
+#: sample, classes, and the same of the whole text
+_FILE_SIGNS = [(0, 1, 10, 19, 19, 34), (1, 0, 7, 18, 11, 26), (2, 0, 9, 17, 15, 34), (3, 0, 2, 42, 5, 48), (5, 2, 12, 20, 22, 31), (9, 0, 7, 12, 37, 59)]
 #: sample, type, name, first and last line, characters
 _CHUNKS = [
     (0, "imports", "imports", 2, 4), (0, "class", "Store", 7, 25), (1, "function", "report_{id}", 1, 12), (2, "imports", "imports", 1, 2), (2, "function", "poll_{id}", 5, 7),
@@ -121,11 +131,15 @@ SELECT *, CASE {" ".join(f"WHEN score >= {n} THEN '{x}'" for n, x in performance
     "code_tree_findings": expected_sql("line INT, rule VARCHAR, severity VARCHAR, name VARCHAR", _TREE),
     "function_metrics": _F,
     "file_complexity": _FILE,
+    "function_halstead": f"""SELECT path, name, line_start, CASE WHEN n1 + n2 > 1 THEN n1 + n2 ELSE 0 END AS vocabulary, CASE WHEN n1 + n2 > 1 THEN ops + opds ELSE 0 END AS length, volume, difficulty, effort, round(effort / 18, 2) AS time_s, round(volume / 3000, 4) AS bugs, mi AS maintainability, cc_grade AS complexity_grade, mi_grade AS maintainability_grade
+FROM {halstead_sql(f"SELECT * FROM ({_F}) JOIN ({expected_sql('name VARCHAR, line_start INT, n1 BIGINT, n2 BIGINT, ops BIGINT, opds BIGINT', _SIGNS)}) USING (path, name, line_start)", "line_end - line_start + 1")}""",
+    "file_quality": f"""SELECT path, code_lines, functions, classes, avg_complexity, max_complexity, avg_cognitive, volume, mi AS maintainability, mi_grade AS maintainability_grade, cc_grade AS grade
+FROM {halstead_sql(f"SELECT path, code_lines, coalesce(functions, 0) AS functions, classes, coalesce(avg_complexity, 0) AS avg_complexity, coalesce(max_complexity, 0) AS max_complexity, greatest(coalesce(max_complexity, 0), 1) AS complexity, coalesce(avg_cognitive, 0) AS avg_cognitive, n1, n2, ops, opds FROM ({expected_sql('classes BIGINT, n1 BIGINT, n2 BIGINT, ops BIGINT, opds BIGINT', _FILE_SIGNS)}) JOIN ({expected_sql('code_lines BIGINT', [r[:1] + r[2:3] for r in _LINE_COUNTS])}) USING (path) LEFT JOIN ({_FILE}) USING (path)", "code_lines")}""",
     "class_complexity": expected_sql("class_name VARCHAR, methods BIGINT, avg_complexity DOUBLE, max_complexity INT, bases VARCHAR", [(0, "Store", 3, 2.67, 5, ""), (5, "Base", 1, 1.0, 1, ""), (5, "Leaf", 1, 1.0, 1, "Base")]),
     "class_hierarchy": expected_sql("class_name VARCHAR, base VARCHAR", [(5, "Leaf", "Base")]),
     "project_complexity": f"""WITH m AS ({_FILE}), f AS (SELECT c.project, c.path, coalesce(functions, 0) AS functions, coalesce(avg_complexity, 0) AS a, coalesce(max_complexity, 0) AS x, coalesce(avg_cognitive, 0) AS g FROM {_PY} c LEFT JOIN m ON m.path = c.path),
 r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY x DESC, a DESC, path DESC) AS r FROM f)
-SELECT project, count(*) AS files, sum(functions)::BIGINT AS functions, round(avg(a), 6) AS avg_complexity, round(avg(g), 6) AS avg_cognitive, max(x) AS max_complexity, max(path) FILTER (WHERE r = 1) AS worst_file FROM r GROUP BY project""",
+SELECT project, count(*) AS files, sum(functions)::BIGINT AS functions, round(sum(round(a * 100)) / (count(*) * 100), 9) AS avg_complexity, round(sum(round(g * 100)) / (count(*) * 100), 9) AS avg_cognitive, max(x) AS max_complexity, max(path) FILTER (WHERE r = 1) AS worst_file FROM r GROUP BY project""",
     "magic_numbers": expected_sql("value VARCHAR, line INT", [(1, "4711", 10), (1, "5", 12), (5, "9", 4), (9, "{id}", 1)]),
     "code_imports": expected_sql("module VARCHAR, name VARCHAR, level BIGINT, line BIGINT", [(0, "os", None, 0, 2), (0, "re", None, 0, 3), (0, "models.order", "Order", 0, 4), (0, "models.order", "Line", 0, 4), (2, "time", None, 0, 1), (2, "requests", None, 0, 2)]),
     "code_chunks": f"""WITH e AS ({expected_sql("chunk_type VARCHAR, name VARCHAR, line_start INT, line_end INT", _CHUNKS)}),

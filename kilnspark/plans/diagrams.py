@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kilnspark.functions.tables import materialize
 from kilnspark.operators import diagrams as m
 from kilnspark.operators import graph as g
 from kilnspark.operators import pyast, scripts
 from kilnspark.sources import corpus as c
 from kilnspark.sources.samples import CODE_SQL, code_files, expected_sql, route_files, script_files
 
+from .code import halstead_sql
 from .structure import _R, _near_references
 
 
@@ -39,6 +41,12 @@ def _python(spark, sf_dir):
     return code_files(spark, sf_dir).where("language = 'python'")
 
 
+def _classes(spark, sf_dir):
+    """One parse for functions and classes."""
+    found = materialize(pyast.facts(_python(spark, sf_dir)).where("kind IN ('function', 'class')"), "facts")
+    return m.class_diagram(pyast.functions_of(found), pyast.class_edges_of(found))
+
+
 QUERIES = {
     "grid_layout": lambda s, d: m.grid_layout(_suppliers(s, d)),
     "circular_layout": lambda s, d: m.circular_layout(_suppliers(s, d)),
@@ -46,7 +54,7 @@ QUERIES = {
     "top_subgraph": lambda s, d: m.subgraph(_orders(s, d), _near_references(s, d)),
     "layer_diagram": lambda s, d: m.layer_diagram(_layered(s, d)),
     "layer_nodes": lambda s, d: m.layer_nodes(_layered(s, d)),
-    "class_diagrams": lambda s, d: m.class_diagram(pyast.functions(_python(s, d)), pyast.class_edges(_python(s, d))),
+    "class_diagrams": _classes,
     "api_routes": lambda s, d: m.routes(route_files(s, d)),
     "request_diagrams": lambda s, d: m.request_diagram(m.routes(route_files(s, d))),
     "script_functions": lambda s, d: scripts.script_functions(script_files(s, d)),
@@ -57,8 +65,8 @@ QUERIES = {
 _ROUTES = [("GET", "/items/{id}", "read_item", "verb", 0), ("POST", "/items", "add_item", "verb", 1), ("DELETE", "/lost", "unknown", "verb", 2), ("GET", "/shop/{id}", "shop", "methods", 0), ("POST", "/shop/{id}", "shop", "methods", 0), ("GET", "/plain", "plain", "methods", 1)]
 _ROUTES_SQL = f"SELECT 'routes/shop' || s_suppkey || '.py' AS path, verb, replace(route, '{{id}}', s_suppkey::VARCHAR) AS route, handler, style, place FROM supplier JOIN (VALUES {', '.join(map(str, _ROUTES))}) r(verb, route, handler, style, place) ON true"
 _REQUESTS = "\n".join(["sequenceDiagram", "    title API Request Flow", *[f"    participant {x}" for x in ("Client", "API", "Service", "Database")], *["    " + step.format(verb=v, path=p, handler=h) for v, p, h, _, _ in _ROUTES for step in m.REQUEST_STEPS]])
-#: name, first and last line, branches, cognitive complexity, parameters, async
-_SCRIPTS = [("load", 1, 8, 2, 5, 2, True), ("sum_{id}", 10, 12, 1, 0, 2, False), ("open_one", 13, 14, 1, 0, 1, False)]
+#: name, first and last line, branches, cognitive complexity, parameters, async; kinds of operators and operands, operators and operands
+_SCRIPTS = [("load", 1, 8, 2, 5, 2, True, 6, 10, 7, 13), ("sum_{id}", 10, 12, 1, 0, 2, False, 2, 3, 2, 3), ("open_one", 13, 14, 1, 0, 1, True, 0, 0, 0, 0)]
 _CLASSES = [
     (0, 'classDiagram\n    note "Class Hierarchy"\n    class Store {\n        +__init__()\n        +load()\n        +total()\n    }'),
     (5, 'classDiagram\n    note "Class Hierarchy"\n    class Base {\n        +one()\n    }\n    class Leaf {\n        +two()\n    }\n    Base <|-- Leaf'),
@@ -91,7 +99,8 @@ UNION ALL SELECT 'file:' || path, 'fileNode', 'layer:' || layer, name, 20 + (pos
     "class_diagrams": expected_sql("diagram VARCHAR", _CLASSES),
     "api_routes": _ROUTES_SQL,
     "request_diagrams": f"SELECT 'routes/shop' || s_suppkey || '.py' AS path, replace('{_REQUESTS}', '{{id}}', s_suppkey::VARCHAR) AS diagram FROM supplier",
-    "script_functions": f"SELECT 'web/shop' || s_suppkey || '.js' AS path, replace(name, '{{id}}', s_suppkey::VARCHAR) AS name, line_start, line_end, complexity, cognitive, parameters, is_async FROM supplier JOIN (VALUES {', '.join(map(str, _SCRIPTS))}) f(name, line_start, line_end, complexity, cognitive, parameters, is_async) ON true",
+    "script_functions": f"""SELECT 'web/shop' || s_suppkey || '.js' AS path, replace(name, '{{id}}', s_suppkey::VARCHAR) AS name, line_start, line_end, complexity, cognitive, parameters, is_async, volume, difficulty, effort, mi AS maintainability, cc_grade AS grade, mi_grade AS maintainability_grade
+FROM supplier JOIN {halstead_sql(f"SELECT * FROM (VALUES {', '.join(map(str, _SCRIPTS))}) f(name, line_start, line_end, complexity, cognitive, parameters, is_async, n1, n2, ops, opds)", "greatest(line_end - line_start, 1)")} ON true""",
     "file_tree": f"""WITH {CODE_SQL}, s AS (SELECT DISTINCT string_split(path, '/') AS parts FROM code), n AS (SELECT parts, unnest(range(1, len(parts) + 1)) AS depth FROM s),
 t AS (SELECT array_to_string(parts[:depth], '/') AS node, depth, min((depth = len(parts))::INT) AS leaf, count(*) AS files FROM n GROUP BY 1, 2),
 k AS (SELECT node, regexp_replace(node, '/?[^/]*$', '') AS parent, regexp_extract(node, '([^/]*)$', 1) AS name, depth::INT AS depth, CASE leaf WHEN 1 THEN 'file' ELSE 'directory' END AS kind, files FROM t)
