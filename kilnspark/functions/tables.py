@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
 
@@ -38,6 +39,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def materialize_counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The written table, and sums (0 over no rows) that the writing job takes along; what loops ask of each step costs no job of its own."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count("*").alias("rows"), *[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(n) for n, c in counts.items()]), name)
+    return out, seen.get
+
+
 def forget(df: DataFrame) -> None:
     """Delete a materialized table that nothing reads any more."""
     path = getattr(df, "_kiln_path", None)

@@ -31,6 +31,11 @@ def _near_references(spark, sf_dir):
     return c.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), ((F.col("l_orderkey") + F.col("l_partkey") % 41 - 20 + n) % n).alias("dst"))
 
 
+def _customers_orders(spark, sf_dir):
+    """An order refers to the order that has its customer's number: rings of many lengths, each with trees that lead to it."""
+    return c.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
+
+
 def _nodes(spark, sf_dir):
     return c.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.concat(F.lit("pkg"), F.col("s_nationkey")).alias("package"))
 
@@ -82,16 +87,14 @@ QUERIES = {
     "dependency_degree": lambda s, d: g.degrees(_edges(s, d)),
     "node_types": lambda s, d: g.node_types(_nodes(s, d), _edges(s, d)),
     "transitive_deps": lambda s, d: g.transitive(_edges(s, d), _nodes(s, d).where("node % 100 = 0")),
-    "cycles": lambda s, d: g.cycles(_near_references(s, d)),
+    "cycles": lambda s, d: g.cycles(_customers_orders(s, d)),
+    "short_cycles": lambda s, d: g.short_cycles(_near_references(s, d)),
     "cycle_edges": lambda s, d: g.edges_in_cycles(_references(s, d)),
     "package_deps": lambda s, d: g.package_deps(_edges(s, d), _nodes(s, d)),
     "layer_classes": lambda s, d: g.layer_classes(_paths(s, d)),
     "mermaid_components": lambda s, d: g.mermaid_components(g.package_deps(_edges(s, d), _nodes(s, d))),
 }
 
-# The same queries under the names they had while the plain ones read a part of lineitem.
-QUERIES |= {f"{name}_all": QUERIES[name] for name in ("dependency_degree", "node_types", "package_deps", "mermaid_components")}
-
 _E = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem)"
 _R = "n AS (SELECT count(*) AS n FROM orders), e AS (SELECT DISTINCT l_orderkey AS src, (l_orderkey + l_partkey % 41 - 20 + n) % n AS dst FROM lineitem, n)"
 _DEG = "deg AS (SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY node)"
@@ -120,7 +123,10 @@ SELECT node, out_degree, in_degree, CASE WHEN in_degree = 0 AND out_degree > 0 T
     "transitive_deps": f"""WITH RECURSIVE {_E}, w AS (SELECT s_suppkey AS start, s_suppkey AS node, 0 AS steps FROM supplier WHERE s_suppkey % 100 = 0
   UNION SELECT start, dst, steps + 1 FROM w JOIN e ON src = node WHERE steps < 10)
 SELECT start, node, min(steps) AS steps FROM w GROUP BY start, node HAVING min(steps) > 0""",
-    "cycles": f"""WITH {_R}, d AS (SELECT * FROM e WHERE src <> dst), p2 AS (SELECT src AS a, dst AS b FROM d WHERE src < dst),
+    "cycles": """WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS src, o_custkey AS dst FROM orders),
+w AS (SELECT src AS start, dst AS node, [src] AS way FROM e WHERE dst >= src UNION ALL SELECT start, dst, list_append(way, node) FROM w JOIN e ON src = node WHERE node <> start AND dst >= start AND len(way) <= (SELECT count(*) FROM e))
+SELECT array_to_string(way, '>') AS cycle, len(way)::INT AS length FROM w WHERE node = start""",
+    "short_cycles": f"""WITH {_R}, d AS (SELECT * FROM e WHERE src <> dst), p2 AS (SELECT src AS a, dst AS b FROM d WHERE src < dst),
 p3 AS (SELECT a, b, dst AS c FROM p2 JOIN d ON src = b WHERE dst > a AND dst <> b), p4 AS (SELECT a, b, c, dst AS x FROM p3 JOIN d ON src = c WHERE dst > a AND dst NOT IN (b, c))
 SELECT a || '>' || b AS cycle, 2 AS length FROM p2 JOIN d ON src = b AND dst = a
 UNION ALL SELECT a || '>' || b || '>' || c, 3 FROM p3 JOIN d ON src = c AND dst = a
@@ -131,5 +137,3 @@ SELECT CASE {" ".join(f"WHEN regexp_matches(lower(path), '{'|'.join(words)}') TH
     "mermaid_components": f"""WITH {_E}, {_PKG}, t AS (SELECT * FROM k ORDER BY edges DESC, from_package, to_package LIMIT 30)
 SELECT 'graph LR' || chr(10) || string_agg('    ' || from_package || ' -->|' || edges || '| ' || to_package, chr(10) ORDER BY edges DESC, from_package, to_package) AS diagram FROM t""",
 }
-
-ORACLE |= {f"{name}_all": ORACLE[name] for name in ("dependency_degree", "node_types", "package_deps", "mermaid_components")}

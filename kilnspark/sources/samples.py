@@ -230,6 +230,11 @@ const open_one = async (x) => {
 LANGUAGES = {"py": "python", "js": "javascript", "": "unknown"}
 
 
+def _dealt(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Keys of a small table dealt to all cores before texts are made of them: a text is much larger than its key."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns).repartition(spark.sparkContext.defaultParallelism)
+
+
 def code_files(spark: SparkSession, sf_dir: str, extension: str | None = None) -> DataFrame:
     """path, content, language, project, sample: one file for each part; only those of an extension if it is given."""
     pick = (F.col("p_partkey") % len(SAMPLES)).cast("int")
@@ -237,20 +242,20 @@ def code_files(spark: SparkSession, sf_dir: str, extension: str | None = None) -
     ext, key = each([e for e, _ in SAMPLES]), F.col("p_partkey").cast("string")
     project = F.concat(F.lit("shop"), F.col("p_size").cast("string"))
     path = F.concat(F.lit("src/"), project, F.lit("/mod"), key, F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(path.alias("path"), F.replace(each([t for _, t in SAMPLES]), F.lit("{id}"), key).alias("content"), each([LANGUAGES[e] for e, _ in SAMPLES]).alias("language"), project.alias("project"), pick.alias("sample"), ext.alias("ext"))
+    rows = _dealt(spark, sf_dir, "part", "p_partkey", "p_size").select(path.alias("path"), F.replace(each([t for _, t in SAMPLES]), F.lit("{id}"), key).alias("content"), each([LANGUAGES[e] for e, _ in SAMPLES]).alias("language"), project.alias("project"), pick.alias("sample"), ext.alias("ext"))
     return (rows if extension is None else rows.where(F.col("ext") == extension)).drop("ext")
 
 
 def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: one file of routes for each supplier."""
     key = F.col("s_suppkey").cast("string")
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("routes/shop"), key, F.lit(".py")).alias("path"), F.replace(F.lit(ROUTES), F.lit("{id}"), key).alias("content"))
+    return _dealt(spark, sf_dir, "supplier", "s_suppkey").select(F.concat(F.lit("routes/shop"), key, F.lit(".py")).alias("path"), F.replace(F.lit(ROUTES), F.lit("{id}"), key).alias("content"))
 
 
 def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: one script for each supplier."""
     key = F.col("s_suppkey").cast("string")
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("web/shop"), key, F.lit(".js")).alias("path"), F.replace(F.lit(SCRIPT), F.lit("{id}"), key).alias("content"))
+    return _dealt(spark, sf_dir, "supplier", "s_suppkey").select(F.concat(F.lit("web/shop"), key, F.lit(".js")).alias("path"), F.replace(F.lit(SCRIPT), F.lit("{id}"), key).alias("content"))
 
 
 def _sql(text: str) -> str:

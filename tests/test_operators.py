@@ -35,7 +35,7 @@ def test_rate_limit_counts_accepted_only(spark):
 
 def test_cycles_and_closure(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 5)], "src long, dst long")
-    assert [r.cycle for r in graph.cycles(edges).collect()] == ["1>2>3"]
+    assert [r.cycle for r in graph.short_cycles(edges).collect()] == ["1>2>3"]
     assert {(r.node, r.steps) for r in graph.transitive(edges, spark.createDataFrame([(4,)], "node long")).collect()} == {(1, 1), (2, 2), (3, 3)}
     kinds = {r.node: r.kind for r in graph.node_types(spark.createDataFrame([(i,) for i in range(1, 7)], "node long"), edges).collect()}
     assert kinds[4] == "entry_point" and kinds[6] == "orphan" and kinds[1] == "module"
