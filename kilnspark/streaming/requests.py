@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kilnspark.operators.expiry import Fold, mail_cap, session, sliding_limit, walk
+
 REQUEST = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -35,28 +38,57 @@ def latest_progress(requests: DataFrame) -> DataFrame:
     return requests.groupBy("user_id").agg(F.count("*").alias("updates"), F.max_by(F.struct("id", "endpoint"), F.struct("ts", "id")).alias("last")).select("user_id", "updates", "last.id", "last.endpoint")
 
 
-def rate_limits(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """id, user_id, allowed: a sliding window over accepted requests, its times kept as state.
+def in_order(requests: DataFrame, fold: Fold, late: str = "10 minutes") -> DataFrame:
+    """The folds of operators/expiry.py over a stream, in order of event time: user_id, id and what is said of each request, or user_id and a row for each session.
 
-    A user's state holds at most `limit` times and goes when the user has been quiet for
-    a window. Requests of one batch are decided in order of time.
+    Requests wait in state until the watermark passes them, so rows that come out of
+    order within `late` are decided as a batch over all of them would; later ones are
+    dropped. State of a user is what waits, and the fold's own; event-time timers empty it
+    when it means nothing any more, and give the rows of sessions. A pause of the stream,
+    a replay or a restart changes no decision, as no clock but the rows' own is read.
     """
+    closes = fold.closes is not None
+    names = ["user_id"] + ([] if closes else ["id"]) + [c.split()[0] for c in fold.columns.split(", ")]
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        times, ids, kept = ([int(x) for x in held] for held in state.get) if state.exists else ([], [], [])
+        if not state.hasTimedOut:
+            for batch in batches:
+                times += batch.us.tolist()
+                ids += batch["id"].tolist()
+        passed, out = state.getCurrentWatermarkMs() * 1000, []
+        waiting = sorted(zip(times, ids, strict=True))
+        ready = bisect_right(waiting, passed, key=lambda r: r[0])
+        for us, i in waiting[:ready]:
+            kept, closed, said = walk(fold, kept, us)
+            out += [(key[0], *row) for row in closed] if closes else [(key[0], i, *said)]
+        waiting = waiting[ready:]
+        if kept and fold.ends(kept) <= passed:
+            out += [(key[0], *fold.closes(kept))] if closes else []
+            kept = []
+        if waiting or kept:
+            state.update(([t for t, _ in waiting], [i for _, i in waiting], kept))
+            moments = [t for t, _ in waiting[:1]] + ([fold.ends(kept)] if kept else [])
+            state.setTimeoutTimestamp(max(min(moments), passed) // 1000 + 1)
+        else:
             state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "id"])
-        allowed = []
-        for us in rows.us:
-            recent = [t for t in recent if t > us - seconds * 1_000_000]
-            allowed.append(len(recent) < limit)
-            if allowed[-1]:
-                recent.append(int(us))
-        state.update((recent,))
-        state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame({"id": rows.id, "user_id": key[0], "allowed": allowed})
-
-    rows = requests.select("id", "user_id", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(decide, "id long, user_id long, allowed boolean", "recent array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        yield pd.DataFrame(out, columns=names)
+
+    rows = requests.withWatermark("ts", late).select("ts", "id", "user_id", F.unix_micros("ts").alias("us"))
+    schema = "user_id long, " + ("" if closes else "id long, ") + fold.columns
+    return rows.groupBy("user_id").applyInPandasWithState(decide, schema, "times array<long>, ids array<long>, kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def rate_limits(requests: DataFrame, limit: int, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """user_id, id, allowed: a sliding window over accepted requests, by event time."""
+    return in_order(requests, sliding_limit(limit, seconds), late)
+
+
+def mail_caps(requests: DataFrame, limit: int, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """user_id, id, allowed, remaining of each request taken as a mail to its user."""
+    return in_order(requests, mail_cap(limit, seconds), late)
+
+
+def sessions(requests: DataFrame, seconds: int, touch: bool = True, late: str = "10 minutes") -> DataFrame:
+    """user_id, first_us, last_us, requests of each session once it has expired."""
+    return in_order(requests, session(seconds, touch), late)
