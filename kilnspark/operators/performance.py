@@ -15,7 +15,7 @@ PYTHON_ANYWHERE = [
     Rule("PERF-PY-012", "LOW", r"for\s+\w+\s+in\s+range\s*\(\s*len\s*\("),
 ]
 PYTHON_IN_LOOP = [
-    Rule("PERF-PY-003", "HIGH", r"""^(\s+\w+\s*\+=\s*["']|\s+\w+\s*=\s*\w+\s*\+\s*["'])"""),
+    Rule("PERF-PY-003", "HIGH", r"""^\s+\w+\s*\+=\s*["']|^\s+\w+\s*=\s*\w+\s*\+\s*["']"""),
     Rule("PERF-PY-004", "HIGH", r"\.sort\s*\(|sorted\s*\("),
     Rule("PERF-PY-014", "MEDIUM", r"re\.compile\s*\("),
 ]

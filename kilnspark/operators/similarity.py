@@ -3,9 +3,13 @@ inverted index, repeated blocks of lines, and overlap with a second corpus."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kilnspark.functions.tables import materialize
+
 #: Tokens too common to tell files apart: fixed values.
 STOP_TOKENS = [
     "the", "a", "an",
@@ -58,13 +62,52 @@ def exact_duplicates(files: DataFrame) -> DataFrame:
     return rows.join(classes, "digest").select("path", "class_path", "class_size", "digest")
 
 
+def hashed_sets(files: DataFrame, k: int = 3) -> DataFrame:
+    """path, hashes: each file's set of k-shingles (or of its tokens, where they are fewer) as sorted 64-bit hashes; files without tokens have none.
+
+    Texts are read once and go no further: a shingle is hashed from its tokens.
+    """
+    toks, n = F.col("toks"), F.size("toks")
+    shingle = lambda i: F.xxhash64(*[F.element_at(toks, i + j) for j in range(k)])
+    whole = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), shingle)
+    found = F.when(n >= k, whole).otherwise(F.transform(toks, lambda t: F.xxhash64(t, F.lit("token"))))
+    rows = files.select("path", tokens(normalized(F.col("content"))).alias("toks"))
+    return rows.where(n > 0).select("path", F.array_sort(F.array_distinct(found)).alias("hashes"))
+
+
 def shingle_classes(files: DataFrame, k: int = 3) -> DataFrame:
-    """path, class_path: files with equal shingle sets are one class; files without shingles are left out."""
-    # a filter on shingles, or on a digest that may be null, would be pushed below and cut tokens anew for each shingle
-    rows = shingled(files, k).where(F.size("toks") > 0).select("path", F.array_sort("shingles").alias("shingles"))
-    rows = rows.withColumn("digest", F.coalesce(F.sha2(F.array_join("shingles", "\n"), 256), F.lit("")))
+    """path (the least of its class), members, n, hashes: files with equal sets are one class. A written table: one row for each class."""
+    rows = hashed_sets(files, k).withColumn("digest", _digest())
+    classes = rows.groupBy("digest").agg(F.min("path").alias("path"), F.count("*").alias("members"), F.first("hashes").alias("hashes"))
+    return materialize(classes.select("path", "members", F.size("hashes").alias("n"), "hashes"), "shingle-classes")
+
+
+def _digest():
+    return F.sha2(F.array_join(F.col("hashes").cast("array<string>"), " "), 256)
+
+
+def class_members(files: DataFrame, k: int = 3) -> DataFrame:
+    """path, class_path, members: the class of files with equal shingle sets that each file with tokens is in."""
+    rows = materialize(hashed_sets(files, k).select("path", _digest().alias("digest")), "set-digests")
     classes = rows.groupBy("digest").agg(F.min("path").alias("class_path"), F.count("*").alias("members"))
-    return rows.join(classes, "digest")
+    return rows.join(classes, "digest").select("path", "class_path", "members")
+
+
+def _by_size(rows: DataFrame, key: str, threshold: float, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Two sides that meet on key and size: sets that can be so similar are at most one step of 1 / threshold apart, so a key that many sets share falls apart by their sizes."""
+    step = F.floor(F.ln(F.col("n").cast("double")) / -math.log(threshold) + 1e-9) if threshold < 1 else F.col("n").cast("long")
+    held = rows.select(F.col(key).alias("key"), step.alias("step"), "path", "n", *more)
+    a = held.toDF("key", "step", "path_a", "na", *[f"{c}_a" for c in more])
+    b = held.toDF("key", "own", "path_b", "nb", *[f"{c}_b" for c in more]).withColumn("step", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).drop("own")
+    return a, b
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """path_a, path_b, j of the pairs whose whole sets are so similar."""
+    whole = sets.select("path", "hashes")
+    joined = pairs.join(whole.toDF("path_a", "sa"), "path_a").join(whole.toDF("path_b", "sb"), "path_b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return joined.select("path_a", "path_b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("j")).where(F.col("j") >= threshold - 1e-9)
 
 
 def jaccard_pairs(files: DataFrame, threshold: float = 0.7, k: int = 3) -> DataFrame:
@@ -72,19 +115,19 @@ def jaccard_pairs(files: DataFrame, threshold: float = 0.7, k: int = 3) -> DataF
 
     Sets that overlap so much share one of their rarest shingles: with sets ordered by
     document frequency, the first n - ceil(threshold n) + 1 of each suffice. Only those
-    are joined, and candidates are verified on whole sets, so none is lost.
+    meet, where sizes and what is left behind the shared place still allow the overlap.
+    Candidates are verified on whole sets, so none is lost. Sets are written once.
     """
-    sets = shingle_classes(files, k).where("path = class_path").select("path", "shingles")
-    rows = sets.select("path", F.size("shingles").alias("n"), F.explode_outer("shingles").alias("shingle"))
-    common = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    sets = shingle_classes(files, k)
+    rows = sets.select("path", "n", F.explode("hashes").alias("shingle"))
+    common = materialize(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "common")
     rare = F.row_number().over(Window.partitionBy("path").orderBy(F.coalesce("df", F.lit(1)), "shingle"))
-    prefix = rows.join(common, "shingle", "left").withColumn("r", rare).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("df").isNotNull()).select("path", "n", "shingle")
-    a, b = prefix.toDF("path_a", "na", "shingle"), prefix.toDF("path_b", "nb", "shingle")
-    candidates = a.join(b, "shingle").where((F.col("path_a") < F.col("path_b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("path_a", "path_b").distinct()
-    joined = candidates.join(sets.toDF("path_a", "sa"), "path_a").join(sets.toDF("path_b", "sb"), "path_b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    scored = joined.select("path_a", "path_b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("j"))
-    return scored.where(F.col("j") >= threshold - 1e-9).select("path_a", "path_b", F.round("j", 4).alias("similarity"))
+    prefix = rows.join(common, "shingle", "left").withColumn("r", rare).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("df").isNotNull())
+    a, b = _by_size(materialize(prefix.select("path", "n", "shingle", "r"), "prefix"), "shingle", threshold, "r")
+    least = threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    possible = (F.col("path_a") < F.col("path_b")) & (F.least(F.col("na") - F.col("r_a"), F.col("nb") - F.col("r_b")) + 1 >= least) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+    candidates = a.join(b, ["key", "step"]).where(possible).select("path_a", "path_b").distinct()
+    return _alike(candidates, sets, threshold).select("path_a", "path_b", F.round("j", 4).alias("similarity"))
 
 
 def normalized_line(line: Column) -> Column:
@@ -149,34 +192,31 @@ SIGNATURE, BAND = 128, 4
 
 
 def signatures(sets: DataFrame, hashes: int = SIGNATURE) -> DataFrame:
-    """path, signature: for each of so many hash functions the least hash of a set's shingles (long); sets are not empty.
+    """path, n, signature: for each of so many hash functions the least hash of a set's shingles (long); sets are not empty.
 
-    A shingle is hashed once; the functions are multiplications of that hash, so all
-    stay in native expressions.
+    The functions are hashes of the shingle's hash and their number, so all stay in native expressions.
     """
-    rows = sets.select("path", F.transform("shingles", lambda s: F.xxhash64(s)).alias("h"))
-    mixed = lambda h, i: F.xxhash64(h, i)
-    return rows.select("path", F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda i: F.array_min(F.transform("h", lambda h: mixed(h, i)))).alias("signature"))
+    return sets.select("path", "n", F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda i: F.array_min(F.transform("hashes", lambda h: F.xxhash64(h, i)))).alias("signature"))
 
 
 def lsh_pairs(files: DataFrame, threshold: float = 0.7, k: int = 3, hashes: int = SIGNATURE, band: int = BAND) -> DataFrame:
     """Pairs of classes of equal sets that share a band, with estimated and exact similarity; those of threshold or more by the exact one.
 
     A pair at similarity s is missed with probability (1 - s^4)^32: under 0.0001 at 0.7.
+    Sets and signatures are written once; members of a band meet by size.
     """
-    sets = shingle_classes(files, k).where("path = class_path").select("path", "shingles")
-    signed = signatures(sets, hashes)
+    sets = shingle_classes(files, k)
+    signed = materialize(signatures(sets, hashes), "signatures")
     bands = F.transform(F.sequence(F.lit(0), F.lit(hashes // band - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * band + 1, band)))
-    rows = signed.select("path", F.explode(bands).alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = rows.join(shared, "key")
-    pairs = rows.toDF("key", "path_a").join(rows.toDF("key", "path_b"), "key").where("path_a < path_b").select("path_a", "path_b").distinct()
-    both = signed.join(sets, "path")
-    joined = pairs.join(both.toDF("path_a", "ga", "sa"), "path_a").join(both.toDF("path_b", "gb", "sb"), "path_b")
-    equal = F.size(F.filter(F.zip_with("ga", "gb", lambda a, b: a == b), lambda x: x)) / hashes
-    common = F.size(F.array_intersect("sa", "sb"))
-    scored = joined.select("path_a", "path_b", F.round(equal, 4).alias("estimate"), (common / (F.size("sa") + F.size("sb") - common)).alias("j"))
-    return scored.where(F.col("j") >= threshold - 1e-9).select("path_a", "path_b", "estimate", F.round("j", 4).alias("similarity"))
+    rows = signed.select("path", "n", F.explode(bands).alias("band"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
+    a, b = _by_size(materialize(rows.join(shared, "band"), "bands"), "band", threshold)
+    possible = (F.col("path_a") < F.col("path_b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+    pairs = a.join(b, ["key", "step"]).where(possible).select("path_a", "path_b").distinct()
+    alike = _alike(pairs, sets, threshold)
+    both = alike.join(signed.select(F.col("path").alias("path_a"), F.col("signature").alias("ga")), "path_a").join(signed.select(F.col("path").alias("path_b"), F.col("signature").alias("gb")), "path_b")
+    equal = F.size(F.filter(F.zip_with("ga", "gb", lambda x, y: x == y), lambda x: x)) / hashes
+    return both.select("path_a", "path_b", F.round(equal, 4).alias("estimate"), F.round("j", 4).alias("similarity"))
 
 
 def compare_two(files: DataFrame, path_a, path_b, k: int = 3) -> DataFrame:

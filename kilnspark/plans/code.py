@@ -23,12 +23,15 @@ QUERIES = {
     "shingle_counts": lambda s, d: m.shingle_counts(c.files(s, d)),
     "exact_duplicates": lambda s, d: m.exact_duplicates(c.files(s, d)),
     "jaccard_pairs": lambda s, d: m.jaccard_pairs(c.files(s, d)),
-    "jaccard_membership": lambda s, d: m.shingle_classes(c.files(s, d)).select("path", "class_path", "members"),
+    "lsh_similar": lambda s, d: m.lsh_pairs(c.files(s, d)).drop("estimate"),
+    "jaccard_membership": lambda s, d: m.class_members(c.files(s, d)),
     "repeated_blocks": lambda s, d: m.repeated_blocks(c.files(s, d)),
     "duplicate_windows": lambda s, d: m.duplicate_windows(c.files(s, d)),
     "benchmark_overlap": lambda s, d: m.benchmark_overlap(c.files(s, d), _items(s, d)),
     "duplicate_report": lambda s, d: m.duplicate_report(c.files(s, d)),
     "security_findings": lambda s, d: r.findings(_pages(s, d), r.JS_SECURITY + r.PYTHON_SECURITY),
+    "generic_security_findings": lambda s, d: r.findings(c.files(s, d), r.GENERIC_SECURITY),
+    "generic_review_findings": lambda s, d: r.findings(c.files(s, d), r.GENERIC_REVIEW),
     "security_risk": lambda s, d: r.security_risk(_pages(s, d), r.JS_SECURITY),
     "security_risk_python": lambda s, d: r.security_risk(c.files(s, d), r.PYTHON_SECURITY),
     "review_findings": lambda s, d: r.findings(c.files(s, d), r.PYTHON_REVIEW),
@@ -46,6 +49,8 @@ def _lit(p: str) -> str:
 
 def _fits(x: str, rule: r.Rule) -> str:
     found = f"regexp_matches({x}, {_lit(rule.pattern)})"
+    if rule.exception:
+        found = f"({found} AND len(regexp_extract_all({x}, {_lit(rule.pattern)})) > len(regexp_extract_all({x}, {_lit(rule.exception)})))"
     return f"({found} AND NOT contains({x}, 'http'))" if rule.id == "JS002" else found
 
 
@@ -99,11 +104,16 @@ SELECT path, digest, occurrences, first_line, second_line FROM r WHERE r = 1 AND
 
 
 ORACLE = {
+    "generic_security_findings": _findings("documents", "doc_id", "text", r.GENERIC_SECURITY),
+    "generic_review_findings": _findings("documents", "doc_id", "text", r.GENERIC_REVIEW),
     "shingle_counts": f"WITH {_SETS} SELECT path, len(toks)::BIGINT AS tokens, len(shingles)::BIGINT AS shingles FROM s",
     "exact_duplicates": f"""WITH n AS (SELECT doc_id AS path, md5({_NORMAL}) AS digest FROM documents)
 SELECT path, min(path) OVER (PARTITION BY digest) AS class_path, count(*) OVER (PARTITION BY digest) AS class_size, digest FROM n QUALIFY class_size > 1""",
     "jaccard_pairs": f"""WITH {_CLASSES}, u AS (SELECT path, len(shingles) AS n, unnest(shingles) AS x FROM q WHERE path = class_path),
 p AS (SELECT a.path AS path_a, b.path AS path_b, a.n AS na, b.n AS nb, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.path < b.path GROUP BY ALL)
+SELECT path_a, path_b, round(k / (na + nb - k), 4) AS similarity FROM p WHERE k / (na + nb - k) >= 0.7 - 1e-9""",
+    "lsh_similar": f"""WITH {_CLASSES}, u AS (SELECT path, len(shingles) AS n, unnest(shingles) AS x FROM q WHERE path = class_path),
+p AS (SELECT a.path AS path_a, b.path AS path_b, a.n AS na, b.n AS nb, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.path < b.path GROUP BY ALL)
 SELECT path_a, path_b, round(k / (na + nb - k), 4) AS similarity FROM p WHERE k / (na + nb - k) >= 0.7 - 1e-9""",
     "jaccard_membership": f"WITH {_CLASSES} SELECT path, class_path, members FROM q",
     "repeated_blocks": _blocks("documents", "doc_id", "text"),
