@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kilnspark.operators import assembly, checks
 from kilnspark.operators import chat as ch
-from kilnspark.operators import checks
 from kilnspark.sources import corpus as c
 
 def _questions(spark, sf_dir):
     return c.messages(spark, sf_dir).select(F.concat_ws("-", F.col("session").cast("string"), F.col("turn").cast("string")).alias("id"), F.when(F.col("role") == "user", F.col("content")).otherwise(" ").alias("query"), F.col("role").alias("project"), (F.col("turn") * 3).alias("sources"))
 
 
+def _chunks(spark, sf_dir):
+    """The words of each message as chunks of a stream; some are lost, some come twice."""
+    rows = c.messages(spark, sf_dir).select((F.col("session") * 1000 + F.col("turn")).alias("stream"), F.posexplode(F.split(F.coalesce("content", F.lit("")), " ", -1)).alias("seq", "word"))
+    mix = F.col("stream") * 31 + F.col("seq") * 7
+    times = F.when(mix % 97 == 5, 0).when(mix % 13 == 0, 2).otherwise(1)
+    return rows.select("stream", "seq", F.concat("word", F.lit(" ")).alias("token"), F.explode(F.expr("sequence(1, 2)")).alias("time"), times.alias("times")).where("time <= times").select("stream", "seq", "token")
+
+
 QUERIES = {
+    "token_streams": lambda s, d: assembly.assembled(_chunks(s, d)),
     "session_analytics": lambda s, d: ch.session_analytics(c.messages(s, d)),
     "role_distribution": lambda s, d: ch.role_distribution(c.messages(s, d)),
     "message_search": lambda s, d: ch.message_search(c.messages(s, d), "tion"),
@@ -45,6 +54,10 @@ def _hints() -> str:
 
 
 ORACLE = {
+    "token_streams": """WITH w AS (SELECT stream, ws, unnest(range(len(ws))) AS seq FROM (SELECT conv_id * 1000 + turn AS stream, string_split(coalesce(text, ''), ' ') AS ws FROM conversations)),
+k AS (SELECT stream, seq, ws[seq + 1] || ' ' AS token, CASE WHEN (stream * 31 + seq * 7) % 97 = 5 THEN 0 WHEN (stream * 31 + seq * 7) % 13 = 0 THEN 2 ELSE 1 END AS times FROM w),
+o AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq) - 1 = seq AS fits FROM k WHERE times > 0)
+SELECT stream, coalesce(string_agg(token, '' ORDER BY seq) FILTER (fits), '') AS text, count(*) AS chunks, sum(times - 1)::BIGINT AS repeats, count(*) FILTER (fits) AS next_seq, count(*) FILTER (NOT fits) AS waiting FROM o GROUP BY stream""",
     "session_analytics": """SELECT conv_id AS session, count(*) AS messages, count(*) FILTER (WHERE role = 'user') AS user_messages, count(*) FILTER (WHERE role = 'assistant') AS assistant_messages,
   coalesce(sum(length(text)), 0)::BIGINT AS chars, coalesce(round(avg(length(text)) FILTER (WHERE role = 'assistant'), 3), 0.0) AS avg_reply_chars,
   coalesce(round(count(*) FILTER (WHERE length(text) > 200) / nullif(count(*) FILTER (WHERE role = 'assistant'), 0), 3), 0.0) AS long_ratio

@@ -92,3 +92,37 @@ def mail_caps(requests: DataFrame, limit: int, seconds: int, late: str = "10 min
 def sessions(requests: DataFrame, seconds: int, touch: bool = True, late: str = "10 minutes") -> DataFrame:
     """user_id, first_us, last_us, requests of each session once it has expired."""
     return in_order(requests, session(seconds, touch), late)
+
+
+def token_text(chunks: DataFrame, minutes: int = 20, late: str = "10 minutes") -> DataFrame:
+    """stream, first_seq, text, repeats: from chunks(stream, seq, token, ts), the text that became whole in a batch, each part once and in order.
+
+    Chunks behind a gap wait in state; one that was said or waits already is a repeat. A
+    stream that is silent for so long, by event time, is forgotten with what waits.
+    """
+
+    def put(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        following, seqs, tokens = state.get if state.exists else (0, [], [])
+        newest = state.getCurrentWatermarkMs()
+        waiting, first, repeats, said = dict(zip(map(int, seqs), tokens, strict=True)), int(following), 0, []
+        for batch in batches:
+            newest = max(newest, int(batch.ms.max()))
+            for seq, token in sorted(zip(batch.seq.tolist(), batch.token.tolist(), strict=True), key=lambda r: (r[0], r[1] or "")):
+                if seq < first or seq in waiting:
+                    repeats += 1
+                else:
+                    waiting[seq] = token or ""
+        following = first
+        while following in waiting:
+            said.append(waiting.pop(following))
+            following += 1
+        left = sorted(waiting)
+        state.update((following, left, [waiting[s] for s in left]))
+        state.setTimeoutTimestamp(newest + minutes * 60_000)
+        yield pd.DataFrame({"stream": [key[0]], "first_seq": [first], "text": ["".join(said)], "repeats": [repeats]})
+
+    rows = chunks.withWatermark("ts", late).where("stream is not null and seq >= 0").select("ts", "stream", F.col("seq").cast("long").alias("seq"), "token", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("stream").applyInPandasWithState(put, "stream long, first_seq long, text string, repeats long", "following long, seqs array<long>, tokens array<string>", "append", GroupStateTimeout.EventTimeTimeout)
