@@ -62,6 +62,34 @@ def history_budget(messages: DataFrame, budget: int = 3200) -> DataFrame:
     return messages.withColumn("used_before", before).where(F.col("used_before") <= budget).select("session", "turn", "role", "used_before", F.length("content").cast("long").alias("chars"))
 
 
+#: Messages of a formatted history, its characters, and how a message is shortened that does not fit: fixed values.
+HISTORY_TURNS, HISTORY_CHARS, LONG_MESSAGE, SHORT_MESSAGE = 6, 3200, 500, 300
+SHORTENED = "\n... [message truncated for brevity]"
+
+
+def formatted_history(messages: DataFrame, turns: int = HISTORY_TURNS, budget: int = HISTORY_CHARS) -> DataFrame:
+    """session, messages, history: the last messages of each session, oldest first, until they exceed the budget.
+
+    The message that exceeds it is still there; a long one is shortened if it would. Null
+    contents are empty. Only as many messages as a history has are gathered for a session.
+    """
+    newest = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("turn"), F.desc("role"), F.desc("content")))
+    rows = messages.withColumn("r", newest).where(F.col("r") <= turns)
+    last = F.array_sort(F.collect_list(F.struct((-F.col("r")).alias("o"), F.when(F.col("role") == "user", "User").otherwise("Assistant").alias("who"), F.coalesce("content", F.lit("")).alias("content"))))
+
+    def take(state, m):
+        size = F.length(m["content"])
+        cut = (size > LONG_MESSAGE) & (state["total"] + size > budget)
+        line = F.concat(m["who"], F.lit(": "), F.when(cut, F.concat(F.substring(m["content"], 1, SHORT_MESSAGE), F.lit(SHORTENED))).otherwise(m["content"]))
+        taken = F.struct((state["total"] + F.length(line)).alias("total"), F.concat(state["lines"], F.array(line)).alias("lines"))
+        return F.when(state["total"] > budget, state).otherwise(taken)
+
+    start = F.struct(F.lit(0).alias("total"), F.array().cast("array<string>").alias("lines"))
+    lines = F.aggregate("last", start, take, lambda s: s["lines"])
+    out = rows.groupBy("session").agg(last.alias("last")).select("session", lines.alias("lines"))
+    return out.select("session", F.size("lines").alias("messages"), F.array_join("lines", "\n\n").alias("history"))
+
+
 def intent_score(text: Column, words: list[str]) -> Column:
     """Share of the words that occur, and a bonus for each phrase among them."""
     low = F.lower(text)

@@ -26,6 +26,8 @@ QUERIES = {
     "role_distribution": lambda s, d: ch.role_distribution(c.messages(s, d)),
     "message_search": lambda s, d: ch.message_search(c.messages(s, d), "tion"),
     "recent_history": lambda s, d: ch.recent_history(c.messages(s, d)),
+    "formatted_history": lambda s, d: ch.formatted_history(c.messages(s, d)),
+    "formatted_history_short": lambda s, d: ch.formatted_history(c.messages(s, d), budget=600),
     "history_budget": lambda s, d: ch.history_budget(c.messages(s, d)),
     "intent_classification": lambda s, d: ch.intent_classification(c.messages(s, d)),
     "session_titles": lambda s, d: ch.session_titles(c.messages(s, d)),
@@ -53,7 +55,22 @@ def _hints() -> str:
     return " ".join(f"WHEN {' OR '.join(f'contains(low, {_quoted(w)})' for w in words)} THEN '{language}'" for language, words in ch.LANGUAGE_WORDS.items())
 
 
+
+
+def _history(budget: int) -> str:
+    """One step for each of the last messages, oldest first."""
+    cut = f"length(o.text) > {ch.LONG_MESSAGE} AND w.total + length(o.text) > {budget}"
+    line = f"o.who || ': ' || CASE WHEN {cut} THEN substr(o.text, 1, {ch.SHORT_MESSAGE}) || chr(10) || '{ch.SHORTENED.strip()}' ELSE o.text END"
+    return f"""WITH RECURSIVE l AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) <= {ch.HISTORY_TURNS}),
+o AS (SELECT conv_id, text, CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END AS who, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM l),
+w AS (SELECT DISTINCT conv_id, 0 AS i, 0 AS total, NULL::VARCHAR AS history FROM o
+  UNION ALL SELECT o.conv_id, o.i::INT, (w.total + length({line}))::INT, CASE WHEN w.i = 0 THEN {line} ELSE w.history || chr(10) || chr(10) || {line} END FROM w JOIN o ON o.conv_id = w.conv_id AND o.i = w.i + 1 WHERE w.total <= {budget})
+SELECT conv_id AS session, max(i)::INT AS messages, max_by(history, i) AS history FROM w GROUP BY conv_id"""
+
+
 ORACLE = {
+    "formatted_history": _history(3200),
+    "formatted_history_short": _history(600),
     "token_streams": """WITH w AS (SELECT stream, ws, unnest(range(len(ws))) AS seq FROM (SELECT conv_id * 1000 + turn AS stream, string_split(coalesce(text, ''), ' ') AS ws FROM conversations)),
 k AS (SELECT stream, seq, ws[seq + 1] || ' ' AS token, CASE WHEN (stream * 31 + seq * 7) % 97 = 5 THEN 0 WHEN (stream * 31 + seq * 7) % 13 = 0 THEN 2 ELSE 1 END AS times FROM w),
 o AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq) - 1 = seq AS fits FROM k WHERE times > 0)

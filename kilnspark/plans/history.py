@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from kilnspark.operators import history as h
 from kilnspark.sources import corpus as c
+from kilnspark.sources import gitlog
 
 URGENT = ["1-urgent", "2-high"]
 
+def _log(spark, sf_dir):
+    """Log texts of 64 commits each at most: an order is a commit, its lines are changes, every fifth a rename, some of binary files."""
+    li, orders = c.load(spark, sf_dir, "lineitem"), c.load(spark, sf_dir, "orders")
+    count = lambda x: F.when(F.col("l_suppkey") % 17 == 0, "-").otherwise(x.cast("long").cast("string"))
+    path = F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("src/{old => new}/p"), F.col("l_partkey"), F.lit(".py"))).otherwise(F.concat(F.lit("src/p"), F.col("l_partkey"), F.lit(".py")))
+    change = F.concat_ws("\t", count(F.col("l_quantity")), count(F.col("l_linenumber")), path)
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", change.alias("line"))
+    changes = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"]), "\n").alias("changes"))
+    head = F.concat_ws("|", F.lpad(F.lower(F.hex("o_orderkey")), 8, "0"), F.concat(F.lit("c"), F.col("o_custkey"), F.lit("@x")), F.concat(F.lit("Customer "), F.col("o_custkey")), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0000")), F.concat(F.col("o_orderpriority"), F.lit("|fix")))
+    commits = orders.join(changes, "o_orderkey", "left").select(F.expr("o_orderkey div 64").alias("log"), "o_orderkey", F.concat_ws("\n", head, "changes", F.lit("")).alias("block"))
+    blocks = F.array_sort(F.collect_list(F.struct("o_orderkey", "block")))
+    return commits.groupBy("log").agg(F.array_join(F.transform(blocks, lambda b: b["block"]), "\n").alias("raw")).select("raw")
+
+
 QUERIES = {
+    "git_log_changes": lambda s, d: gitlog.parse_commits(_log(s, d)).select("hash", "author_email", "message", F.posexplode("changes").alias("at", "x")).select("hash", "author_email", "message", "at", "x.path", "x.additions", "x.deletions", "x.is_rename"),
+    "git_log_commits": lambda s, d: gitlog.parse_commits(_log(s, d)).select("hash", "author_name", F.unix_micros("day").alias("us"), F.size("changes").alias("files")),
     "file_hotspots": lambda s, d: h.file_hotspots(c.commits(s, d), c.plain_changes(s, d), URGENT),
     "contributor_stats": lambda s, d: h.contributor_stats(c.commits(s, d), c.plain_changes(s, d), URGENT),
     "bug_prone_files": lambda s, d: h.bug_prone_files(c.commits(s, d), c.plain_changes(s, d), URGENT),
@@ -23,6 +42,10 @@ _CHANGES = "f AS (SELECT l_orderkey AS hash, l_partkey AS path, l_quantity::BIGI
 _BOTH = f"WITH {_COMMITS}, {_CHANGES}"
 
 ORACLE = {
+    "git_log_changes": """SELECT lpad(lower(to_hex(l_orderkey)), 8, '0') AS hash, 'c' || o_custkey || '@x' AS author_email, o_orderpriority || '|fix' AS message, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1)::INT AS at,
+  'src/' || CASE WHEN l_partkey % 5 = 0 THEN 'new/' ELSE '' END || 'p' || l_partkey || '.py' AS path, CASE WHEN l_suppkey % 17 = 0 THEN 0 ELSE l_quantity::BIGINT END AS additions, CASE WHEN l_suppkey % 17 = 0 THEN 0 ELSE l_linenumber END AS deletions, l_partkey % 5 = 0 AS is_rename
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+    "git_log_commits": """SELECT lpad(lower(to_hex(o_orderkey)), 8, '0') AS hash, 'Customer ' || o_custkey AS author_name, epoch_us(date_trunc('second', o_orderdate)) AS us, count(l_orderkey)::INT AS files FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate""",
     "file_hotspots": f"""{_BOTH}, s AS (
   SELECT path, count(*) AS commit_count, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions, count(DISTINCT author) AS unique_authors, count(*) FILTER (WHERE bug) AS bug_commits
   FROM f JOIN c USING (hash) GROUP BY path ORDER BY commit_count DESC, path LIMIT 50)
