@@ -113,6 +113,22 @@ def file_history(commits: DataFrame, changes: DataFrame, last: int = 26) -> Data
     return weekly.withColumn("r", newest).where(F.col("r") <= last).drop("r")
 
 
+def file_commits(commits: DataFrame, changes: DataFrame, most: int = 50) -> DataFrame:
+    """path, place, hash, author, day, additions, deletions: the first commits of each file, at most `most`; commits is the number of all."""
+    rows = changes.join(commits.select("hash", "author", "day"), "hash")
+    order = ["day", "hash", "position"]
+    place = F.row_number().over(Window.partitionBy("path").orderBy(*order))
+    first = rows.withColumn("place", place).where(F.col("place") <= most)
+    total = changes.join(commits.select("hash"), "hash", "left_semi").groupBy("path").agg(F.count("*").alias("commits"))
+    return first.join(total, "path").select("path", "place", "hash", "author", "day", "additions", "deletions", "commits")
+
+
+def file_authors(commits: DataFrame, changes: DataFrame) -> DataFrame:
+    """path, author, commits, place: who changed each file, most first; counted before they are ranked."""
+    counts = changes.join(commits.select("hash", "author"), "hash").groupBy("path", "author").agg(F.count("*").alias("commits"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("commits"), "author")))
+
+
 def blame_ownership(lines: DataFrame, as_of: str, stale_days: int = 365) -> DataFrame:
     """Lines, share, age and staleness by author; a line without a day has age 0."""
     age = F.coalesce(F.datediff(F.lit(as_of).cast("date"), F.col("day")), F.lit(0))

@@ -34,6 +34,8 @@ QUERIES = {
     "weekly_velocity": lambda s, d: h.weekly_velocity(c.commits(s, d)),
     "git_summary": lambda s, d: h.git_summary(c.commits(s, d), c.plain_changes(s, d), URGENT),
     "file_history": lambda s, d: h.file_history(c.commits(s, d), c.plain_changes(s, d)),
+    "file_commits": lambda s, d: h.file_commits(c.commits(s, d), c.changes(s, d)),
+    "file_authors": lambda s, d: h.file_authors(c.commits(s, d), c.plain_changes(s, d)),
     "blame_ownership": lambda s, d: h.blame_ownership(c.blame_lines(s, d), "2002-01-01"),
 }
 
@@ -76,6 +78,10 @@ SELECT (SELECT count(*) FROM c) AS commits, (SELECT count(DISTINCT author) FROM
   (SELECT min(day) FROM c) AS first_day, (SELECT max(day) FROM c) AS last_day""",
     "file_history": f"""{_BOTH}, w AS (SELECT path, week, count(*) AS commits, count(DISTINCT author) AS authors, sum(additions + deletions)::BIGINT AS churn FROM f JOIN c USING (hash) GROUP BY path, week)
 SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY path ORDER BY week DESC) <= 26""",
+    "file_commits": """SELECT l_partkey AS path, row_number() OVER (PARTITION BY l_partkey ORDER BY o_orderdate, l_orderkey, pos)::INT AS place, l_orderkey AS hash, o_custkey AS author, o_orderdate AS day, l_quantity::BIGINT AS additions, l_linenumber::BIGINT AS deletions, count(*) OVER (PARTITION BY l_partkey) AS commits
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM lineitem) JOIN orders ON o_orderkey = l_orderkey QUALIFY place <= 50""",
+    "file_authors": """WITH k AS (SELECT l_partkey AS path, o_custkey AS author, count(*) AS commits FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY path ORDER BY commits DESC, author)::INT AS place FROM k""",
     "blame_ownership": """WITH a AS (SELECT l_suppkey AS author, coalesce(date_diff('day', l_shipdate::DATE, DATE '2002-01-01'), 0) AS age FROM lineitem)
 SELECT author, count(*) AS lines, round(count(*) * 100 / (SELECT count(*) FROM a), 1) AS percent, round(sum(age) / count(*), 1) AS avg_age_days,
   count(*) FILTER (WHERE age > 365) AS stale_lines, round(count(*) FILTER (WHERE age > 365) / count(*), 4) AS stale_ratio
