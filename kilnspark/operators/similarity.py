@@ -219,6 +219,27 @@ def lsh_pairs(files: DataFrame, threshold: float = 0.7, k: int = 3, hashes: int
     return both.select("path_a", "path_b", F.round(equal, 4).alias("estimate"), F.round("j", 4).alias("similarity"))
 
 
+def similar_pairs(files: DataFrame, threshold: float = 0.7, k: int = 3) -> DataFrame:
+    """path_a, path_b, similarity, kind: each exact copy with the least of its class, and pairs that are near but not exact.
+
+    Copies are pairs with their class, not with each other, so that a large class is as many rows as it has files.
+    """
+    copies = exact_duplicates(files).where("path <> class_path").select(F.col("class_path").alias("path_a"), F.col("path").alias("path_b"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("kind"))
+    near = jaccard_pairs(files, threshold, k).where("similarity < 1").select("path_a", "path_b", "similarity", F.lit("near").alias("kind"))
+    return copies.union(near)
+
+
+def top_pairs(pairs: DataFrame, most: int = 50) -> DataFrame:
+    """The most similar pairs."""
+    return pairs.orderBy(F.desc("similarity"), "path_a", "path_b").limit(most)
+
+
+def top_similar_files(pairs: DataFrame, most: int = 10) -> DataFrame:
+    """path, pairs, highest: the files in most pairs."""
+    ends = pairs.select("similarity", F.explode(F.array("path_a", "path_b")).alias("path"))
+    return ends.groupBy("path").agg(F.count("*").alias("pairs"), F.max("similarity").alias("highest")).orderBy(F.desc("pairs"), "path").limit(most)
+
+
 def compare_two(files: DataFrame, path_a, path_b, k: int = 3) -> DataFrame:
     """Similarity of two files and whether their normalized contents are the same; 1 for two without shingles, 0 for one without."""
     rows = files.where(F.col("path").isin(path_a, path_b)).select("path", tokens(normalized(F.col("content"))).alias("toks"), F.md5(normalized(F.col("content"))).alias("digest")).select("path", shingles(F.col("toks"), k).alias("s"), "digest")

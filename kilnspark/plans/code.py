@@ -23,6 +23,8 @@ QUERIES = {
     "shingle_counts": lambda s, d: m.shingle_counts(c.files(s, d)),
     "exact_duplicates": lambda s, d: m.exact_duplicates(c.files(s, d)),
     "jaccard_pairs": lambda s, d: m.jaccard_pairs(c.files(s, d)),
+    "similar_pairs_top": lambda s, d: m.top_pairs(m.similar_pairs(c.files(s, d))),
+    "similar_files_top": lambda s, d: m.top_similar_files(m.similar_pairs(c.files(s, d))),
     "lsh_similar": lambda s, d: m.lsh_pairs(c.files(s, d)).drop("estimate"),
     "jaccard_membership": lambda s, d: m.class_members(c.files(s, d)),
     "repeated_blocks": lambda s, d: m.repeated_blocks(c.files(s, d)),
@@ -141,3 +143,11 @@ def halstead_sql(rows: str, lines: str) -> str:
   CASE WHEN complexity <= 5 THEN 'A' WHEN complexity <= 10 THEN 'B' WHEN complexity <= 15 THEN 'C' WHEN complexity <= 20 THEN 'D' ELSE 'F' END AS cc_grade
 FROM (SELECT *, round(difficulty * volume, 2) AS effort, CASE WHEN volume <= 0 THEN 100.0 ELSE round(least(greatest((171 - 5.2 * ln(volume) - 0.23 * complexity - 16.2 * ln({lines})) * 100 / 171, 0), 100), 2) END AS mi
 FROM (SELECT *, CASE WHEN n1 + n2 > 1 THEN round((ops + opds) * log2(n1 + n2), 2) ELSE 0.0 END AS volume, CASE WHEN n1 + n2 > 1 THEN round(n1 / 2 * (opds / greatest(n2, 1)), 2) ELSE 0.0 END AS difficulty FROM ({rows}))))"""
+
+
+_PAIRS = f"""WITH p AS (SELECT class_path AS path_a, path AS path_b, 1.0::DOUBLE AS similarity, 'exact' AS kind FROM ({ORACLE["exact_duplicates"]}) WHERE path <> class_path
+UNION ALL SELECT path_a, path_b, similarity, 'near' FROM ({ORACLE["jaccard_pairs"]}) WHERE similarity < 1)"""
+ORACLE |= {
+    "similar_pairs_top": f"{_PAIRS} SELECT * FROM p ORDER BY similarity DESC, path_a, path_b LIMIT 50",
+    "similar_files_top": f"{_PAIRS} SELECT path, count(*) AS pairs, max(similarity) AS highest FROM (SELECT similarity, unnest([path_a, path_b]) AS path FROM p) GROUP BY path ORDER BY pairs DESC, path LIMIT 10",
+}
