@@ -43,6 +43,42 @@ def message_search(messages: DataFrame, needle: str, preview: int = 200) -> Data
     return messages.where(F.contains(F.lower("content"), F.lit(needle.lower()))).select("session", "turn", "role", shortened(F.col("content"), preview).alias("preview"))
 
 
+def owned_messages(messages: DataFrame, sessions: DataFrame, project=None, user=None) -> DataFrame:
+    """Messages of active sessions(session, user_id, project, is_active), with their user and project; of one project or user where given."""
+    mine = sessions.where("is_active")
+    for column, value in (("project", project), ("user_id", user)):
+        mine = mine if value is None else mine.where(F.col(column) == value)
+    return messages.join(mine.select("session", "user_id", "project"), "session")
+
+
+def titled_search(messages: DataFrame, sessions: DataFrame, needle: str, project=None, user=None, preview: int = 200) -> DataFrame:
+    """session, title, user_id, turn, role, preview of messages in owned sessions that contain the needle, any case."""
+    found = message_search(owned_messages(messages, sessions, project, user), needle, preview)
+    titles = session_titles(messages).join(sessions.select("session", "user_id"), "session", "right")
+    return found.join(titles, "session").select("session", "title", "user_id", "turn", "role", "preview")
+
+
+def project_totals(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    """project, user_id, sessions, messages of active sessions; sessions without messages count too."""
+    counts = messages.groupBy("session").agg(F.count("*").alias("n"))
+    rows = sessions.where("is_active").join(counts, "session", "left")
+    return rows.groupBy("project", "user_id").agg(F.count("*").alias("sessions"), F.coalesce(F.sum("n"), F.lit(0)).alias("messages"))
+
+
+def project_mix(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    """project, user_id, kind, value, messages, tokens: assistant messages by kind of prompt and by model, in one aggregation; messages without one are left out of it."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("prompt_type", "model")]))
+    rows = messages.where("role = 'assistant'").select("session", "content", each.alias("x")).where("x.value is not null")
+    rows = rows.join(sessions.select("session", "project", "user_id"), "session")
+    tokens = F.sum(F.greatest(F.floor(F.length("content") / 4), F.lit(1)))
+    return rows.groupBy("project", "user_id", F.col("x.kind").alias("kind"), F.col("x.value").alias("value")).agg(F.count("*").alias("messages"), tokens.alias("tokens"))
+
+
+def stale_sessions(kept: DataFrame, sessions: DataFrame) -> DataFrame:
+    """user_id, session, stale: ids that users keep a list of, and whether there is no such session any more."""
+    return kept.join(sessions.select("session", F.lit(True).alias("there")), "session", "left").select("user_id", "session", F.col("there").isNull().alias("stale"))
+
+
 def shortened(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 

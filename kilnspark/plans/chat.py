@@ -20,7 +20,28 @@ def _chunks(spark, sf_dir):
     return rows.select("stream", "seq", F.concat("word", F.lit(" ")).alias("token"), F.explode(F.expr("sequence(1, 2)")).alias("time"), times.alias("times")).where("time <= times").select("stream", "seq", "token")
 
 
+def _sessions(spark, sf_dir):
+    """A conversation is a session of a user in a project; every fifth is closed."""
+    ids = c.messages(spark, sf_dir).select("session").distinct()
+    return ids.select("session", (F.col("session") % 7).alias("user_id"), (F.col("session") % 3).alias("project"), (F.col("session") % 5 != 0).alias("is_active"))
+
+
+def _typed(spark, sf_dir):
+    """Messages with a kind of prompt and a model, by their length."""
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.length("content") % len(names)).cast("int") + 1)
+    return c.messages(spark, sf_dir).select("*", pick("code_qa", "explain", "debug", None).alias("prompt_type"), pick("small", None, "large").alias("model"))
+
+
+def _kept(spark, sf_dir):
+    """Each user's list of sessions, with ids from before that are gone."""
+    return _sessions(spark, sf_dir).select("user_id", F.explode(F.array("session", -F.col("session") - 1)).alias("session"))
+
+
 QUERIES = {
+    "titled_search": lambda s, d: ch.titled_search(c.messages(s, d), _sessions(s, d), "tion", project=1),
+    "project_chat_totals": lambda s, d: ch.project_totals(c.messages(s, d), _sessions(s, d)),
+    "project_chat_mix": lambda s, d: ch.project_mix(_typed(s, d), _sessions(s, d)),
+    "stale_sessions": lambda s, d: ch.stale_sessions(_kept(s, d), _sessions(s, d)),
     "token_streams": lambda s, d: assembly.assembled(_chunks(s, d)),
     "session_analytics": lambda s, d: ch.session_analytics(c.messages(s, d)),
     "role_distribution": lambda s, d: ch.role_distribution(c.messages(s, d)),
@@ -100,3 +121,13 @@ SELECT conv_id AS session, CASE WHEN length(t) > 60 THEN regexp_replace(substr(t
 SELECT c.conv_id AS session, count(*) AS messages, count(*) FILTER (WHERE role = 'assistant') AS replies, any_value(preview) AS preview FROM conversations c LEFT JOIN p ON c.conv_id = p.conv_id GROUP BY c.conv_id""",
     "session_export": """SELECT conv_id AS session, count(*) AS messages, string_agg('### ' || upper(role[1]) || role[2:] || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY turn, role, text) AS markdown FROM conversations GROUP BY conv_id""",
 }
+
+_SESSIONS = "s AS (SELECT DISTINCT conv_id AS session, conv_id % 7 AS user_id, conv_id % 3 AS project, conv_id % 5 <> 0 AS is_active FROM conversations)"
+ORACLE |= {
+    "titled_search": f"""WITH {_SESSIONS}, t AS ({ORACLE["session_titles"]}), m AS ({ORACLE["message_search"]})
+SELECT m.session, t.title, s.user_id, m.turn, m.role, m.preview FROM m JOIN s ON s.session = m.session AND is_active AND project = 1 LEFT JOIN t ON t.session = m.session""",
+    "project_chat_totals": f"WITH {_SESSIONS}, n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT project, user_id, count(*) AS sessions, coalesce(sum(n), 0)::BIGINT AS messages FROM s LEFT JOIN n ON conv_id = session WHERE is_active GROUP BY 1, 2",
+    "project_chat_mix": f"""WITH {_SESSIONS}, m AS (SELECT conv_id AS session, text, unnest([('prompt_type', ['code_qa', 'explain', 'debug', NULL][length(text) % 4 + 1]), ('model', ['small', NULL, 'large'][length(text) % 3 + 1])]) AS x FROM conversations WHERE role = 'assistant')
+SELECT project, user_id, x[1] AS kind, x[2] AS value, count(*) AS messages, sum(greatest(length(text) // 4, 1))::BIGINT AS tokens FROM m JOIN s USING (session) WHERE x[2] IS NOT NULL GROUP BY ALL""",
+    "stale_sessions": f"WITH {_SESSIONS}, k AS (SELECT user_id, unnest([session, -session - 1]) AS session FROM s) SELECT k.user_id, k.session, s.session IS NULL AS stale FROM k LEFT JOIN s ON s.session = k.session",
+}
