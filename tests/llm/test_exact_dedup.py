@@ -42,6 +42,11 @@ def test_survivors_keep_all_columns_and_one_row(spark):
     assert kept.count() == exact_dedup.exact_dedup(docs).where("kept").count()
 
 
+def test_main_path_is_native(spark):
+    plan = exact_dedup.exact_dedup(frame(spark, odd_rows()))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
 def test_empty(spark):
     docs = frame(spark, [])
     assert exact_dedup.exact_dedup(docs).count() == 0

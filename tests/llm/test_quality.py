@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -19,6 +20,43 @@ def test_held_out_accuracy(spark, sf_dir):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
 
 
+def plain_statistics(text):
+    """The statistics counted by characters and bytes, one after the other."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    logit = lambda name, part, whole: (lambda p: math.log(p / (1 - p)))((part + 20 * quality.USUAL[name]) / (whole + 20))
+    letters = upper = digits = symbols = stops = 0
+    for b in raw:
+        c = chr(b)
+        letters += b >= 128 or "a" <= c <= "z" or "A" <= c <= "Z"
+        upper += "A" <= c <= "Z"
+        digits += "0" <= c <= "9"
+        symbols += b < 128 and c in "!#$%&*+/<=>@[\\]^_`{|}~"
+        stops += b < 128 and c in ".,;:?"
+    words, word = [], b""
+    for b in raw + b" ":
+        if b in b" \t\n\r\x0b\x0c":
+            words, word = words + [word] * bool(word), b""
+        else:
+            word += bytes([b])
+    lines = raw.split(b"\n")
+    same = sum(words[i] == words[i + 1] for i in range(len(words) - 1))
+    seen = []
+    for w in words:
+        if w not in seen:
+            seen.append(w)
+    return [
+        math.log(len(words) + 40), math.log((sum(len(w) for w in words) + 100) / (len(words) + 20)), logit("symbols", symbols, len(raw)), logit("stops", stops, len(raw)), logit("upper", upper, letters), logit("digits", digits, len(raw)),
+        logit("adjacent", same, max(0, len(words) - 1)), logit("unique", len(seen), len(words)), logit("lines", len(lines) - len({bytes(x) for x in lines}), len(lines)), math.log(len(raw) / len(lines) + 40), math.log((len(zlib.compress(raw, 1)) + 100) / (len(raw) + 200)),
+    ]
+
+
+def test_statistics_equal_plain_counts(spark, sf_dir):
+    texts = [r[1] for r in odd_rows()] + ["A a A a\n\n\nB!? #1 É漢🙂\x00", "x\ud800y", *[r.text[:3000] for r in table(spark, sf_dir, "documents").limit(20).collect()]]
+    for text in texts:
+        text = text if text is None else text[:5000]
+        assert np.allclose(quality.statistics(text), plain_statistics(text), rtol=1e-12)
+
+
 def test_moments_give_the_classes_of_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, len(quality.FEATURES)))
