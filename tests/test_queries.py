@@ -4,6 +4,7 @@ import importlib.util
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from kilnspark.plans import catalog
@@ -20,7 +21,7 @@ def duck(sf_dir):
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     if hasattr(v, "tolist"):
         v = v.tolist()
