@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,3 +118,28 @@ def test_targets(files: DataFrame) -> DataFrame:
 
 
 test_targets.__test__ = False
+
+#: Signs of what a script's function has to test, in so many characters from its start, and points of each kind: fixed values.
+SIGNS = {"conditions": re.compile(r"\bif\b|\bswitch\b", re.ASCII), "loops": re.compile(r"\bfor\b|\bwhile\b", re.ASCII), "raises": re.compile(r"\bthrow\b", re.ASCII)}
+SIGN_REACH, SCRIPT_POINTS = 500, {"function": 2, "arrow_function": 1, "class": 2}
+_SCRIPT_TARGETS = [(kind, re.compile(pattern, re.ASCII), args, base) for kind, pattern, args, base in SCRIPT_ELEMENTS if kind in SCRIPT_POINTS]
+SCRIPT_TARGETS = "path {path}, kind string, name string, base string, is_async boolean, args string, conditions boolean, loops boolean, raises boolean, score int, line int"
+
+
+def _script_targets(path, source):
+    text = source or ""
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    for kind, pattern, args, base in _SCRIPT_TARGETS:
+        for m in pattern.finditer(text):
+            ahead = text[m.start() : m.start() + SIGN_REACH] if kind == "function" else ""
+            names = ",".join(a.split(":")[0].strip() for a in m[args].split(",") if a.strip()) if args else None
+            is_async = None if kind == "class" else re.search(r"\basync\b", m[0].split("(")[0] if kind == "function" else m[0].split("=>")[0]) is not None
+            yield path, kind, m[1], m[base] if base else None, is_async, names, *(s.search(ahead) is not None for s in SIGNS.values()), SCRIPT_POINTS[kind], bisect_left(breaks, m.start()) + 1
+
+
+def script_targets(files: DataFrame) -> DataFrame:
+    """path, kind, name, base, is_async, args, conditions, loops, raises, score, line of functions, arrow functions and classes of scripts.
+
+    Signs are looked for in the 500 characters from a function's start. Null contents have no targets.
+    """
+    return _each(files, _script_targets, SCRIPT_TARGETS)

@@ -15,6 +15,7 @@ def _files(spark, sf_dir, language):
 QUERIES = {
     "declarations": lambda s, sf: d.declarations(assembled_files(s, sf)),
     "script_elements": lambda s, sf: e.script_elements(_files(s, sf, "javascript")),
+    "script_targets": lambda s, sf: e.script_targets(_files(s, sf, "javascript")),
     "python_elements": lambda s, sf: e.python_elements(_files(s, sf, "python")),
     "test_targets": lambda s, sf: e.test_targets(_files(s, sf, "python")),
 }
@@ -56,18 +57,27 @@ def _elements() -> str:
 SELECT path, kind, name, args, base, line, NOT contains({window}, '{e.COMMENT}') AS needs_doc FROM f JOIN assembled a USING (path)"""
 
 
-def _python(of_function: str, of_class: str, of_method: str) -> str:
-    """What each piece of a Python source gives, by the lines before it."""
-    breaks = ", ".join(str(p.count("\n")) for p in PIECES["python"])
+def _known(language: str, rows: list[tuple[int, str]]) -> str:
+    """What pieces of a source are known to give, by the lines before them: (piece, columns) each."""
+    breaks = ", ".join(str(p.count("\n")) for p in PIECES[language])
     return f"""WITH p AS (SELECT l_orderkey AS path, (l_partkey + l_suppkey) % {EACH} AS piece, l_partkey AS p, l_linenumber AS q, ([{breaks}])[(l_partkey + l_suppkey) % {EACH} + 1] AS breaks,
   (1 + coalesce(sum(([{breaks}])[(l_partkey + l_suppkey) % {EACH} + 1]) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS line
-  FROM lineitem WHERE l_orderkey % {len(LANGUAGES)} = {LANGUAGES.index("python")})
-SELECT path, {of_function} FROM p WHERE piece = 2 UNION ALL SELECT path, {of_class} FROM p WHERE piece = 3 UNION ALL SELECT path, {of_method} FROM p WHERE piece = 3"""
+  FROM lineitem WHERE l_orderkey % {len(LANGUAGES)} = {LANGUAGES.index(language)})
+""" + " UNION ALL ".join(f"SELECT path, {columns} FROM p WHERE piece = {piece}" for piece, columns in rows)
+
+
+def _python(of_function: str, of_class: str, of_method: str) -> str:
+    return _known("python", [(2, of_function), (3, of_class), (3, of_method)])
 
 
 ORACLE = {
     "declarations": f"WITH {ASSEMBLED_SQL} " + " UNION ALL ".join(map(_one, d.DECLARATIONS)),
     "script_elements": _elements(),
+    "script_targets": _known("javascript", [
+        (0, "'function' AS kind, 'draw' || p AS name, NULL AS base, false AS is_async, 'a' AS args, false AS conditions, false AS loops, false AS raises, 2 AS score, line"),
+        (1, "'arrow_function', 'run' || p, NULL, true, 'x', false, false, false, 1, line"),
+        (2, "'class', 'View' || p, 'Base', NULL, NULL, false, false, false, 2, line"),
+    ]),
     "python_elements": _python(
         "'function' AS kind, 'load_' || p AS name, false AS is_async, 'a: Any, b: int' AS args, 'dict' AS return_type, NULL AS bases, NULL AS methods, line, true AS needs_doc",
         "'class', 'Item' || p, NULL, NULL, NULL, 'Base,mixins.M' || q, 'total', line, true",

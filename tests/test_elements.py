@@ -81,3 +81,14 @@ def test_elements_and_targets_of_python(spark):
     found = elements.test_targets(df).collect()
     assert sorted(((r.kind, r.name, r.class_name, r.score) for r in found), key=str) == sorted(brute_targets(ast.parse(SOURCE)), key=str)
     assert {r.name: r.args for r in found}["A"] == "a: int, b: Any" and {r.name for r in found if r.score == 4} == {"go"}
+
+
+def test_targets_of_scripts(spark):
+    far = "function far(a, b: T) {" + " " * 480 + "if (a) { throw a; } for (;;) {} }\n"
+    text = "export async function near() {\n  switch (x) { }\n  while (1) { throw y; }\n}\n" + " " * 500 + "\nfunction bare(iffy, form) {}" + " " * 500 + far + "const run = async (q) => 1; class A extends B {} class C {}"
+    df = spark.createDataFrame([(1, text), (2, None)], "path long, content string")
+    got = {r.name: (r.kind, r.base, r.is_async, r.args, r.conditions, r.loops, r.raises, r.score, r.line) for r in elements.script_targets(df).collect()}
+    assert got == {
+        "near": ("function", None, True, "", True, True, True, 2, 1), "bare": ("function", None, False, "iffy,form", False, False, False, 2, 6), "far": ("function", None, False, "a,b", False, False, False, 2, 6),
+        "run": ("arrow_function", None, True, "q", False, False, False, 1, 7), "A": ("class", "B", None, None, False, False, False, 2, 7), "C": ("class", None, None, None, False, False, False, 2, 7),
+    }
