@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import ast
 
+import pandas as pd
 import pytest
 
 from kilnspark.operators import performance, pyast, scripts
@@ -148,3 +149,13 @@ def test_scripts_by_counting_braces():
 def test_many_open_functions_are_read_fast(spark):
     rows = scripts.script_functions(frame(spark, ["function f(a) {\n" * 3000, None])).collect()
     assert len(rows) == 3000
+
+
+def test_rows_of_a_batch_go_on_in_pieces():
+    """A worker holds the rows of at most 256 files, however many are in its batch; contexts and signs are no nodes."""
+    batch = pd.DataFrame({"path": range(1000), "content": ["def f(a):\n    return a + 1\n"] * 1000})
+    names = [c.split()[0] for c in pyast.FACTS.split(", ")]
+    frames = list(pyast._frames(iter([batch]), pyast._facts, names))
+    assert [f.path.nunique() for f in frames] == [256, 256, 256, 232]
+    assert sum(len(f) for f in frames) == 2000
+    assert not any(isinstance(x, ast.expr_context | ast.operator) for x in pyast.Flat(ast.parse("a = b + c")).nodes)
