@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kilnspark.functions.tables import materialize
 
@@ -20,6 +22,22 @@ def unit(rows) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
+def _unit_rows(rows: pa.Array) -> np.ndarray:
+    """A list array of vectors as unit rows: its values are one buffer."""
+    return unit(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1))
+
+
+#: Vectors whose distances to all cells a task holds at once.
+ASSIGNED_AT_ONCE = 512
+
+
+def _nearest_cells(cosines: np.ndarray, most: int) -> np.ndarray:
+    """The columns of the largest cosines of each row, largest first, ties to the lower one."""
+    if most == 1:
+        return np.argmax(cosines, axis=1)[:, None]
+    return np.argsort(-cosines, axis=1, kind="stable")[:, :most]
+
+
 def _usable(rows: DataFrame, *more: str) -> DataFrame:
     return rows.where("embedding IS NOT NULL").select("chunk", "embedding", *more)
 
@@ -38,17 +56,22 @@ def _blocks(rows: DataFrame, size: int, name: str, keys: list[str]) -> DataFrame
 def _best_of(pairs: DataFrame, k: int, query_kind: str, chunk_kind: str) -> DataFrame:
     """query, chunk, cosine, place from pairs of blocks: at most k rows of a pair for each query, then the best of all."""
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    asked_kind, held_kind = (to_arrow_type(pairs.schema[c].dataType.elementType) for c in ("q_ids", "v_ids"))
+    schema = pa.schema([("query", asked_kind), ("chunk", held_kind), ("cosine", pa.float64())])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, rows, chunk, theirs in zip(batch.q_ids, batch.q_rows, batch.v_ids, batch.v_rows, strict=True):
-                chunk = np.asarray(list(chunk))
-                for i, scores in zip(ids, unit(rows) @ unit(theirs).T, strict=True):
-                    rounded = np.where(chunk == i, -2.0, np.round(scores, 6))
+            for at in range(batch.num_rows):  # one pair of blocks; the others stay Arrow buffers
+                ids, rows, chunk, theirs = (batch.column(c)[at].values for c in range(4))
+                chunk, found = np.asarray(chunk.to_pylist()), []
+                for i, row in zip(ids.to_pylist(), _unit_rows(rows) @ _unit_rows(theirs).T, strict=True):
+                    rounded = np.where(chunk == i, -2.0, np.round(row, 6))
                     best = np.lexsort((chunk, -rounded))[:k]
-                    best = best[rounded[best] > -2]
-                    yield pd.DataFrame({"query": i, "chunk": chunk[best], "cosine": rounded[best]})
+                    found += [(i, c, s) for c, s in zip(chunk[best].tolist(), rounded[best].tolist(), strict=True) if s > -2]
+                columns = list(zip(*found, strict=True)) or [(), (), ()]
+                yield pa.record_batch([pa.array(x, field.type) for x, field in zip(columns, schema, strict=True)], schema=schema)
 
-    found = pairs.select("q_ids", "q_rows", "v_ids", "v_rows").mapInPandas(nearest, f"query {query_kind}, chunk {chunk_kind}, cosine double")
+    found = pairs.select("q_ids", "q_rows", "v_ids", "v_rows").mapInArrow(nearest, f"query {query_kind}, chunk {chunk_kind}, cosine double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "chunk"))), 1, k)
     return found.groupBy("query").agg(best.alias("best")).select("query", F.posexplode("best").alias("at", "b")).select("query", F.col("b.chunk").alias("chunk"), (-F.col("b.far")).alias("cosine"), (F.col("at") + 1).alias("place"))
 
@@ -115,9 +138,10 @@ class InvertedLists:
 
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if len(batch) and most:
-                    near = np.argsort(-(unit(batch.embedding) @ centres.T), axis=1, kind="stable")[:, :most]
-                    yield batch.loc[batch.index.repeat(most)].assign(cell=near.ravel().astype("int32"))
+                for at in range(0, len(batch) if most else 0, ASSIGNED_AT_ONCE):  # distances to all cells of these rows only
+                    some = batch.iloc[at : at + ASSIGNED_AT_ONCE]
+                    near = _nearest_cells(unit(some.embedding) @ centres.T, most)
+                    yield some.iloc[np.repeat(np.arange(len(some)), most)].assign(cell=near.ravel().astype("int32"))
 
         kind = rows.schema["embedding"].dataType.simpleString()
         return rows.mapInPandas(assign, f"chunk {rows.schema['chunk'].dataType.simpleString()}, embedding {kind}, cell int")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from kilnspark.operators import vectors as v
@@ -79,3 +80,26 @@ def test_marginal_relevance(spark):
     assert chosen(3, 0.7) == [1, 2, 3]  # 2 is a copy of 1, but still worth 0.393 against 0.31
     assert chosen(3, 0.3) == [1, 4, 3]
     assert chosen(9, 1.0) == [1, 2, 3, 4]
+
+
+def test_distances_to_cells_are_held_for_few_vectors(monkeypatch):
+    """A batch of 3,000 vectors meets the cells 512 at a time, with the same cells as at once."""
+    rng = np.random.default_rng(5)
+    centres, rows, seen = v.unit(rng.normal(size=(40, 8))), rng.normal(size=(3000, 8)), []
+    index = object.__new__(v.InvertedLists)
+    index.centres = centres
+
+    class Rows:
+        schema = {c: type("Field", (), {"dataType": type("Kind", (), {"simpleString": staticmethod(lambda: "x")})}) for c in ("chunk", "embedding")}
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    real = v.unit
+    monkeypatch.setattr(v, "unit", lambda x: seen.append(len(x)) or real(x))
+    for probes in (1, 3):
+        batch = pd.DataFrame({"chunk": range(3000), "embedding": list(rows)})
+        out = pd.concat(index._assigned(Rows(), probes)(iter([batch])))
+        assert out.cell.tolist() == np.argsort(-(real(rows) @ centres.T), axis=1, kind="stable")[:, :probes].ravel().tolist()
+        assert out.chunk.tolist() == np.repeat(range(3000), probes).tolist()
+    assert max(seen) == 512
