@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from kilnspark.operators import checks, chunks, files, graph, history, lines, paths, performance, pyast, rules, similarity, summaries, telemetry, vectors
 from kilnspark.sources import gitlog
 
@@ -166,3 +168,19 @@ def test_reports(spark):
 
 def test_credentials_go(spark):
     assert spark.createDataFrame([("redis://u:p@h:1/0",), ("redis://h",)], "u string").select(checks.without_credentials("u")).collect() == [("h:1/0",), ("redis://h",)]
+
+
+def test_signatures_are_those_of_spark_hashes(spark):
+    """Minima of xxhash64(hash, number) as Spark takes them, outside its row-by-row expressions."""
+    sets = spark.createDataFrame([(1, [3, -5, 2**62, -(2**63)]), (2, [7])], "path long, hashes array<long>").withColumn("n", F.size("hashes"))
+    signed = similarity.signatures(sets, 8)
+    want = sets.select("path", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.array_min(F.transform("hashes", lambda h: F.xxhash64(h, i)))).alias("s"))
+    assert {r.path: list(r.signature) for r in signed.collect()} == {r.path: list(r.s) for r in want.collect()}
+    assert "MapInArrow" in signed._jdf.queryExecution().toString()
+
+
+def test_tokens_of_a_set_are_cut_once_and_lone_shingles_stay_home(spark):
+    docs = code(spark, " ".join(f"w{j:02d}" for j in range(40)), " ".join(f"w{j:02d}" for j in range(1, 41)), "")
+    plan = similarity.hashed_sets(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert len(similarity.jaccard_pairs(docs).collect()) == 1
