@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnspark.functions.tables import forget, materialize, materialize_counted
+from kilnspark.functions.tables import materialize
 
 SECOND = 1_000_000
 #: Lifetimes of cached answers, lists and statistics in seconds; mails that a user may get in an hour: fixed values.
@@ -137,41 +137,51 @@ def sessions(requests: DataFrame, seconds: int = SESSION_SECONDS, touch: bool =
     return out.select(F.col("key").alias("user_id"), at("first_us").alias("first_ts"), at("last_us").alias("last_ts"), "requests")
 
 
+#: Levels of blocks that one job goes down.
+LEVELS_A_JOB = 4
+
+
 def misses(points: DataFrame) -> DataFrame:
     """kind, key, us of the times that fill a cache, from points(kind, key, ttl, us), ttl in microseconds and one for each kind.
 
     A time is a miss if it is its key's first or the first at or after the end of the
     entry that the miss before it made. Every time points to the first one a lifetime
     later: it lies in the next span of one lifetime, or else opens the next span that has
-    times, so a key is looked at span by span. What the first time leads to is then found
-    by doubling: pointers of two, four, eight steps, and what they reach.
+    times, so a key is looked at span by span. Spans are then put together by two and by
+    two: of a block only the times that one before it leads to are kept, each with where it
+    leads beyond the block, so that each level has half the rows of the one before. From
+    the first time of all, the first miss of each half is found on the way back down.
     """
     key = ["kind", "key"]
     points = materialize(points.select(*key, "ttl", "us", F.expr("(us - pmod(us, ttl)) div ttl").alias("span")).distinct(), "points")
     event = points.select(*key, "span", F.col("us").alias("t"), F.col("us").alias("event"), F.lit(None).cast("long").alias("own"))
     probe = points.select(*key, (F.col("span") + 1).alias("span"), (F.col("us") + F.col("ttl")).alias("t"), F.lit(None).cast("long"), F.col("us"))
-    after = Window.partitionBy(*key, "span").orderBy("t").rangeBetween(0, Window.unboundedFollowing)
+    # from the last time back: a frame that ends at the last row would be gone through anew for each row
+    after = Window.partitionBy(*key, "span").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)
     near = event.union(probe).withColumn("near", F.min("event").over(after)).where("own is not null").select(*key, (F.col("span") - 1).alias("span"), F.col("own").alias("us"), "near")
     by_span = Window.partitionBy(*key).orderBy("span")
     spans = points.groupBy(*key, "span").agg(F.min("us").alias("first"))
-    spans = spans.select(*key, "span", F.when(F.lead("span").over(by_span) == F.col("span") + 1, F.lead("first", 2).over(by_span)).otherwise(F.lead("first").over(by_span)).alias("far"))
-    pointers = near.join(spans, [*key, "span"]).select(*key, "us", F.coalesce("near", "far").alias("next"))
-    pointers = materialize(pointers, "pointers")
-    first = points.groupBy(*key).agg(F.min("us").alias("us"))
-    nodes = first.union(pointers.where("next is not null").select(*key, F.col("next").alias("us"))).distinct()
-    jump = materialize(pointers.where("next is not null").join(nodes, [*key, "us"], "left_semi"), "jump")
-    found, known = materialize(first, "found"), -1
-    while True:
-        reached = found.union(found.join(jump, [*key, "us"]).select(*key, F.col("next").alias("us"))).distinct()
-        after, seen = materialize_counted(reached, "found")
-        forget(found)
-        found = after
-        if seen["rows"] == known:
-            return found
-        known = seen["rows"]
-        ahead = materialize(jump.join(jump.select(*key, F.col("us").alias("next"), F.col("next").alias("far")), [*key, "next"]).select(*key, "us", F.col("far").alias("next")), "jump")
-        forget(jump)
-        jump = ahead
+    beside = F.lead("span").over(by_span) == F.col("span") + 1
+    far = F.when(beside, F.struct(F.lead("first", 2).over(by_span).alias("us"), F.lit(2).alias("on"))).otherwise(F.struct(F.lead("first").over(by_span).alias("us"), F.lit(1).alias("on")))
+    # a key's spans that have times are numbered from 0; a block of a level is so many of these
+    spans = materialize(spans.select(*key, "span", "first", far.alias("far"), (F.row_number().over(by_span).cast("long") - 1).alias("at")), "spans")
+    first, longest = spans.where("at = 0").select(*key, F.col("first").alias("us")), spans.agg(F.max("at")).first()[0] or 0
+    to = F.when(F.col("near").isNotNull(), F.struct(F.col("near").alias("us"), F.lit(1).alias("on"))).otherwise(F.col("far"))
+    pointers = near.join(spans, [*key, "span"]).select(*key, "us", "at", to.alias("to")).where("to.us is not null")
+    jumps = [materialize(pointers.select(*key, "us", "at", F.col("to.us").alias("next"), (F.col("at") + F.col("to.on")).alias("next_at")), "jumps")]
+    while longest >> len(jumps) > 0:
+        low, over = jumps[-1], F.shiftright("next_at", len(jumps)) > F.shiftright("at", len(jumps))
+        led = low.where(over).select(*key, F.col("next").alias("us")).union(first).distinct()
+        kept = low.join(led, [*key, "us"], "left_semi")
+        beyond = low.select(*key, F.col("us").alias("next"), F.col("next").alias("beyond"), F.col("next_at").alias("beyond_at"))
+        on = kept.where(~over).join(beyond, [*key, "next"]).select(*key, "us", "at", F.col("beyond").alias("next"), F.col("beyond_at").alias("next_at"))
+        jumps.append(materialize(kept.where(over).select(*on.columns).union(on), "jumps"))
+    found = first
+    for at, jump in enumerate(reversed(jumps)):
+        found = found.union(found.join(jump, [*key, "us"]).select(*key, F.col("next").alias("us"))).distinct()
+        if at % LEVELS_A_JOB == LEVELS_A_JOB - 1:
+            found = materialize(found, "found")
+    return found
 
 
 def cache_replay(requests: DataFrame, seconds: dict[str, int] = CACHE_SECONDS) -> DataFrame:

@@ -103,3 +103,17 @@ def test_mail_counter_lives_on_with_each_mail(spark):
     rows = rows_of([(1, 0), (1, 3000), (1, 5400), (1, 6000), (1, 9700)])
     got = [r.allowed for r in sorted(expiry.mail_caps(requests(spark, rows), 2, 3600).collect(), key=lambda r: r.id)]
     assert got == [True, True, False, False, True]
+
+
+def test_cache_misses_take_fewer_rows_at_each_level(spark, monkeypatch):
+    """A busy key over many spans, one with long gaps and one with a single time: each level holds about half the pointers of the one before."""
+    held, write = [], expiry.materialize
+    monkeypatch.setattr(expiry, "materialize", lambda df, name: (out := write(df, name), name in ("jump", "jumps") and held.append(out.count()))[0])
+    rng = random.Random(8)
+    sets = {"busy": {rng.randrange(1000) for _ in range(600)}, "gaps": {rng.randrange(20) * 900 + rng.randrange(30) for _ in range(80)}, "one": {5}}
+    points = spark.createDataFrame([("k", k, 10, t) for k, v in sets.items() for t in v], "kind string, key string, ttl long, us long")
+    got: dict[str, list[int]] = {}
+    for r in expiry.misses(points).collect():
+        got.setdefault(r.key, []).append(r.us)
+    assert {k: sorted(v) for k, v in got.items()} == {k: plain_misses(v, 10) for k, v in sets.items()}
+    assert sum(held) < 3 * sum(map(len, sets.values())), held
