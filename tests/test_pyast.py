@@ -159,3 +159,25 @@ def test_rows_of_a_batch_go_on_in_pieces():
     assert [f.path.nunique() for f in frames] == [256, 256, 256, 232]
     assert sum(len(f) for f in frames) == 2000
     assert not any(isinstance(x, ast.expr_context | ast.operator) for x in pyast.Flat(ast.parse("a = b + c")).nodes)
+
+
+def test_queries_work_out_only_what_they_use(monkeypatch):
+    """What is not named is not worked out, and what is named is as in the whole rows."""
+    names = [c.split()[0] for c in pyast.FACTS.split(", ")]
+    whole = [dict(zip(names, row, strict=True)) for row in pyast._facts("p", MIXED)]
+    for name in ("signs", "cognitive", "plain_points", "python_kinds", "_created"):
+        monkeypatch.setattr(pyast, name, None)
+    wanted = {"function": frozenset(("name", "complexity")), "class": frozenset(("name", "bases"))}
+    own = ("kind", "name", "complexity", "bases")
+    assert list(pyast._facts("p", MIXED, wanted, own)) == [tuple(r[c] for c in own) for r in whole if r["kind"] in wanted]
+
+
+def test_texts_without_classes_are_not_parsed(spark):
+    """Files that cannot hold what is asked for do not reach a parser, even where they are broken."""
+    df = frame(spark, ["def f(:", "x = 1", None, "class A(B): pass\nclass B:\n    def m(self):\n        pass\n", "# class\ndef g(): pass"])
+    assert sorted((r.path, r["class_name"], r.base) for r in pyast.class_edges(df).collect()) == [(3, "A", "B")]
+    plan = pyast.facts(df, **{"class": "name bases"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(content" in plan and "Contains(content" not in pyast.facts(df, number="name", function="line")._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.path, r.kind) for r in pyast.with_classes(df, function="owner").collect()) == [(3, "function"), (4, "function")]
+    with pytest.raises(ValueError):
+        pyast.facts(df, function="silent")
