@@ -43,8 +43,9 @@ def _python(spark, sf_dir):
 
 def _classes(spark, sf_dir):
     """One parse for functions and classes."""
-    found = materialize(pyast.facts(_python(spark, sf_dir)).where("kind IN ('function', 'class')"), "facts")
-    return m.class_diagram(pyast.functions_of(found), pyast.class_edges_of(found))
+    found = materialize(pyast.with_classes(_python(spark, sf_dir), function="name owner line", **{"class": "name bases"}), "facts")
+    methods = found.where("kind = 'function'").select("path", "name", F.col("owner").alias("class_name"), F.col("line").alias("line_start"))
+    return m.class_diagram(methods, pyast.class_edges_of(found))
 
 
 QUERIES = {
