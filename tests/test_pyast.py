@@ -181,3 +181,11 @@ def test_texts_without_classes_are_not_parsed(spark):
     assert sorted((r.path, r.kind) for r in pyast.with_classes(df, function="owner").collect()) == [(3, "function"), (4, "function")]
     with pytest.raises(ValueError):
         pyast.facts(df, function="silent")
+
+
+def test_tasks_of_texts_do_not_grow_with_the_table(spark, sf_dir, monkeypatch):
+    from kilnspark.sources import samples
+
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    monkeypatch.setattr(samples, "TEXTS_A_TASK", 7)
+    assert samples.code_files(spark, sf_dir).rdd.getNumPartitions() == -(-n // 7)
